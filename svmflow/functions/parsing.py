@@ -13,6 +13,16 @@ FEATURES_TYPE = "array<struct<idx:int,val:double>>"
 REJECT_REASON = "reject_reason"
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns through a one-row generator.
+
+    A plain projection would be copied into every filter on its output, and
+    inside lambdas evaluated again per element; predicates do not move below
+    a generator, so the expressions run once per row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def tokens(line: Column) -> Column:
     """Non-empty tokens of a sample line."""
     return F.array_remove(F.split(line, SAMPLE_SEPARATORS), "")

@@ -11,6 +11,9 @@ import pyarrow as pa
 # Columns of a dense working matrix; wider data is multiplied in strips.
 STRIP_COLUMNS = 4096
 
+# The feature column in Arrow, every part nullable.
+FEATURES_ARROW = pa.list_(pa.field("element", pa.struct([("idx", pa.int32()), ("val", pa.float64())])))
+
 
 class SparseRows(NamedTuple):
     """Rows of (idx, val) pairs, end to end, with the offsets between rows."""

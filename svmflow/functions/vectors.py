@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ def logistic_scale(y: Column, margin: Column) -> Column:
     return (1.0 / (1.0 + F.exp(-y * margin)) - 1.0) * y
 
 
+def vector_sum(array_col: str) -> Column:
+    """Aggregate: element-wise sum of an array column; one partial vector per task and group."""
+    return vector_to_array(Summarizer.sum(array_to_vector(F.col(array_col).cast("array<double>"))))
+
+
 def last_index(features: Column) -> Column:
     """Index of a row's last stored feature; null for a row without features."""
     return F.try_element_at(features, F.lit(-1)).getField("idx")

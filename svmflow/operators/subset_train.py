@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from svmflow.functions.parsing import FEATURES_TYPE
 from svmflow.functions.solver import offset, solve
-from svmflow.functions.sparse import from_arrow, square_distances
+from svmflow.functions.sparse import FEATURES_ARROW, from_arrow, square_distances
 from svmflow.functions.vectors import last_index
+from svmflow.operators.split import TASK, place_groups
 
 # The training parameters of the reference jobs.
 DEFAULT_C = 1.0
@@ -108,7 +109,7 @@ def _trainer(cells: Sequence[Cell], eps: float, keep_all: bool) -> Callable[[pa.
                         "label": kept["label"],
                         "alpha": pa.array(alpha[keep]),
                         "rho": pa.array(np.full(n, rho)),
-                        "features": kept["features"],
+                        "features": kept["features"].cast(FEATURES_ARROW),
                     }
                 )
             )
@@ -132,23 +133,12 @@ def train_subsets(
     all cells in one task. Groups must be bounded: see ``cascade`` for the
     check and for the way larger groups take. ``keep_all`` also returns rows
     with alpha 0.
-
-    Each group gets a task of its own up to the shuffle-partition setting,
-    beyond it the groups are dealt evenly. The placement is explicit, so
-    neither hash collisions nor runtime coalescing (which sees bytes, not
-    training time) can queue groups behind each other.
     """
-    spark = subsets.sparkSession
     keys = ["model_id", "subset_id"] if "model_id" in subsets.columns else ["subset_id"]
     n_groups = n_subsets * (len(cells) if len(keys) == 2 else 1)
-    n_tasks = min(n_groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     group_no = F.col("subset_id")
     if len(keys) == 2:
         position = F.create_map(*(F.lit(v) for i, cell in enumerate(cells) for v in (cell.model_id, i)))
         group_no = position[F.col("model_id")] * n_subsets + group_no
-    placed = subsets.select(*keys, "row_id", "label", "features", F.pmod(group_no, F.lit(n_tasks)).alias("_task"))
-    return (
-        placed.repartitionById(n_tasks, F.col("_task"))
-        .groupBy("_task", *keys)
-        .applyInArrow(_trainer(cells, eps, keep_all), trained_schema(subsets))
-    )
+    placed = place_groups(subsets.select(*keys, "row_id", "label", "features"), n_groups, group_no)
+    return placed.groupBy(TASK, *keys).applyInArrow(_trainer(cells, eps, keep_all), trained_schema(subsets))

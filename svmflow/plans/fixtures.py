@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from svmflow.functions.parsing import compute_once
 from svmflow.sources.model_store import model_row
 from svmflow.sources.samples import feature_text, samples_from_arrays
 
-DIMS = 64
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,8 +33,12 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", value.alias("value"))
 
 
-def dense_line(label: Column, dims: int = DIMS) -> Column:
-    return _text(label, *(p for i in range(dims) for p in (f" {i + 1}:", F.col("embedding")[i].cast("double"))))
+def dense_line(label: Column) -> Column:
+    """A sample line with every dimension of the embedding."""
+    pairs = F.transform(
+        "embedding", lambda v, i: F.concat((i + 1).cast("string"), F.lit(":"), v.cast("double").cast("string"))
+    )
+    return F.concat_ws(" ", label.cast("string"), F.array_join(pairs, " "))
 
 
 def sample_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,16 +49,16 @@ def sample_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     vec = F.col("vec_id")
     sign = F.when(F.col("label") < 5, "+1").otherwise("-1")
-    line = dense_line(sign)
-    line = F.when(vec % 11 == 0, _text(line, " 65")).otherwise(line)
-    line = F.when(vec % 7 == 0, F.translate(line, " ", "\t")).otherwise(line)
+    full = F.concat(dense_line(sign), F.when(vec % 11 == 0, " 65").otherwise(""))
+    rows = compute_once(table(spark, sf_dir, "embeddings"), _line=full)
     value = (
         F.when(vec % 29 == 0, "  ")
-        .when(vec % 31 == 0, _text("label ", F.lit("1:0.5")))
+        .when(vec % 31 == 0, "label 1:0.5")
         .when(vec % 37 == 0, _text(sign, " 1:0.5 2:x"))
-        .otherwise(line)
+        .when(vec % 7 == 0, F.translate("_line", " ", "\t"))
+        .otherwise(F.col("_line"))
     )
-    return table(spark, sf_dir, "embeddings").select("vec_id", value.alias("value"))
+    return rows.select("vec_id", value.alias("value"))
 
 
 def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +88,7 @@ def rating_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, target, features) with all dimensions; the target is the native label."""
     df = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "row_id")
-    return samples_from_arrays(df, "embedding", range(1, DIMS + 1)).select(
+    return samples_from_arrays(df, "embedding").select(
         "row_id", F.col("label").cast("double").alias("target"), "features"
     )
 
@@ -96,7 +101,7 @@ def training_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(x1 + x2 > 0, "+1").otherwise("-1").alias("label_text"),
         F.array(x1 * 8.0, x2 * 8.0).alias("_x"),
     )
-    return samples_from_arrays(df, "_x", range(1, 3)).select(
+    return samples_from_arrays(df, "_x").select(
         "row_id", "label_text", F.col("label_text").cast("double").alias("label"), "features"
     )
 
@@ -108,10 +113,9 @@ def training_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean embedding per native label: (label, features). One row per label."""
-    means = [F.avg(F.col("embedding")[i].cast("double")).alias(f"m{i}") for i in range(DIMS)]
-    flat = table(spark, sf_dir, "embeddings").groupBy("label").agg(*means)
-    df = flat.select("label", F.array(*(F.col(f"m{i}") for i in range(DIMS))).alias("_x"))
-    return samples_from_arrays(df, "_x", range(1, DIMS + 1)).select("label", "features")
+    vector = array_to_vector(F.col("embedding").cast("array<double>"))
+    df = table(spark, sf_dir, "embeddings").groupBy("label").agg(Summarizer.mean(vector).alias("_m"))
+    return samples_from_arrays(df.withColumn("_x", vector_to_array("_m")), "_x").select("label", "features")
 
 
 def binary_model(spark: SparkSession, sf_dir: str, model_id: str, **scalars) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,7 @@ from svmflow.sources.access_log import parse_log
 from svmflow.sources.points import parse_points
 from svmflow.sources.ratings import parse_ratings
 from svmflow.sources.samples import parse_samples
-from svmflow.sources.text import SOURCE_FILE, land_directory, read_whole_files
+from svmflow.sources.text import SOURCE_FILE, land_directory
 from svmflow.streaming.ingest import ingest_stream
 
 _LOG_SQL = """
@@ -123,23 +123,3 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = scratch_path(spark, "stream-landed")
     ingest_stream(spark, _render(spark, sf_dir), table, scratch_path(spark, "stream-state")).awaitTermination()
     return spark.read.parquet(table).select("value", F.col(SOURCE_FILE).isNotNull().alias("has_file"))
-
-
-@query("""
-    SELECT user_id, 'GET /' || event_type AS request, count(*) AS n_lines
-    FROM events WHERE event_id % 97 <> 0 GROUP BY ALL
-""")
-def whole_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per client and request type, each read back as one record."""
-    source = scratch_path(spark, "log-files")
-    lines = parse_log(fx.log_lines(spark, sf_dir)).where("matched")
-    events = fx.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    lines.join(events, "event_id").select("user_id", "event_type", "value").repartition(
-        "user_id", "event_type"
-    ).write.partitionBy("user_id", "event_type").text(source)
-    files = read_whole_files(spark, source)
-    part = F.regexp_extract(SOURCE_FILE, r"user_id=(\d+)/event_type=(\w+)/", 1)
-    kind = F.regexp_extract(SOURCE_FILE, r"user_id=(\d+)/event_type=(\w+)/", 2)
-    return files.groupBy(
-        part.cast("bigint").alias("user_id"), F.concat(F.lit("GET /"), kind).alias("request")
-    ).agg(F.sum(F.size(F.split(F.rtrim("value"), "\n"))).alias("n_lines"))

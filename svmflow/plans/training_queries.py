@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from svmflow.functions.parsing import accepted, leading_token
-from svmflow.functions.vectors import dot, literal_vector
+from svmflow.functions.vectors import dot, literal_vector, vector_sum
 from svmflow.operators import cascade, logreg, split, subset_train
 from svmflow.operators import grid as grids
 from svmflow.plans import fixtures as fx
@@ -17,8 +17,10 @@ from svmflow.session import scratch_path
 from svmflow.sources.model_store import load_model, save_model
 from svmflow.sources.points import parse_points
 from svmflow.sources.samples import parse_samples
+from svmflow.sources.text import SOURCE_FILE, read_whole_files
 
 ROWS_PER_SUBSET = 250
+FILE_ROWS = 4000
 N_SUBSETS = 8
 GAMMA = 0.5
 
@@ -53,7 +55,7 @@ def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.with_quotas(counts, N_SUBSETS)
 
 
-def _split_sql(rows: str, n: int) -> str:
+def _split_sql(rows: str, n: int | str) -> str:
     return f"""
         SELECT row_id, label_text,
                ((row_number() OVER (PARTITION BY label_text ORDER BY md5('0:' || row_id), row_id) - 1) % {n})::INTEGER
@@ -89,10 +91,38 @@ _TRAIN = """(
            AS label_text, embedding FROM embeddings)"""
 
 
+def _n_subsets_sql(rows: str, rows_per_subset: int) -> str:
+    return f"(SELECT ceil(count(*) / {rows_per_subset}.0)::BIGINT FROM {rows} WHERE label_text IN ('+1', '-1'))"
+
+
+def _bounded_subsets(rows: DataFrame, rows_per_subset: int) -> tuple[DataFrame, int]:
+    """A split whose subsets stay within a row count, whatever the size of the data."""
+    n = math.ceil(rows.count() / rows_per_subset)
+    return split.stratified_split(rows, n), n
+
+
+@query(f"""
+    SELECT subset_id, count(*) AS n_lines
+    FROM ({_split_sql(_ORDERS, _n_subsets_sql(_ORDERS, FILE_ROWS))}) GROUP BY subset_id
+""")
+def whole_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each subset written as one text file and read back as one record."""
+    lines = fx.labelled_lines(spark, sf_dir).withColumn("label_text", leading_token(F.col("value")))
+    subsets, n = _bounded_subsets(split.label_filter(lines), FILE_ROWS)
+    path = scratch_path(spark, "subset-files")
+    placed = split.place_groups(subsets.select("subset_id", "value"), n)
+    placed.drop(split.TASK).write.partitionBy("subset_id").text(path)
+    files = read_whole_files(spark, path)
+    return files.select(
+        F.regexp_extract(SOURCE_FILE, r"subset_id=(\d+)/", 1).cast("int").alias("subset_id"),
+        F.regexp_count("value", F.lit("\n")).cast("bigint").alias("n_lines"),
+    )
+
+
 @query(f"""
     SELECT subset_id, count(*) AS n_rows, count(*) FILTER (WHERE label_text = '+1') AS n_positive,
            min(row_id) AS first_row, max(row_id) AS last_row
-    FROM ({_split_sql(_TRAIN, N_SUBSETS)}) GROUP BY subset_id
+    FROM ({_split_sql(_TRAIN, _n_subsets_sql(_TRAIN, ROWS_PER_SUBSET))}) GROUP BY subset_id
 """)
 def subset_as_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each subset as one bounded group of one task."""
@@ -111,9 +141,9 @@ def subset_as_group(spark: SparkSession, sf_dir: str) -> DataFrame:
             }
         )
 
-    rows = split.stratified_split(fx.training_samples(spark, sf_dir).select("row_id", "label_text"), N_SUBSETS)
+    rows, n = _bounded_subsets(fx.training_samples(spark, sf_dir).select("row_id", "label_text"), ROWS_PER_SUBSET)
     schema = "subset_id int, n_rows bigint, n_positive bigint, first_row bigint, last_row bigint"
-    return rows.repartitionById(N_SUBSETS, F.col("subset_id")).groupBy("subset_id").applyInArrow(describe, schema)
+    return split.place_groups(rows, n).groupBy(split.TASK, "subset_id").applyInArrow(describe, schema)
 
 
 @query(f"""
@@ -144,11 +174,11 @@ def vec_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM embeddings, range(1, 65) r(i) GROUP BY i
 """)
 def vec_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Element-wise vector sum: one partial row of sums per task, no exploding."""
-    sums = [F.sum(F.col("embedding")[i].cast("double")).alias(f"s{i}") for i in range(fx.DIMS)]
-    one_row = fx.table(spark, sf_dir, "embeddings").agg(*sums)
-    pairs = F.array(*(F.struct(F.lit(i + 1).alias("idx"), F.round(f"s{i}", 6).alias("total")) for i in range(fx.DIMS)))
-    return one_row.select(F.inline(pairs))
+    """Element-wise vector sum: one partial vector per task, no exploding of rows."""
+    one_row = fx.table(spark, sf_dir, "embeddings").agg(vector_sum("embedding").alias("s"))
+    return one_row.select(F.posexplode("s").alias("pos", "v")).select(
+        (F.col("pos") + 1).alias("idx"), F.round("v", 6).alias("total")
+    )
 
 
 @query("SELECT max(len(embedding))::INTEGER AS max_index FROM embeddings WHERE vec_id % 29 <> 0")
@@ -258,10 +288,7 @@ def param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def subset_train_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One layer: every subset trained, all rows returned with their alpha."""
-    rows = fx.training_samples(spark, sf_dir)
-    total = rows.count()
-    n = math.ceil(total / ROWS_PER_SUBSET)
-    subsets = split.stratified_split(rows, n)
+    subsets, n = _bounded_subsets(fx.training_samples(spark, sf_dir), ROWS_PER_SUBSET)
     trained = subset_train.train_subsets(subsets, [subset_train.Cell("layer", 1.0, GAMMA)], n_subsets=n, keep_all=True)
     return trained.drop("features")
 
@@ -269,9 +296,7 @@ def subset_train_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sv_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that survive the first layer, with their subset."""
-    rows = fx.training_samples(spark, sf_dir)
-    n = math.ceil(rows.count() / ROWS_PER_SUBSET)
-    subsets = split.stratified_split(rows, n)
+    subsets, n = _bounded_subsets(fx.training_samples(spark, sf_dir), ROWS_PER_SUBSET)
     trained = subset_train.train_subsets(subsets, [subset_train.Cell("layer", 1.0, GAMMA)], n_subsets=n)
     return trained.select("subset_id", "row_id", "label")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from svmflow.functions.parsing import compute_once
+
 # The log pattern (groups 1 ip, 3 user, 5 request, 7 bytes) and
 # the two built-in sample lines.
 LOG_PATTERN = (
@@ -49,7 +51,7 @@ def parse_log(lines: DataFrame, *, value: str = "value") -> DataFrame:
     hit = F.col("matched")
     keyed = hit & (F.lower(F.get(parts, F.lit(2))) != "-")
     return (
-        lines.withColumn("_rewritten", F.regexp_replace(value, _WHOLE_LINE, _REWRITE))
+        compute_once(lines, _rewritten=F.regexp_replace(value, _WHOLE_LINE, _REWRITE))
         # A line that starts with the mark by itself cannot match the pattern.
         .withColumn(
             "matched", F.coalesce(F.startswith("_rewritten", F.lit(_MARK)) & ~F.startswith(value, F.lit(_MARK)), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from svmflow.functions.parsing import REJECT_REASON, finish_parse
+from svmflow.functions.parsing import REJECT_REASON, compute_once, finish_parse
 
 # Fixed value: number of dimensions of a dense point.
 DIMS = 10
@@ -17,11 +17,8 @@ def parse_points(
     """Add ``y`` and ``x`` (array of ``dims`` doubles); tokens beyond ``dims`` are ignored."""
     toks = F.col("_tokens")
     number = [F.get(toks, F.lit(i)).try_cast("double") for i in range(dims + 1)]
-    parsed = (
-        lines.withColumn("_tokens", F.split(value, " "))
-        .withColumn("y", number[0])
-        .withColumn("x", F.array(*number[1:]))
-    )
+    split = compute_once(lines, _tokens=F.split(value, " "))
+    parsed = compute_once(split, y=number[0], x=F.array(*number[1:]))
     # Every element is checked by name, not with a lambda, to stay inside codegen.
     complete = F.col("y").isNotNull()
     for i in range(dims):

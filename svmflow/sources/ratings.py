@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from svmflow.functions.parsing import REJECT_REASON, finish_parse
+from svmflow.functions.parsing import REJECT_REASON, compute_once, finish_parse
 
 # Field separator and field count of a rating line.
 SEPARATOR = "::"
@@ -19,12 +19,12 @@ def parse_ratings(lines: DataFrame, *, value: str = "value", mode: str = "quaran
     count as fields, so ``1::2::3::4::`` is good and ``1::2::3::`` is not.
     """
     f = F.col("_fields")
-    parsed = (
-        lines.withColumn("_fields", F.split(value, SEPARATOR))
-        .withColumn("user_id", F.get(f, F.lit(0)).try_cast("int"))
-        .withColumn("movie_id", F.get(f, F.lit(1)).try_cast("int"))
-        .withColumn("rating", F.get(f, F.lit(2)).try_cast("float"))
-        .withColumn("ts", F.get(f, F.lit(3)).try_cast("bigint"))
+    parsed = compute_once(
+        compute_once(lines, _fields=F.split(value, SEPARATOR)),
+        user_id=F.get(f, F.lit(0)).try_cast("int"),
+        movie_id=F.get(f, F.lit(1)).try_cast("int"),
+        rating=F.get(f, F.lit(2)).try_cast("float"),
+        ts=F.get(f, F.lit(3)).try_cast("bigint"),
     )
     beyond = F.array_join(F.slice(f, N_FIELDS + 1, F.greatest(F.size(f) - N_FIELDS, F.lit(0))), "")
     four_fields = (F.size(f) >= N_FIELDS) & (F.get(f, F.lit(N_FIELDS - 1)) != "") & (beyond == "")

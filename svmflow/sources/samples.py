@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from svmflow.functions.parsing import (
-    FEATURES_TYPE,
     REJECT_REASON,
+    compute_once,
     finish_parse,
     leading_token,
     token_pairs,
@@ -22,11 +22,8 @@ def parse_samples(lines: DataFrame, *, value: str = "value", mode: str = "quaran
     uses to pick its two classes; ``label`` is the first token as a number.
     """
     toks = F.col("_tokens")
-    parsed = (
-        lines.withColumn("_tokens", tokens(F.col(value)))
-        .withColumn("label", F.get(toks, F.lit(0)).try_cast("double"))
-        .withColumn("features", token_pairs(toks))
-    )
+    split = compute_once(lines, _tokens=tokens(F.col(value)))
+    parsed = compute_once(split, label=F.get(toks, F.lit(0)).try_cast("double"), features=token_pairs(toks))
     bad_pair = F.exists("features", lambda f: f["idx"].isNull() | f["val"].isNull())
     reason = (
         F.when(F.size(toks) == 0, "blank line")
@@ -41,12 +38,12 @@ def parse_samples(lines: DataFrame, *, value: str = "value", mode: str = "quaran
     return finish_parse(out, mode)
 
 
-def samples_from_arrays(df: DataFrame, array_col: str, dims: range) -> DataFrame:
+def samples_from_arrays(df: DataFrame, array_col: str) -> DataFrame:
     """Add ``features`` from a dense array column, with 1-based indices."""
-    pairs = [
-        F.struct(F.lit(i).alias("idx"), F.col(array_col)[i - 1].cast("double").alias("val")) for i in dims
-    ]
-    return df.withColumn("features", F.array(*pairs).cast(FEATURES_TYPE))
+    pairs = F.transform(
+        array_col, lambda v, i: F.struct((i + 1).alias("idx"), v.cast("double").alias("val"))
+    )
+    return df.withColumn("features", pairs)
 
 
 def feature_text() -> Column:
