@@ -33,18 +33,18 @@ def leading_token(line: Column) -> Column:
     return F.when(F.instr(line, " ") > 0, F.substring_index(line, " ", 1))
 
 
-def token_pairs(toks: Column) -> Column:
-    """(idx, val) pairs from tokens 1.. of a sample line; an odd last token is dropped."""
+def token_pairs(toks: Column, numbers: Column) -> Column:
+    """(idx, val) pairs from tokens 1.. of a sample line; an odd last token is dropped.
+
+    ``numbers`` is the token array cast to doubles as a whole, which runs in
+    generated code; only the index is cast inside the lambda.
+    """
+
     def pair(i: Column) -> Column:
-        return F.struct(
-            F.get(toks, 2 * i - 1).try_cast("int").alias("idx"),
-            F.get(toks, 2 * i).try_cast("double").alias("val"),
-        )
-
-    n_pairs = F.floor((F.size(toks) - 1) / 2).cast("int")
-    return F.when(
-        F.size(toks) >= 3, F.transform(F.sequence(F.lit(1), n_pairs), pair)
-    ).otherwise(F.array().cast(FEATURES_TYPE))
+        return F.struct(toks[i].try_cast("int").alias("idx"), numbers[i + 1].alias("val"))
+
+    first_of_pairs = F.sequence(F.lit(1), F.size(toks) - 2, F.lit(2))
+    return F.when(F.size(toks) >= 3, F.transform(first_of_pairs, pair)).otherwise(F.array().cast(FEATURES_TYPE))
 
 
 def finish_parse(df: DataFrame, mode: str) -> DataFrame:

@@ -75,5 +75,8 @@ def cross_dots(a: SparseRows, b: SparseRows) -> np.ndarray:
 
 
 def square_distances(a: SparseRows, b: SparseRows) -> np.ndarray:
-    d = a.square_norms()[:, None] + b.square_norms()[None, :] - 2.0 * cross_dots(a, b)
-    return np.maximum(d, 0.0)
+    out = cross_dots(a, b)
+    out *= -2.0
+    out += a.square_norms()[:, None]
+    out += b.square_norms()[None, :]
+    return np.maximum(out, 0.0, out=out)

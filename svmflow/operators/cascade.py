@@ -10,15 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from svmflow.functions.vectors import last_index
 from svmflow.operators.large_group import WORKING_ROWS, train_large_group
 from svmflow.operators.metrics import accuracy
 from svmflow.operators.scoring import Scorer
-from svmflow.operators.split import merge_pairs, stratified_split
+from svmflow.operators.split import bucket_sizes, merge_pairs, stratified_split
 from svmflow.operators.subset_train import DEFAULT_EPS, Cell, feature_dim, train_subsets, trained_schema
 from svmflow.session import materialise, scratch_path
 
-ROWS_PER_SUBSET = 4000
-MAX_GROUP_ROWS = 8000
+ROWS_PER_SUBSET = 2500
+# A group of this size needs a kernel matrix of 200 MB in its task.
+MAX_GROUP_ROWS = 5000
 
 
 @dataclass(frozen=True)
@@ -48,16 +50,23 @@ def _train_layer(
     eps: float,
     max_group_rows: int,
     working_rows: int,
-    bounded: bool,
-) -> DataFrame:
-    """Train every group of a layer into a table: small ones a task each, large ones with the whole cluster."""
-    if bounded:
-        return materialise(train_subsets(groups, cells, n_subsets=n_subsets, eps=eps), path)
+    group_bound: int,
+) -> tuple[DataFrame, int]:
+    """Train every group of a layer into a table: small ones a task each, large ones with the whole cluster.
+
+    ``group_bound`` is a known upper bound of the group sizes. Only where it is
+    over the limit are the sizes counted. Returns the table and the bound
+    known by then.
+    """
+    everything = train_subsets(groups, cells, n_subsets=n_subsets, eps=eps)
+    if group_bound <= max_group_rows:
+        return materialise(everything, path), group_bound
     keys = ["model_id", "subset_id"] if "model_id" in groups.columns else ["subset_id"]
     sizes = groups.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if(F.col("label") > 0).alias("_pos"))
     fits = F.col("_n") <= max_group_rows
-    if sizes.where(~fits).isEmpty():
-        return materialise(train_subsets(groups, cells, n_subsets=n_subsets, eps=eps), path)
+    group_bound = sizes.agg(F.max("_n")).first()[0]
+    if group_bound <= max_group_rows:
+        return materialise(everything, path), group_bound
 
     small = groups.join(sizes.where(fits).select(*keys), keys, "left_semi")
     trained = materialise(train_subsets(small, cells, n_subsets=n_subsets, eps=eps), path)
@@ -80,7 +89,7 @@ def _train_layer(
                 {"model_id": F.lit(cell.model_id), "subset_id": F.lit(size["subset_id"]).cast("int")}
             )
             solved.select(*columns).write.mode("append").parquet(path)
-    return groups.sparkSession.read.schema(trained.schema).parquet(path)
+    return groups.sparkSession.read.schema(trained.schema).parquet(path), group_bound
 
 
 def cascade_train(
@@ -98,7 +107,8 @@ def cascade_train(
     """Train one binary RBF model per cell on ``samples`` (row_id, label +1/-1, features).
 
     All cells share the split and, in the first layer, the pass over the data
-    and its distance matrices; after that only support vectors move. Each
+    and its distance matrices (unless there are fewer subsets than cores);
+    after that only support vectors move. Each
     layer is written to the shared folder, so a lost executor costs one
     layer's tasks at most and no layer is trained twice. ``n_subsets`` may be
     any number from 1; by default it follows the row count. With
@@ -107,10 +117,13 @@ def cascade_train(
     """
     spark = samples.sparkSession
     rows = samples.select("row_id", "label", "features").where(F.col("label").isin(1.0, -1.0))
-    stats = rows.agg(
-        F.count_if(F.col("label") > 0).alias("pos"),
-        F.count_if(F.col("label") < 0).alias("neg"),
-        F.max(F.try_element_at("features", F.lit(-1))["idx"]).alias("top"),
+    # One pass gives the class sizes, the largest index and the split's bucket table.
+    top = F.max(last_index(F.col("features"))).alias("_top")
+    sizes = materialise(bucket_sizes(rows, top, label="label", seed=seed), scratch_path(spark, "bucket-sizes"))
+    stats = sizes.agg(
+        F.sum(F.when(F.col("label") > 0, F.col("_n"))).alias("pos"),
+        F.sum(F.when(F.col("label") < 0, F.col("_n"))).alias("neg"),
+        F.max("_top").alias("top"),
     ).first()
     if not stats["pos"] or not stats["neg"]:
         raise ValueError("training needs rows of both classes +1 and -1")
@@ -121,14 +134,17 @@ def cascade_train(
 
     n = n_subsets or math.ceil((stats["pos"] + stats["neg"]) / rows_per_subset)
     layers_path = scratch_path(spark, "cascade")
-    groups = stratified_split(rows, n, label="label", seed=seed)
-    # The split bounds the first layer's groups by itself.
-    bounded = math.ceil(stats["pos"] / n) + math.ceil(stats["neg"] / n) <= max_group_rows
-    if not bounded:
+    groups = stratified_split(rows, n, label="label", seed=seed, sizes=sizes)
+    if len(cells) > 1 and n < spark.sparkContext.defaultParallelism:
+        # Few subsets: spread the cells over tasks instead of training them one after the other.
+        groups = groups.withColumn("model_id", F.explode(F.array(*(F.lit(c.model_id) for c in cells))))
+    # The split fixes the size of the first layer's groups; a merge at most doubles it.
+    bound = math.ceil(stats["pos"] / n) + math.ceil(stats["neg"] / n)
+    if bound > max_group_rows:
         groups = materialise(groups, scratch_path(spark, "split"))
     layer = 1
     while True:
-        trained = _train_layer(
+        trained, bound = _train_layer(
             groups,
             cells,
             f"{layers_path}/layer={layer}",
@@ -136,12 +152,12 @@ def cascade_train(
             eps=eps,
             max_group_rows=max_group_rows,
             working_rows=working_rows,
-            bounded=bounded,
+            group_bound=bound,
         )
         if n == 1:
             break
         groups = merge_pairs(trained).drop("alpha", "rho")
-        n, layer, bounded = (n + 1) // 2, layer + 1, False
+        n, layer, bound = (n + 1) // 2, layer + 1, 2 * bound
 
     if gamma_scope == "subset":
         tops = {r["model_id"]: r["max_index"] for r in feature_dim(_per_model(groups, cells), ["model_id"]).collect()}

@@ -138,8 +138,10 @@ def support_blocks(
     """Support vectors in blocks of about ``block_bytes``, one at a time.
 
     The size is taken from the data first: 12 bytes per stored feature and 8
-    per coefficient.
+    per coefficient. A model of several blocks is written out by block, so
+    that each block is one small read.
     """
+    spark = support_vectors.sparkSession
     wanted = support_vectors.where(F.col("model_id").isin([m.model_id for m in models])).select(
         "model_id", "sv_id", "label", "coef", "features"
     )
@@ -148,10 +150,16 @@ def support_blocks(
         cost = 12 * F.size("features") + 8 * F.size("coef") + 16
         size = wanted.agg(F.coalesce(F.sum(cost), F.lit(0)).alias("bytes")).first()["bytes"]
         n_blocks = max(1, -(-size // block_bytes))
-        place = F.pmod(F.xxhash64("model_id", "sv_id"), F.lit(n_blocks))
+        if n_blocks == 1:
+            yield _to_blocks(wanted.toArrow(), models)
+            return
+        path = scratch_path(spark, "support-blocks")
+        block = F.pmod(F.xxhash64("model_id", "sv_id"), F.lit(n_blocks)).cast("int")
+        by_block = wanted.withColumn("_block", block).repartition(n_blocks, "_block")
+        by_block.write.partitionBy("_block").parquet(path)
+        stored = spark.read.schema(by_block.schema).parquet(path)
         for i in range(n_blocks):
-            part = wanted if n_blocks == 1 else wanted.where(place == i)
-            yield _to_blocks(part.toArrow(), models)
+            yield _to_blocks(stored.where(F.col("_block") == i).drop("_block").toArrow(), models)
     finally:
         wanted.unpersist()
 

@@ -45,6 +45,32 @@ def with_quotas(counts: DataFrame, n_subsets: int) -> DataFrame:
     )
 
 
+BUCKET_DIGITS = 4
+
+
+def _order_key(row_id: str, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string")))
+
+
+def _bucket(key: Column, digits: int) -> Column:
+    return F.conv(F.substring(key, 1, digits), 16, 10).cast("int")
+
+
+def bucket_sizes(
+    df: DataFrame,
+    *extra: Column,
+    row_id: str = "row_id",
+    label: str = "label_text",
+    seed: int = 0,
+    bucket_digits: int = BUCKET_DIGITS,
+) -> DataFrame:
+    """Rows per class and hash bucket (``_n``), with any extra aggregates of the same pass."""
+    if not 1 <= bucket_digits <= 5:
+        raise ValueError("bucket_digits must be 1..5: the bucket table has 16**digits rows per class")
+    keyed = df.withColumn("_bucket", _bucket(_order_key(row_id, seed), bucket_digits))
+    return keyed.groupBy(label, "_bucket").agg(F.count("*").alias("_n"), *extra)
+
+
 def stratified_split(
     df: DataFrame,
     n_subsets: int | Column,
@@ -52,7 +78,8 @@ def stratified_split(
     row_id: str = "row_id",
     label: str = "label_text",
     seed: int = 0,
-    bucket_digits: int = 4,
+    bucket_digits: int = BUCKET_DIGITS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Deal the rows of each class evenly over ``n_subsets`` in a seeded random order.
 
@@ -62,25 +89,24 @@ def stratified_split(
     a hash bucket plus the sizes of the buckets before it. The window sorts
     within buckets only: a class never passes through one task, however large
     its share of the rows. Four hex digits give 65,536 buckets per class.
+    Row ids must be unique. ``sizes`` takes a ``bucket_sizes`` table that is
+    already there and saves a pass over the rows.
     """
-    if not 1 <= bucket_digits <= 5:
-        raise ValueError("bucket_digits must be 1..5: the bucket table has 16**digits rows per class")
-    order_key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string")))
-    bucket = F.substring(order_key, 1, bucket_digits)
-
-    sizes = df.select(F.col(label), bucket.alias("_bucket")).groupBy(label, "_bucket").agg(F.count("*").alias("_n"))
+    if sizes is None:
+        sizes = bucket_sizes(df, row_id=row_id, label=label, seed=seed, bucket_digits=bucket_digits)
     earlier = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(label, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
 
-    in_bucket = Window.partitionBy(label, "_bucket").orderBy("_order", row_id)
+    # The bucket comes first: an integer that tells most rows apart makes the sort cheap.
+    in_bucket = Window.partitionBy("_bucket", label).orderBy("_order", row_id)
     ranked = (
-        df.withColumn("_order", order_key)
-        .withColumn("_bucket", F.substring("_order", 1, bucket_digits))
+        df.withColumn("_order", _order_key(row_id, seed))
+        .withColumn("_bucket", _bucket(F.col("_order"), bucket_digits))
         .withColumn("_place", F.row_number().over(in_bucket) - 1)
     )
     n = F.lit(n_subsets) if isinstance(n_subsets, int) else n_subsets
     return (
-        ranked.join(starts, [label, "_bucket"])
+        ranked.join(starts, ["_bucket", label])
         .withColumn("subset_id", ((F.col("_start") + F.col("_place")) % n).cast("int"))
         .drop("_order", "_bucket", "_place", "_start")
         .select(*df.columns, "subset_id")

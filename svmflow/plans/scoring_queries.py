@@ -78,22 +78,17 @@ def svm_score_oneclass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _score(spark, sf_dir, svm_type="one_class", kernel_type="rbf", gamma=GAMMA, rho=[0.001])
 
 
-@query(_binary_sql("d", 0.01, _SIGN))
+@query("""
+    WITH sv AS (SELECT DISTINCT label + 1 AS serial, CASE WHEN label < 5 THEN 1.0 ELSE -1.0 END AS coef FROM embeddings),
+    f AS (SELECT vec_id AS row_id, sum(coef * embedding[serial]::DOUBLE) - 0.01 AS f
+          FROM embeddings, sv GROUP BY vec_id)
+    SELECT row_id, round(f, 6) AS decision, CASE WHEN f > 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS prediction FROM f
+""")
 def svm_score_precomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that carry their kernel values: the dot product with each centroid by serial number."""
-    one_wide = fx.centroids(spark, sf_dir)
-    # The ten centroids as one row of columns, so every row meets them in a one-row broadcast.
-    wide = one_wide.groupBy().agg(
-        *(F.max(F.when(F.col("label") == k, F.transform("features", lambda f: f["val"]))).alias(f"c{k}") for k in range(10))
-    )
-    x = F.transform("embedding", lambda v: v.cast("double"))
-    def product(k: int):
-        terms = F.zip_with(x, F.col(f"c{k}"), lambda a, b: a * b)
-        return F.struct(F.lit(k + 1).alias("idx"), F.aggregate(terms, F.lit(0.0), lambda s, t: s + t).alias("val"))
-
-    serial = F.struct(F.lit(0).alias("idx"), F.col("vec_id").cast("double").alias("val"))
-    rows = fx.table(spark, sf_dir, "embeddings").join(F.broadcast(wide), F.lit(True))
-    rows = rows.select(F.col("vec_id").alias("row_id"), F.array(serial, *(product(k) for k in range(10))).alias("features"))
+    """Rows that carry their kernel values, by serial number of the training row."""
+    serial = F.struct(F.lit(0).alias("idx"), F.col("row_id").cast("double").alias("val"))
+    rows = fx.embedding_samples(spark, sf_dir)
+    rows = rows.select("row_id", F.concat(F.array(serial), "features").alias("features"))
     models, vectors = fx.binary_model(spark, sf_dir, "fixed", kernel_type="precomputed", rho=[0.01])
     serials = F.array(F.struct(F.lit(0).alias("idx"), (F.col("sv_id") + 1).cast("double").alias("val")))
     scored = Scorer(models, vectors.withColumn("features", serials)).score(rows)
@@ -246,7 +241,7 @@ def _stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = scratch_path(spark, "sample-files")
     rows = fx.table(spark, sf_dir, "embeddings")
     lines = rows.select(F.col("label").alias("part"), fx.dense_line(F.col("label")).alias("value"))
-    lines.repartition("part").write.partitionBy("part").text(source)
+    lines.write.partitionBy("part").text(source)
     models, vectors = fx.binary_model(spark, sf_dir, "fixed", kernel_type="linear", rho=[0.01])
     table, state = scratch_path(spark, "stream-scores"), scratch_path(spark, "stream-state")
     query = score_stream(spark, source, Scorer(models, vectors), table, state, run_ts="20240101000000")
@@ -268,6 +263,8 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM ({_STREAM_SQL}) GROUP BY target
 """)
 def stream_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy per arrived file; there is one file per native label."""
+    """Accuracy per arrived file, added up over the files of each native label."""
     part = F.regexp_extract(SOURCE_FILE, r"part=(\d+)/", 1).cast("int").alias("part")
-    return file_accuracy(_stream_scores(spark, sf_dir)).select(part, "total", "correct", "accuracy")
+    per_part = file_accuracy(_stream_scores(spark, sf_dir)).groupBy(part)
+    sums = per_part.agg(F.sum("total").alias("total"), F.sum("correct").alias("correct"))
+    return sums.withColumn("accuracy", F.try_divide("correct", "total") * 100.0)

@@ -23,7 +23,10 @@ def parse_samples(lines: DataFrame, *, value: str = "value", mode: str = "quaran
     """
     toks = F.col("_tokens")
     split = compute_once(lines, _tokens=tokens(F.col(value)))
-    parsed = compute_once(split, label=F.get(toks, F.lit(0)).try_cast("double"), features=token_pairs(toks))
+    numbered = compute_once(split, _numbers=toks.try_cast("array<double>"))
+    parsed = compute_once(numbered, features=token_pairs(toks, F.col("_numbers"))).withColumn(
+        "label", F.get("_numbers", F.lit(0))
+    )
     bad_pair = F.exists("features", lambda f: f["idx"].isNull() | f["val"].isNull())
     reason = (
         F.when(F.size(toks) == 0, "blank line")
@@ -33,7 +36,7 @@ def parse_samples(lines: DataFrame, *, value: str = "value", mode: str = "quaran
     out = (
         parsed.withColumn(REJECT_REASON, reason)
         .withColumn("label_text", leading_token(F.col(value)))
-        .drop("_tokens")
+        .drop("_tokens", "_numbers")
     )
     return finish_parse(out, mode)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from svmflow.functions.parsing import FEATURES_TYPE
 from svmflow.functions.probability import couple_pairs, pair_probability
 from svmflow.operators.scoring import Scorer, noise_scale, score
+from svmflow.sources.prediction_store import save_predictions
 from svmflow.sources.model_store import (
     SUPPORT_SCHEMA,
     export_support_vectors,
@@ -217,3 +218,24 @@ def test_rows_without_features(spark, setup):
     rows = spark.createDataFrame([(0, 1.0, []), (1, 1.0, [(50, 3.0)])], SAMPLES)
     out = score(rows, model, vectors(spark, "m", sv, [1], [1.0])).orderBy("row_id").collect()
     assert np.allclose([r["decision"][0] for r in out], [np.exp(-0.5), np.exp(-1.4)])
+
+
+def test_prediction_store(spark, setup, tmp_path):
+    draw, x, rows = setup
+    sv, coef = draw_matrix(np.random.default_rng(8), 6), np.linspace(-1, 1, 6)
+    for svm_type, label in (("c_svc", [1, -1]), ("epsilon_svr", None)):
+        path = str(tmp_path / svm_type)
+        model = model_row(spark, "m", svm_type=svm_type, kernel_type="linear", rho=[0.0], label=label)
+        scorer = Scorer(model, vectors(spark, "m", sv, np.sign(coef), coef))
+        for _ in range(2):
+            save_predictions(scorer.score(rows), path, scorer.models[0], run_ts="20240101000000")
+        save_predictions(scorer.score(rows.limit(3)), path, scorer.models[0], run_ts="20240102000000")
+        stored = spark.read.parquet(f"{path}/predictions")
+        assert sorted(r["count"] for r in stored.groupBy("run_ts").count().collect()) == [3, 40]
+        metrics = {r["total"]: r for r in spark.read.parquet(f"{path}/metrics").collect()}
+        assert set(metrics) == {3, 40}
+        f = x @ sv.T @ coef
+        if label:
+            assert metrics[40]["accuracy"] == pytest.approx((f > 0).mean() * 100)
+        else:
+            assert metrics[40]["mse"] == pytest.approx(((f - 1.0) ** 2).mean())
