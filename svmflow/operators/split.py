@@ -89,7 +89,7 @@ def stratified_split(
     a hash bucket plus the sizes of the buckets before it. The window sorts
     within buckets only: a class never passes through one task, however large
     its share of the rows. Four hex digits give 65,536 buckets per class.
-    Row ids must be unique. ``sizes`` takes a ``bucket_sizes`` table that is
+    Row ids must be unique and labels not null. ``sizes`` takes a ``bucket_sizes`` table that is
     already there and saves a pass over the rows.
     """
     if sizes is None:
@@ -105,8 +105,9 @@ def stratified_split(
         .withColumn("_place", F.row_number().over(in_bucket) - 1)
     )
     n = F.lit(n_subsets) if isinstance(n_subsets, int) else n_subsets
+    # Every bucket has a start; the outer join only spares the null checks an inner join would add.
     return (
-        ranked.join(starts, ["_bucket", label])
+        ranked.join(starts, ["_bucket", label], "left")
         .withColumn("subset_id", ((F.col("_start") + F.col("_place")) % n).cast("int"))
         .drop("_order", "_bucket", "_place", "_start")
         .select(*df.columns, "subset_id")

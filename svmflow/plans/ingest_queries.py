@@ -32,9 +32,11 @@ _LOG_SQL = """
 """
 
 
-@query(_LOG_SQL)
+@query(f"SELECT * REPLACE (coalesce(bytes, -1)::BIGINT AS bytes) FROM ({_LOG_SQL})")
 def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_log(fx.log_lines(spark, sf_dir)).drop("value")
+    """Parsed log lines; -1 stands for an unreadable byte count."""
+    parsed = parse_log(fx.log_lines(spark, sf_dir)).drop("value")
+    return parsed.withColumn("bytes", F.coalesce("bytes", F.lit(-1)))
 
 
 @query(f"""
@@ -88,13 +90,15 @@ def points_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT l_orderkey::INTEGER AS user_id, l_partkey::INTEGER AS movie_id, l_linenumber::DOUBLE AS rating,
-           CASE WHEN l_orderkey % 89 <> 0 THEN l_orderkey * 10 + l_linenumber END AS ts,
+           CASE WHEN l_orderkey % 89 <> 0 THEN l_orderkey * 10 + l_linenumber ELSE -1 END AS ts,
            CASE WHEN l_orderkey % 89 = 0 THEN 'not 4 fields' END AS reject_reason
     FROM lineitem
 """)
 def ratings_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed ratings; -1 stands for a missing timestamp."""
     parsed = parse_ratings(fx.rating_lines(spark, sf_dir))
-    return parsed.select("user_id", "movie_id", F.col("rating").cast("double").alias("rating"), "ts", "reject_reason")
+    rating = F.col("rating").cast("double").alias("rating")
+    return parsed.select("user_id", "movie_id", rating, F.coalesce("ts", F.lit(-1)).alias("ts"), "reject_reason")
 
 
 _LINES_SQL = """
