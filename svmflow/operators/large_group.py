@@ -1,9 +1,8 @@
 """C-SVC training of one group too large for a task, with the whole cluster.
 
 Decomposition (Joachims, 1999): the group stays a distributed table of rows
-with their alpha and gradient. Each round takes the rows that violate the
-optimality conditions most (a bounded working set), solves that small block,
-and lets every task add the block's effect to the gradients of its own rows.
+with their alpha and gradient. Each round takes a bounded working set of rows that
+violate the optimality conditions, solves that small block, and lets every task add the block's effect to the gradients of its own rows.
 The result meets the same stopping rule as a solve in one piece.
 """
 
@@ -32,17 +31,33 @@ def _movable(c: float) -> tuple[Column, Column]:
     return F.when(y > 0, below).otherwise(above), F.when(y > 0, above).otherwise(below)
 
 
-def _working_set(state: DataFrame, c: float, size: int) -> tuple[pa.Table, float]:
-    """The worst violators of both kinds, and the largest violation."""
+def _working_set(state: DataFrame, c: float, eps: float, size: int, round_no: int) -> pa.Table | None:
+    """The worst pair and a spread of other rows that violate the conditions; None once all are met.
+
+    Taking only the worst rows makes rounds undo each other on noisy data,
+    where those rows crowd together. A seeded hash draws evenly from all
+    violators on each side of the middle score instead; the worst rows come
+    first in the order, which is what convergence needs.
+    """
     up, down = _movable(c)
     scored = state.withColumn("_score", -F.col("label") * F.col("gradient"))
-    top = scored.where(up).orderBy(F.desc("_score"), "row_id").limit(size // 2).toArrow()
-    bottom = scored.where(down).orderBy(F.asc("_score"), "row_id").limit(size // 2).toArrow()
-    if top.num_rows == 0 or bottom.num_rows == 0:
-        return top, 0.0
-    gap = top["_score"][0].as_py() - bottom["_score"][0].as_py()
-    new = pc.invert(pc.is_in(bottom["row_id"], value_set=top["row_id"].combine_chunks()))
-    return pa.concat_tables([top, bottom.filter(new)]), gap
+    ends = scored.agg(
+        F.max(F.when(up, F.col("_score"))).alias("top"), F.min(F.when(down, F.col("_score"))).alias("bottom")
+    ).first()
+    if ends["top"] is None or ends["bottom"] is None or ends["top"] - ends["bottom"] < eps:
+        return None
+    middle = (ends["top"] + ends["bottom"]) / 2.0
+    draw = F.xxhash64("row_id", F.lit(round_no))
+
+    def side(movable: Column, beyond: Column, worst: float) -> DataFrame:
+        first = F.when(F.col("_score") == worst, 0).otherwise(1)
+        return scored.where(movable & beyond).orderBy(first, draw, "row_id").limit(size // 2)
+
+    # The two sides cannot meet: a score is above the middle or below it.
+    chosen = side(up, F.col("_score") > middle, ends["top"]).unionByName(
+        side(down, F.col("_score") < middle, ends["bottom"])
+    )
+    return chosen.drop("_score").toArrow().sort_by("row_id")
 
 
 def _gradient_update(shared: object, gamma: float) -> Callable:
@@ -102,10 +117,9 @@ def train_large_group(
     ).repartition(n_tasks, "row_id")
     path = scratch_path(spark, "large-group")
     state = materialise(start, path)
-    while True:
-        block, gap = _working_set(state, c, working_rows)
-        if gap < eps:
-            break
+    round_no = 0
+    while (block := _working_set(state, c, eps, working_rows, round_no)) is not None:
+        round_no += 1
         y = block["label"].to_numpy()
         old = block["alpha"].to_numpy()
         rows: SparseRows = from_arrow(block["features"])

@@ -118,7 +118,7 @@ def test_cells_trained_together_equal_cells_trained_alone(spark, data):
 
 def test_large_group_equals_one_solve(spark, data, single):
     df, x, y, ids = data
-    out = train_large_group(df, 1.0, 0.5, EPS, n_rows=len(ids), working_rows=60).collect()
+    out = train_large_group(df, 1.0, 0.5, EPS, n_rows=len(ids), working_rows=150).collect()
     alpha = np.zeros(len(ids))
     place = {r: i for i, r in enumerate(ids)}
     for row in out:
@@ -137,7 +137,7 @@ def test_large_group_equals_one_solve(spark, data, single):
 def test_groups_over_the_limit_are_still_solved(spark, data, single):
     """A limit below the merged sizes sends them through the distributed solver."""
     df, x, y, ids = data
-    result = cascade_train(df, [CELL, Cell("n", 1.0, 1.0)], n_subsets=2, max_group_rows=100, working_rows=80)
+    result = cascade_train(df, [CELL, Cell("n", 1.0, 1.0)], n_subsets=2, max_group_rows=100, working_rows=200)
     place = {r: i for i, r in enumerate(ids)}
     vectors = result.support_vectors.where("model_id = 'm'").collect()
     at = [place[v["row_id"]] for v in vectors]
