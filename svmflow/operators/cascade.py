@@ -128,7 +128,7 @@ def cascade_train(
     if not stats["pos"] or not stats["neg"]:
         raise ValueError("training needs rows of both classes +1 and -1")
     if gamma_scope == "global":
-        cells = [c if c.gamma is not None else replace(c, gamma=1.0 / max(1, stats["top"] or 0)) for c in cells]
+        cells = [c if c.gamma else replace(c, gamma=1.0 / max(1, stats["top"] or 0)) for c in cells]
     elif gamma_scope != "subset":
         raise ValueError("gamma_scope must be 'global' or 'subset'")
 
@@ -161,7 +161,7 @@ def cascade_train(
 
     if gamma_scope == "subset":
         tops = {r["model_id"]: r["max_index"] for r in feature_dim(_per_model(groups, cells), ["model_id"]).collect()}
-        cells = [c if c.gamma is not None else replace(c, gamma=1.0 / max(1, tops[c.model_id])) for c in cells]
+        cells = [c if c.gamma else replace(c, gamma=1.0 / max(1, tops[c.model_id])) for c in cells]
     return CascadeResult(_model_table(trained, cells), _support_table(trained), layers_path)
 
 

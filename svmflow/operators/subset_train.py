@@ -24,7 +24,7 @@ DEFAULT_EPS = 1e-3
 
 @dataclass(frozen=True)
 class Cell:
-    """One (C, gamma) setting and the model it leads to; gamma None means 1/largest index of the subset."""
+    """One (C, gamma) setting and the model it leads to; gamma None or 0 means 1/largest index."""
 
     model_id: str
     c: float = DEFAULT_C
@@ -93,7 +93,7 @@ def _trainer(cells: Sequence[Cell], eps: float, keep_all: bool) -> Callable[[pa.
                 # Nothing to separate: the rows move on unchanged and meet the other class later.
                 alpha, rho, keep = np.zeros(len(y)), float("nan"), np.ones(len(y), dtype=bool)
             else:
-                gamma = 1.0 / top if cell.gamma is None else cell.gamma
+                gamma = cell.gamma or 1.0 / top
                 kernel = np.exp(-gamma * distances)
                 alpha, gradient = solve(kernel, y, cell.c, eps)
                 rho = offset(alpha, y, gradient, cell.c)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from svmflow.functions.parsing import accepted, leading_token
 from svmflow.functions.vectors import dot, literal_vector, vector_sum
-from svmflow.operators import cascade, logreg, split, subset_train
+from svmflow.operators import cascade, logreg, split
 from svmflow.operators import grid as grids
+from svmflow.operators import subset_train as training
 from svmflow.plans import fixtures as fx
 from svmflow.plans.registry import query
 from svmflow.session import scratch_path
@@ -183,7 +184,7 @@ def vec_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT max(len(embedding))::INTEGER AS max_index FROM embeddings WHERE vec_id % 29 <> 0")
 def feature_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subset_train.feature_dim(accepted(parse_samples(fx.sample_lines(spark, sf_dir))))
+    return training.feature_dim(accepted(parse_samples(fx.sample_lines(spark, sf_dir))))
 
 
 @query("""
@@ -200,7 +201,7 @@ def default_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderstatus").alias("subset"),
         F.when(F.col("o_custkey") % 3 == 0, F.slice(one, 1, 0)).otherwise(one).alias("features"),
     )
-    return subset_train.default_gamma(rows, ["subset"]).withColumn("gamma", F.round("gamma", 9))
+    return training.default_gamma(rows, ["subset"]).withColumn("gamma", F.round("gamma", 9))
 
 
 @query("""
@@ -218,7 +219,7 @@ def precomputed_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("row_id"), F.array(first, rest).alias("features")
     )
-    return subset_train.precomputed_check(rows, 10).select("row_id", "reason")
+    return training.precomputed_check(rows, 10).select("row_id", "reason")
 
 
 def _gradient_sql(weights: list[str], x: str = "x{}") -> tuple[str, list[str]]:
@@ -286,10 +287,10 @@ def param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def subset_train_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+def subset_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One layer: every subset trained, all rows returned with their alpha."""
     subsets, n = _bounded_subsets(fx.training_samples(spark, sf_dir), ROWS_PER_SUBSET)
-    trained = subset_train.train_subsets(subsets, [subset_train.Cell("layer", 1.0, GAMMA)], n_subsets=n, keep_all=True)
+    trained = training.train_subsets(subsets, [training.Cell("layer", 1.0, GAMMA)], n_subsets=n, keep_all=True)
     return trained.drop("features")
 
 
@@ -297,12 +298,12 @@ def subset_train_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sv_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that survive the first layer, with their subset."""
     subsets, n = _bounded_subsets(fx.training_samples(spark, sf_dir), ROWS_PER_SUBSET)
-    trained = subset_train.train_subsets(subsets, [subset_train.Cell("layer", 1.0, GAMMA)], n_subsets=n)
+    trained = training.train_subsets(subsets, [training.Cell("layer", 1.0, GAMMA)], n_subsets=n)
     return trained.select("subset_id", "row_id", "label")
 
 
 def _trained(spark: SparkSession, sf_dir: str) -> cascade.CascadeResult:
-    cells = [subset_train.Cell("cascade", 1.0, GAMMA)]
+    cells = [training.Cell("cascade", 1.0, GAMMA)]
     return cascade.cascade_train(fx.training_samples(spark, sf_dir), cells, rows_per_subset=ROWS_PER_SUBSET)
 
 
@@ -311,7 +312,7 @@ def cascade_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final support vectors, from text lines to model."""
     parsed = accepted(parse_samples(fx.training_lines(spark, sf_dir)))
     samples = split.label_filter(parsed)
-    cells = [subset_train.Cell("cascade", 1.0, GAMMA)]
+    cells = [training.Cell("cascade", 1.0, GAMMA)]
     result = cascade.cascade_train(samples, cells, rows_per_subset=ROWS_PER_SUBSET)
     return result.support_vectors.select("model_id", "row_id", "label", F.round(F.col("coef")[0], 6).alias("coef"))
 
