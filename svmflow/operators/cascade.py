@@ -21,6 +21,8 @@ from svmflow.session import materialise, scratch_path
 ROWS_PER_SUBSET = 2500
 # A group of this size needs a kernel matrix of 200 MB in its task.
 MAX_GROUP_ROWS = 5000
+# Keys of large groups are broadcast up to this count.
+_BROADCAST_KEYS = 10_000
 
 
 @dataclass(frozen=True)
@@ -63,15 +65,20 @@ def _train_layer(
         return materialise(everything, path), group_bound
     keys = ["model_id", "subset_id"] if "model_id" in groups.columns else ["subset_id"]
     sizes = groups.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if(F.col("label") > 0).alias("_pos"))
-    fits = F.col("_n") <= max_group_rows
-    group_bound = sizes.agg(F.max("_n")).first()[0]
-    if group_bound <= max_group_rows:
+    sizes = materialise(sizes, scratch_path(groups.sparkSession, "group-sizes"))
+    large = sizes.where(F.col("_n") > max_group_rows)
+    found = sizes.agg(F.max("_n").alias("most"), F.count_if(F.col("_n") > max_group_rows).alias("large")).first()
+    group_bound = found["most"]
+    if not found["large"]:
         return materialise(everything, path), group_bound
 
-    small = groups.join(sizes.where(fits).select(*keys), keys, "left_semi")
+    # Without a broadcast every large group would pass through one task only to be dropped.
+    keys_only = large.select(*keys)
+    keys_only = F.broadcast(keys_only) if found["large"] <= _BROADCAST_KEYS else keys_only
+    small = groups.join(keys_only, keys, "left_anti")
     trained = materialise(train_subsets(small, cells, n_subsets=n_subsets, eps=eps), path)
     columns = trained_schema(groups).names
-    for size in sizes.where(~fits).toLocalIterator():
+    for size in large.toLocalIterator():
         mine = [c for c in cells if len(keys) == 1 or c.model_id == size["model_id"]]
         part = groups
         for key in keys:

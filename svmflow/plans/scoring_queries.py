@@ -34,7 +34,7 @@ def _binary_sql(kernel: str, rho: float, output: str) -> str:
         WITH {_CROSS},
         f AS (SELECT row_id, target, sum(CASE WHEN sv_id < 5 THEN 1.0 ELSE -1.0 END * {kernel}) - {rho} AS f
               FROM cross_terms GROUP BY row_id, target)
-        SELECT row_id, round(f, 6) AS decision, {output} FROM f
+        SELECT row_id, round(f, 9) + 0.0 AS decision, {output} FROM f
     """
 
 
@@ -44,7 +44,7 @@ _SIGN = "CASE WHEN f > 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS prediction"
 def _score(spark: SparkSession, sf_dir: str, **scalars) -> DataFrame:
     models, vectors = fx.binary_model(spark, sf_dir, "fixed", **scalars)
     scored = Scorer(models, vectors).score(fx.embedding_samples(spark, sf_dir))
-    return scored.select("row_id", F.round(F.col("decision")[0], 6).alias("decision"), "prediction")
+    return scored.select("row_id", F.round(F.col("decision")[0], 9).alias("decision"), "prediction")
 
 
 @query(_binary_sql(f"exp(-{GAMMA}::DOUBLE * dist)", 0.0, _SIGN))
@@ -67,10 +67,10 @@ def svm_score_sigmoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _score(spark, sf_dir, kernel_type="sigmoid", gamma=2.0, coef0=0.5)
 
 
-@query(_binary_sql(f"exp(-{GAMMA}::DOUBLE * dist)", 0.25, "round(f, 6) AS prediction"))
+@query(_binary_sql(f"exp(-{GAMMA}::DOUBLE * dist)", 0.25, "round(f, 9) + 0.0 AS prediction"))
 def svm_score_svr(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _score(spark, sf_dir, svm_type="epsilon_svr", kernel_type="rbf", gamma=GAMMA, rho=[0.25])
-    return scored.withColumn("prediction", F.round("prediction", 6))
+    return scored.withColumn("prediction", F.round("prediction", 9))
 
 
 @query(_binary_sql(f"exp(-{GAMMA}::DOUBLE * dist)", 0.001, _SIGN))
@@ -82,7 +82,7 @@ def svm_score_oneclass(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH sv AS (SELECT DISTINCT label + 1 AS serial, CASE WHEN label < 5 THEN 1.0 ELSE -1.0 END AS coef FROM embeddings),
     f AS (SELECT vec_id AS row_id, sum(coef * embedding[serial]::DOUBLE) - 0.01 AS f
           FROM embeddings, sv GROUP BY vec_id)
-    SELECT row_id, round(f, 6) AS decision, CASE WHEN f > 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS prediction FROM f
+    SELECT row_id, round(f, 9) + 0.0 AS decision, CASE WHEN f > 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS prediction FROM f
 """)
 def svm_score_precomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that carry their kernel values, by serial number of the training row."""
@@ -92,7 +92,7 @@ def svm_score_precomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     models, vectors = fx.binary_model(spark, sf_dir, "fixed", kernel_type="precomputed", rho=[0.01])
     serials = F.array(F.struct(F.lit(0).alias("idx"), (F.col("sv_id") + 1).cast("double").alias("val")))
     scored = Scorer(models, vectors.withColumn("features", serials)).score(rows)
-    return scored.select("row_id", F.round(F.col("decision")[0], 6).alias("decision"), "prediction")
+    return scored.select("row_id", F.round(F.col("decision")[0], 9).alias("decision"), "prediction")
 
 
 _OVO_SQL = f"""
@@ -192,7 +192,7 @@ def eval_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT 'stored' AS model_id, label::BIGINT AS sv_id, 'rbf' AS kernel_type, 0.5::DOUBLE AS gamma, i::INTEGER AS idx,
-           round(avg(embedding[i]::DOUBLE), 9) AS val
+           round(avg(embedding[i]::DOUBLE), 9) + 0.0 AS val
     FROM embeddings, range(1, 65) r(i) GROUP BY label, i
 """)
 def model_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,10 +202,15 @@ def model_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     run_ts = save_model(models, vectors, path)
     save_model(models, vectors, path, run_ts=run_ts)
     stored, sv = load_model(spark, path, "stored")
-    scalars = stored.select("model_id", "kernel_type", "gamma")
+    model = stored.first()
     flat = sv.select("model_id", "sv_id", F.inline("features"))
-    return flat.join(scalars, "model_id").select(
-        "model_id", "sv_id", "kernel_type", "gamma", "idx", F.round("val", 9).alias("val")
+    return flat.select(
+        "model_id",
+        "sv_id",
+        F.lit(model["kernel_type"]).alias("kernel_type"),
+        F.lit(model["gamma"]).alias("gamma"),
+        "idx",
+        F.round("val", 9).alias("val"),
     )
 
 
@@ -253,7 +258,7 @@ def _stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample files scored as they arrive."""
     scored = _stream_scores(spark, sf_dir)
-    decision = F.round(F.col("decision")[0], 6).alias("decision")
+    decision = F.round(F.col("decision")[0], 9).alias("decision")
     return scored.groupBy("target", decision, "prediction").agg(F.count("*").alias("n"))
 
 

@@ -92,19 +92,29 @@ _TRAIN = """(
            AS label_text, embedding FROM embeddings)"""
 
 
-def _n_subsets_sql(rows: str, rows_per_subset: int) -> str:
-    return f"(SELECT ceil(count(*) / {rows_per_subset}.0)::BIGINT FROM {rows} WHERE label_text IN ('+1', '-1'))"
+def _n_subsets_sql(rows: str, rows_per_subset: str) -> str:
+    return f"""(SELECT ceil(total / ({rows_per_subset})::DOUBLE)::BIGINT FROM (
+        SELECT count(*) AS total FROM {rows} WHERE label_text IN ('+1', '-1')))"""
 
 
-def _bounded_subsets(rows: DataFrame, rows_per_subset: int) -> tuple[DataFrame, int]:
+def _bounded_subsets(rows: DataFrame, rows_per_subset: int | None = None) -> tuple[DataFrame, int]:
     """A split whose subsets stay within a row count, whatever the size of the data."""
-    n = math.ceil(rows.count() / rows_per_subset)
+    total = rows.count()
+    n = math.ceil(total / (rows_per_subset or _rows_per_subset(total)))
     return split.stratified_split(rows, n), n
 
 
+def _rows_per_subset(total: int) -> int:
+    """About eight subsets of small data, the library's subset size on large data."""
+    return min(cascade.ROWS_PER_SUBSET, max(ROWS_PER_SUBSET, total // N_SUBSETS))
+
+
+_ROWS_PER_SUBSET_SQL = f"least({cascade.ROWS_PER_SUBSET}, greatest({ROWS_PER_SUBSET}, total // {N_SUBSETS}))"
+
+
 @query(f"""
     SELECT subset_id, count(*) AS n_lines
-    FROM ({_split_sql(_ORDERS, _n_subsets_sql(_ORDERS, FILE_ROWS))}) GROUP BY subset_id
+    FROM ({_split_sql(_ORDERS, _n_subsets_sql(_ORDERS, str(FILE_ROWS)))}) GROUP BY subset_id
 """)
 def whole_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each subset written as one text file and read back as one record."""
@@ -123,7 +133,7 @@ def whole_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     SELECT subset_id, count(*) AS n_rows, count(*) FILTER (WHERE label_text = '+1') AS n_positive,
            min(row_id) AS first_row, max(row_id) AS last_row
-    FROM ({_split_sql(_TRAIN, _n_subsets_sql(_TRAIN, ROWS_PER_SUBSET))}) GROUP BY subset_id
+    FROM ({_split_sql(_TRAIN, _n_subsets_sql(_TRAIN, _ROWS_PER_SUBSET_SQL))}) GROUP BY subset_id
 """)
 def subset_as_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each subset as one bounded group of one task."""
@@ -142,7 +152,7 @@ def subset_as_group(spark: SparkSession, sf_dir: str) -> DataFrame:
             }
         )
 
-    rows, n = _bounded_subsets(fx.training_samples(spark, sf_dir).select("row_id", "label_text"), ROWS_PER_SUBSET)
+    rows, n = _bounded_subsets(fx.training_samples(spark, sf_dir).select("row_id", "label_text"))
     schema = "subset_id int, n_rows bigint, n_positive bigint, first_row bigint, last_row bigint"
     return split.place_groups(rows, n).groupBy(split.TASK, "subset_id").applyInArrow(describe, schema)
 
@@ -161,7 +171,7 @@ def cascade_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT vec_id, round(list_sum(list_transform(range(1, 11), lambda i: embedding[i]::DOUBLE * (i / 10.0)::DOUBLE)), 9)
-           AS dot
+           + 0.0 AS dot
     FROM embeddings
 """)
 def vec_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +181,7 @@ def vec_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT i::INTEGER AS idx, round(sum(embedding[i]::DOUBLE), 6) AS total
+    SELECT i::INTEGER AS idx, round(sum(embedding[i]::DOUBLE), 6) + 0.0 AS total
     FROM embeddings, range(1, 65) r(i) GROUP BY i
 """)
 def vec_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +248,7 @@ _START = 0.1
 
 @query(
     "SELECT vec_id, "
-    + ", ".join(f"round({g}, 9) AS g{i}" for i, g in enumerate(_gradient_sql([str(_START)] * 10)[1]))
+    + ", ".join(f"round({g}, 9) + 0.0 AS g{i}" for i, g in enumerate(_gradient_sql([str(_START)] * 10)[1]))
     + f" FROM ({_POINTS})"
 )
 def logistic_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +264,7 @@ def _logreg_sql(steps: int) -> str:
         _, parts = _gradient_sql(names)
         step = ", ".join(f"any_value({n}) - sum({g}) AS {n}" for n, g in zip(names, parts, strict=True))
         ctes.append(f"s{k} AS (SELECT {step} FROM p, s{k - 1})")
-    rows = " UNION ALL ".join(f"SELECT {i} AS i, round(w{i}, 6) AS w FROM s{steps}" for i in range(10))
+    rows = " UNION ALL ".join(f"SELECT {i} AS i, round(w{i}, 6) + 0.0 AS w FROM s{steps}" for i in range(10))
     return f"WITH {', '.join(ctes)} {rows}"
 
 
@@ -289,7 +299,7 @@ def param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def subset_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One layer: every subset trained, all rows returned with their alpha."""
-    subsets, n = _bounded_subsets(fx.training_samples(spark, sf_dir), ROWS_PER_SUBSET)
+    subsets, n = _bounded_subsets(fx.training_samples(spark, sf_dir))
     trained = training.train_subsets(subsets, [training.Cell("layer", 1.0, GAMMA)], n_subsets=n, keep_all=True)
     return trained.drop("features")
 
@@ -297,14 +307,15 @@ def subset_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sv_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that survive the first layer, with their subset."""
-    subsets, n = _bounded_subsets(fx.training_samples(spark, sf_dir), ROWS_PER_SUBSET)
+    subsets, n = _bounded_subsets(fx.training_samples(spark, sf_dir))
     trained = training.train_subsets(subsets, [training.Cell("layer", 1.0, GAMMA)], n_subsets=n)
     return trained.select("subset_id", "row_id", "label")
 
 
 def _trained(spark: SparkSession, sf_dir: str) -> cascade.CascadeResult:
     cells = [training.Cell("cascade", 1.0, GAMMA)]
-    return cascade.cascade_train(fx.training_samples(spark, sf_dir), cells, rows_per_subset=ROWS_PER_SUBSET)
+    rows = fx.training_samples(spark, sf_dir)
+    return cascade.cascade_train(rows, cells, rows_per_subset=_rows_per_subset(rows.count()))
 
 
 @query()
@@ -313,7 +324,8 @@ def cascade_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = accepted(parse_samples(fx.training_lines(spark, sf_dir)))
     samples = split.label_filter(parsed)
     cells = [training.Cell("cascade", 1.0, GAMMA)]
-    result = cascade.cascade_train(samples, cells, rows_per_subset=ROWS_PER_SUBSET)
+    total = fx.table(spark, sf_dir, "embeddings").count()
+    result = cascade.cascade_train(samples, cells, rows_per_subset=_rows_per_subset(total))
     return result.support_vectors.select("model_id", "row_id", "label", F.round(F.col("coef")[0], 6).alias("coef"))
 
 
@@ -350,4 +362,4 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy per (C, gamma), best first."""
     rows = fx.training_samples(spark, sf_dir)
     points = grids.param_grid(spark, c_step=1.0, g_step=0.5, c_init=0.5, g_init=0.25, c_max=1.5, g_max=1.25)
-    return cascade.grid_search(rows, rows, points, rows_per_subset=ROWS_PER_SUBSET)
+    return cascade.grid_search(rows, rows, points, rows_per_subset=_rows_per_subset(rows.count()))
