@@ -68,10 +68,11 @@ def column_strips(rows: SparseRows) -> Iterator[np.ndarray]:
 
 def cross_dots(a: SparseRows, b: SparseRows) -> np.ndarray:
     """Dot product of every row of ``a`` with every row of ``b``."""
-    out = np.zeros((len(a), len(b)))
+    out = None
     for strip in column_strips(b):
-        out += a.dense(strip) @ b.dense(strip).T
-    return out
+        part = a.dense(strip) @ b.dense(strip).T
+        out = part if out is None else np.add(out, part, out=out)
+    return np.zeros((len(a), len(b))) if out is None else out
 
 
 def square_distances(a: SparseRows, b: SparseRows) -> np.ndarray:

@@ -19,8 +19,9 @@ from svmflow.operators.subset_train import DEFAULT_EPS, Cell, feature_dim, train
 from svmflow.session import materialise, scratch_path
 
 ROWS_PER_SUBSET = 2500
-# A group of this size needs a kernel matrix of 200 MB in its task.
-MAX_GROUP_ROWS = 5000
+# A group of this size needs a matrix of 512 MB in its task, two when several cells share it.
+# The way for larger groups is exact too, but takes many rounds, so the limit is as high as memory allows.
+MAX_GROUP_ROWS = 8000
 # Keys of large groups are broadcast up to this count.
 _BROADCAST_KEYS = 10_000
 

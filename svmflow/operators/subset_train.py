@@ -94,7 +94,9 @@ def _trainer(cells: Sequence[Cell], eps: float, keep_all: bool) -> Callable[[pa.
                 alpha, rho, keep = np.zeros(len(y)), float("nan"), np.ones(len(y), dtype=bool)
             else:
                 gamma = cell.gamma or 1.0 / top
-                kernel = np.exp(-gamma * distances)
+                # The last cell may overwrite the distances: one matrix less in memory.
+                kernel = np.multiply(distances, -gamma, out=distances if cell is todo[-1] else None)
+                np.exp(kernel, out=kernel)
                 alpha, gradient = solve(kernel, y, cell.c, eps)
                 rho = offset(alpha, y, gradient, cell.c)
                 keep = np.ones(len(y), dtype=bool) if keep_all else alpha > 0
