@@ -10,10 +10,32 @@ from pyspark.sql import functions as F
 from svmflow.llm.common import tables_in
 from svmflow.llm.mixing import mix
 from svmflow.llm.sharding import shard
+from svmflow.llm.url_redirects import ALLOW, BLOCK, url_verdicts
+from svmflow.llm.vector_pigeonhole import near_vectors
+
+URL_RULES = [
+    (ALLOW, "org/"),
+    (BLOCK, "example.org/es/"),
+    (BLOCK, "example.org/en/1"),
+    (ALLOW, "com/fr/"),
+    (BLOCK, "com/de/"),
+]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_redirect_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url by rule, or passed on from its aliases."""
+    (pages,) = tables_in(spark, sf_dir, "pages")
+    return url_verdicts(pages, URL_RULES)
+
+
+def op3_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.95."""
+    (vectors,) = tables_in(spark, sf_dir, "embeddings")
+    return near_vectors(vectors, 0.95)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents takes, by source weight."""
     (docs,) = tables_in(spark, sf_dir, "documents")
@@ -27,9 +49,48 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Query] = {"op8_mix_sources": op8_mix_sources, "op9_shards": op9_shards}
+QUERIES: dict[str, Query] = {
+    q.__name__: q
+    for q in (
+        op1_redirect_urls,
+        op3_vector_links,
+        op8_mix_sources,
+        op9_shards,
+    )
+}
 
 ORACLES: dict[str, str] = {
+    "op1_redirect_urls": r"""
+WITH RECURSIVE rules(verdict, host, path) AS (VALUES
+  ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+rests AS (SELECT page_id, html, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+          FROM pages),
+parts AS (
+  SELECT row_number() OVER () AS n, page_id, html,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(regexp_extract(rest, '^[^#]*'), '\?.*$') AS query
+  FROM rests),
+keyed AS (SELECT *, CASE WHEN host <> '' THEN host || regexp_replace(path, '/+$', '') || query END AS node FROM parts),
+judged AS (
+  SELECT k.n, k.page_id, k.host, k.path, k.node, k.html,
+         arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS own
+  FROM keyed k LEFT JOIN rules r
+    ON (k.host = r.host OR ends_with(k.host, '.' || r.host)) AND starts_with(k.path, r.path)
+  GROUP BY ALL),
+links AS (
+  SELECT node AS a, regexp_replace(regexp_extract(regexp_extract(html, '<link[^>]*rel="canonical"[^>]*>'),
+                                   'href="[a-z]+://([^"#]*)', 1), '/+$', '') AS b
+  FROM judged WHERE html LIKE '%rel="canonical"%'),
+reach(node, other) AS (
+  SELECT node, node FROM judged WHERE own = 'block'
+  UNION
+  SELECT r.node, CASE WHEN l.a = r.other THEN l.b ELSE l.a END FROM reach r JOIN links l ON l.a = r.other OR l.b = r.other)
+SELECT page_id, host, path, rule,
+       coalesce(own, CASE WHEN node IN (SELECT other FROM reach) THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged
+""",
     "op8_mix_sources": r"""
 WITH sized AS (
   SELECT doc_id, source, size, md5(concat_ws('|', 'mix', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR))) AS k
