@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from svmflow.llm.common import tables_in
 from svmflow.llm.mixing import mix
 from svmflow.llm.sharding import shard
+from svmflow.llm.shingle_rtree import jaccard_components
 from svmflow.llm.url_redirects import ALLOW, BLOCK, url_verdicts
 from svmflow.llm.vector_pigeonhole import near_vectors
 
@@ -30,6 +31,12 @@ def op1_redirect_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(pages, URL_RULES)
 
 
+def op2_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents at a Jaccard similarity of 0.75."""
+    (docs,) = tables_in(spark, sf_dir, "documents")
+    return jaccard_components(docs)
+
+
 def op3_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at a cosine of 0.95."""
     (vectors,) = tables_in(spark, sf_dir, "embeddings")
@@ -53,6 +60,7 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_redirect_urls,
+        op2_shingle_components,
         op3_vector_links,
         op8_mix_sources,
         op9_shards,
