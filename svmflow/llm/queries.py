@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from svmflow.llm.cgk_decontam import contamination
 from svmflow.llm.common import tables_in
 from svmflow.llm.mixing import mix
 from svmflow.llm.sharding import shard
@@ -56,6 +57,12 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that each document holds, up to word edits."""
+    docs, benchmark = tables_in(spark, sf_dir, "documents", "benchmark")
+    return contamination(docs, benchmark)
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -64,6 +71,7 @@ QUERIES: dict[str, Query] = {
         op3_vector_links,
         op8_mix_sources,
         op9_shards,
+        op10_benchmark_leaks,
     )
 }
 

@@ -16,6 +16,9 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE_VALUE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTE_VALUE[65:91] = _BYTE_VALUE[97:123]
+#: The same without ASCII punctuation: behind a word it then leaves the hash as it is.
+_PLAIN_VALUE = _BYTE_VALUE.copy()
+_PLAIN_VALUE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 0
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -38,7 +41,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _word_hashes(data: np.ndarray, offsets: np.ndarray, values: np.ndarray = _BYTE_VALUE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, words before each text) of texts that lie behind each other in ``data``."""
     n = len(data)
     if n == 0:
@@ -54,7 +57,7 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     power, inverse = _powers(n)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[data] * power, out=total[1:])
+        np.cumsum(values[data] * power, out=total[1:])
         raw = (total[ends] - total[starts]) * inverse[starts]
     return mix(raw), np.searchsorted(starts, offsets)
 
@@ -71,12 +74,18 @@ def text_blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         at = to
 
 
-def words_of(texts: pa.Array) -> Iterator[np.ndarray]:
-    """Hashes of the words of each text, A-Z lower-cased, in order."""
+def plain_words(texts: pa.Array, whole: bool = False) -> Iterator:
+    """Hashes of the words of each text in order, A-Z lower-cased, punctuation behind a word left out.
+
+    With ``whole`` the words of consecutive texts together, with the number of words before each.
+    """
     for _, data, offsets in text_blocks(texts):
-        words, before = _word_hashes(data, offsets)
-        for i in range(len(before) - 1):
-            yield words[before[i] : before[i + 1]]
+        words, before = _word_hashes(data, offsets, _PLAIN_VALUE)
+        if whole:
+            yield words, before
+        else:
+            for i in range(len(before) - 1):
+                yield words[before[i] : before[i + 1]]
 
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
