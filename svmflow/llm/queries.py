@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from svmflow.llm.cgk_decontam import contamination
 from svmflow.llm.common import tables_in
+from svmflow.llm.language_zstd import identify_language
 from svmflow.llm.mixing import mix
+from svmflow.llm.quality_resampling import quality_sample
 from svmflow.llm.sharding import shard
 from svmflow.llm.shingle_rtree import jaccard_components
+from svmflow.llm.toxicity_fm import toxicity
 from svmflow.llm.url_redirects import ALLOW, BLOCK, url_verdicts
 from svmflow.llm.vector_pigeonhole import near_vectors
 
@@ -44,6 +47,24 @@ def op3_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(vectors, 0.95)
 
 
+def op5_quality_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling towards the labelled good ones keeps."""
+    docs, labels = tables_in(spark, sf_dir, "documents", "labels")
+    return quality_sample(docs, labels)
+
+
+def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by compression."""
+    (docs,) = tables_in(spark, sf_dir, "documents")
+    return identify_language(docs)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a factorization machine."""
+    docs, labels = tables_in(spark, sf_dir, "documents", "labels")
+    return toxicity(docs, labels)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents takes, by source weight."""
     (docs,) = tables_in(spark, sf_dir, "documents")
@@ -69,6 +90,9 @@ QUERIES: dict[str, Query] = {
         op1_redirect_urls,
         op2_shingle_components,
         op3_vector_links,
+        op5_quality_sample,
+        op6_languages,
+        op7_toxicity,
         op8_mix_sources,
         op9_shards,
         op10_benchmark_leaks,

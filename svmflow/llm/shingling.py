@@ -43,9 +43,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _word_hashes(data: np.ndarray, offsets: np.ndarray, values: np.ndarray = _BYTE_VALUE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, words before each text) of texts that lie behind each other in ``data``."""
-    n = len(data)
-    if n == 0:
+    if len(data) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    total, starts, ends, inverse = _runs(data, offsets, values)
+    with np.errstate(over="ignore"):
+        raw = (total[ends] - total[starts]) * inverse[starts]
+    return mix(raw), np.searchsorted(starts, offsets)
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(running polynomial of the bytes, word starts, word ends, factors that undo a start)."""
+    n = len(data)
     white = _WHITE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -58,8 +66,7 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray, values: np.ndarray = _BY
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(values[data] * power, out=total[1:])
-        raw = (total[ends] - total[starts]) * inverse[starts]
-    return mix(raw), np.searchsorted(starts, offsets)
+    return total, starts, ends, inverse
 
 
 def text_blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -88,6 +95,25 @@ def plain_words(texts: pa.Array, whole: bool = False) -> Iterator:
                 yield words[before[i] : before[i + 1]]
 
 
+def plain_terms(texts: pa.Array, prefixes: tuple[int, ...] = (4, 5, 6)) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of the plain words of each text and of the first bytes of longer words."""
+    for _, data, offsets in text_blocks(texts):
+        if len(data) == 0:
+            yield from (np.zeros(0, np.uint64) for _ in offsets[1:])
+            continue
+        total, starts, ends, inverse = _runs(data, offsets, _PLAIN_VALUE)
+        with np.errstate(over="ignore"):
+            kinds = [mix((total[ends] - total[starts]) * inverse[starts])]
+            for n in prefixes:
+                # A word without so many bytes stands for itself.
+                to = np.minimum(starts + n, ends)
+                kinds.append(np.where(starts + n < ends, mix((total[to] - total[starts]) * inverse[starts], n), kinds[0]))
+        before = np.searchsorted(starts, offsets)
+        terms = np.stack(kinds, axis=1)
+        for i in range(len(before) - 1):
+            yield np.unique(terms[before[i] : before[i + 1]])
+
+
 def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text: ``width`` words, or all words of a shorter text; none without words."""
     factors = mix(np.arange(1, width + 1, dtype=np.uint64))
