@@ -18,7 +18,7 @@ GRAM, BUCKETS = 3, 1 << 16
 #: Labelled good documents at most that the target model is fitted on.
 TARGET_ROWS = 20_000
 #: Part of the fitted good documents that may lie below the weight which sets how many documents are sampled.
-LOST_PART = 0.005
+LOST_PART = 0.001
 #: Equal parts that a search for the k-th key looks at in one pass.
 PARTS = 256
 
