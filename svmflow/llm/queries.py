@@ -17,6 +17,7 @@ from svmflow.llm.shingle_rtree import jaccard_components
 from svmflow.llm.toxicity_fm import toxicity
 from svmflow.llm.url_redirects import ALLOW, BLOCK, url_verdicts
 from svmflow.llm.vector_pigeonhole import near_vectors
+from svmflow.llm.wrapper_html import extract_text
 
 URL_RULES = [
     (ALLOW, "org/"),
@@ -47,6 +48,12 @@ def op3_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(vectors, 0.95)
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by its host's wrapper."""
+    (pages,) = tables_in(spark, sf_dir, "pages")
+    return extract_text(pages)
+
+
 def op5_quality_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards the labelled good ones keeps."""
     docs, labels = tables_in(spark, sf_dir, "documents", "labels")
@@ -90,6 +97,7 @@ QUERIES: dict[str, Query] = {
         op1_redirect_urls,
         op2_shingle_components,
         op3_vector_links,
+        op4_main_text,
         op5_quality_sample,
         op6_languages,
         op7_toxicity,
