@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from svmflow.llm.common import fresh
-from svmflow.llm.shingling import mix, plain_words
+from svmflow.llm.shingling import mix, plain_words, slices
 
 #: Steps of the random walk that a signature may sample; they cover about half as many words.
 STEPS = 24
@@ -196,7 +196,7 @@ def _search(index, text: str, found: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = index.value
-        for batch in batches:
+        for batch in slices(batches):
             hits: dict[int, list] = {}
             at = 0
             for words, before in plain_words(batch[text], whole=True):

@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from svmflow.llm.common import fresh, save
-from svmflow.llm.shingling import mix, text_blocks
+from svmflow.llm.shingling import mix, slices, text_blocks
 
 #: UTF-8 bytes of an n-gram, and the buckets that n-grams are hashed into.
 GRAM, BUCKETS = 3, 1 << 16
 #: Labelled good documents at most that the target model is fitted on.
 TARGET_ROWS = 20_000
 #: Part of the fitted good documents that may lie below the weight which sets how many documents are sampled.
-LOST_PART = 0.001
+LOST_PART = 0.003
 #: Equal parts that a search for the k-th key looks at in one pass.
 PARTS = 256
 
@@ -43,7 +43,7 @@ def _inside(offsets: np.ndarray, n: int) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         for _, data, offsets in text_blocks(batch["text"]):
             buckets = gram_buckets(data)
             counts += np.bincount(buckets[_inside(offsets, len(buckets))], minlength=BUCKETS)

@@ -10,14 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from svmflow.llm.common import save
+from svmflow.llm.common import fresh, save
 from svmflow.llm.components import components
-from svmflow.llm.shingling import mix, shingle_sets
+from svmflow.llm.shingling import mix, shingle_sets, slices
 
 #: Words of a shingle, and the least Jaccard similarity of a link in hundredths.
 WIDTH, LEAST = 5, 75
-#: Groups that shingles are hashed into: the dimensions of the indexed points.
-GROUPS = 64
+#: Groups that shingles are hashed into: the dimensions of the indexed points. A larger set also keeps
+#: the counts of finer groups, one for about four shingles, as its bound is useless with few.
+GROUPS, SHINGLES_PER_GROUP, MOST_GROUPS = 64, 4, 1 << 16
 #: Rows of a leaf of the tree.
 LEAF = 32
 #: Rows of one cell that one task joins; a fuller cell is joined in pairs of chunks.
@@ -47,7 +48,7 @@ def _set_key(hashes: np.ndarray) -> tuple[int, int]:
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its id, set size and set key; at the end the bins that are common in this task."""
     bins, total = np.zeros(BINS, np.int32), 0
-    for batch in batches:
+    for batch in slices(batches):
         sizes, one, two = [], [], []
         for hashes in shingle_sets(batch["text"], WIDTH):
             k1, k2 = _set_key(hashes)
@@ -79,17 +80,26 @@ def prefix_length(n: int) -> int:
     return n - (LEAST * n + 99) // 100 + 1
 
 
+def group_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each group; groups are parts of the hash range, so finer ones add up to coarser."""
+    bits = min(MOST_GROUPS, max(GROUPS, len(hashes) // SHINGLES_PER_GROUP)).bit_length() - 1
+    return np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u4")
+
+
+def _fold(counts: np.ndarray, groups: int) -> np.ndarray:
+    return counts.reshape(groups, -1).sum(axis=1)
+
+
 def _index_rows(levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of = levels.value
-        for batch in batches:
+        for batch in slices(batches):
             one, two, point, prefix, lengths = [], [], [], [], []
             for hashes in shingle_sets(batch["text"], WIDTH):
                 k1, k2 = _set_key(hashes)
                 one.append(k1)
                 two.append(k2)
-                counts = np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
-                point.append(counts.astype("<i4").tobytes())
+                point.append(group_counts(hashes).tobytes())
                 level = level_of[hashes & _MEMBER]
                 first = hashes if not level.any() else hashes[np.argsort(level, kind="stable")]
                 first = first[: prefix_length(len(hashes))] if len(hashes) else first
@@ -111,7 +121,7 @@ def _index_rows(levels):
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sets = list(shingle_sets(batch["text"], WIDTH))
         keys = [_set_key(s) for s in sets]
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
@@ -177,11 +187,20 @@ def tree_pairs(
 def _tree_task(key: tuple, table: pa.Table) -> pa.Table:
     table = table.combine_chunks()
     column = lambda name: np.asarray(table[name].combine_chunks())
-    point = np.frombuffer(b"".join(table["point"].to_pylist()), "<i4").reshape(-1, GROUPS)
-    uid = column("uid")
-    a, b = tree_pairs(column("n"), point, column("component"), column("cell"), column("side"))
-    pairs = np.unique(np.stack([np.minimum(uid[a], uid[b]), np.maximum(uid[a], uid[b])]), axis=1)
-    return pa.table({"a": pairs[0], "b": pairs[1]})
+    fine = [np.frombuffer(p, "<u4").astype(np.int64) for p in table["point"].to_pylist()]
+    point = np.stack([_fold(f, GROUPS) for f in fine])
+    uid, size = column("uid"), column("n")
+    a, b = tree_pairs(size, point, column("component"), column("cell"), column("side"))
+    a, b = np.where(uid[a] < uid[b], a, b), np.where(uid[a] < uid[b], b, a)
+    _, first = np.unique(np.stack([uid[a], uid[b]]), axis=1, return_index=True)
+    kept = [k for k in first.tolist() if _finer_bound(fine[a[k]], fine[b[k]]) >= _needed(size[a[k]], size[b[k]])]
+    return pa.table({"a": uid[a[kept]], "b": uid[b[kept]]})
+
+
+def _finer_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """Most shingles that two sets can share, by the finest groups that both keep."""
+    groups = min(len(a), len(b))
+    return int(np.minimum(_fold(a, groups), _fold(b, groups)).sum())
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -190,34 +209,26 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     Sets are read again from the texts of the documents that pairs name. A
     document that many pairs share as ``b`` is dealt out under several salts.
     """
-    ends = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-    involved = save(reps.join(ends, "uid").select("uid", F.col("rep_id").alias("id"), "k1", "k2"), "jaccard-involved")
+    key = ["id", "k1", "k2"]
+    named = lambda end: reps.select(F.col("uid").alias(end), F.col("rep_id").alias("id"), "k1", "k2")
+    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_LINKS).alias("salts"))
+    salted = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
+    left, right = salted.join(named("a"), "a").drop("salts"), salts.join(named("b"), "b")
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
     # At most ID_BITS values, whatever the data.
-    bits = involved.select(bit("id").alias("bit")).distinct()
-    texts = docs.join(F.broadcast(bits), bit("id") == F.col("bit"), "left_semi").select("id", "text")
+    bits = left.select(bit("id").alias("bit")).union(right.select(bit("id"))).distinct()
     sets = (
-        texts.mapInArrow(_whole_sets, "id long, k1 long, k2 long, members array<long>")
-        .join(involved, ["id", "k1", "k2"])
-        .groupBy("uid")
-        .agg(F.first("members").alias("members"))
+        docs.join(F.broadcast(bits), bit("id") == F.col("bit"), "left_semi")
+        .select("id", "text")
+        .mapInArrow(_whole_sets, "id long, k1 long, k2 long, members array<long>")
     )
-    sets = save(sets, "jaccard-sets")
-    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_LINKS).alias("salts"))
-    lead = (
-        sets.withColumnRenamed("uid", "b")
-        .join(salts, "b")
-        .select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("members").alias("members_b"))
+    spokes = sets.join(left, key).select("a", "b", "salt", "members")
+    hubs = sets.join(right, key).select(
+        "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("members").alias("members_b")
     )
-    salted = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
     both = F.size(F.array_intersect("members", "members_b"))
     either = F.size("members") + F.size("members_b") - both
-    return (
-        salted.join(sets.withColumnRenamed("uid", "a"), "a")
-        .join(lead, ["b", "salt"])
-        .where(both * 100 >= either * LEAST)
-        .select("a", "b")
-    )
+    return spokes.join(hubs, ["b", "salt"]).where(both * 100 >= either * LEAST).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,6 +300,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that a document of a smaller id stands for; columns stay as they are.
+
+    Rows without id or words stay; of rows that repeat one id one stays. Only
+    rows that may go are shuffled: the others are told apart by a table of
+    hashed ids of fixed size.
+    """
+    found = save(jaccard_components(docs, id_col, text_col), "jaccard-found")
+    known = found.where(F.col(id_col).isNotNull())
+    gone = known.groupBy(F.col(id_col).alias("gone_id")).agg(
+        F.max(F.col("component_id") < F.col(id_col)).alias("gone"), F.count("*").alias("times")
+    ).where("gone or times > 1")
+    gone = save(gone, "jaccard-gone")
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
+    bits = F.broadcast(gone.select(bit(F.col("gone_id").cast("long")).alias("bit")).distinct())  # ID_BITS rows at most
+    marked, nth = fresh("bit"), fresh("nth")
+    rows = docs.withColumn(marked, bit(F.col(id_col).cast("long")))
+    sure = rows.join(bits, F.col(marked) == F.col("bit"), "left_anti").drop(marked)
+    of_id = Window.partitionBy(id_col).orderBy(text_col)
+    unsure = (
+        rows.join(bits, F.col(marked) == F.col("bit"), "left_semi")
+        .drop(marked)
+        .join(gone, F.col(id_col) == F.col("gone_id"), "left")
+        .where("gone is null or not gone")
+        .withColumn(nth, F.row_number().over(of_id))
+        .where((F.col(nth) == 1) | F.col(id_col).isNull())
+        .select(*(F.col(f"`{c}`") for c in docs.columns))
+    )
+    return sure.union(unsure)
+
+
 def _apart(met: DataFrame, spokes: DataFrame, first: DataFrame) -> DataFrame:
     """(cell, uid, n) of the cells whose entries are not all connected yet; one cell of those with equal entries."""
     of = lambda name: first.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))

@@ -69,6 +69,13 @@ def _runs(data: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tuple[np
     return total, starts, ends, inverse
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in small parts, so that what a task derives from its rows stays small too."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, UTF-8 bytes, offsets) of consecutive rows of a text column; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")

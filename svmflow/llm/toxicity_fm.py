@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from svmflow.llm.common import save
-from svmflow.llm.shingling import plain_terms
+from svmflow.llm.shingling import plain_terms, slices
 
 #: Labelled documents of each class that the machine is fitted on, about.
 TRAIN_PER_CLASS = 4_000
@@ -35,7 +35,7 @@ def _terms(text: str, keep: tuple[str, ...]):
     """Rows of ``keep`` with the distinct hashed terms of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [t >> np.uint64(64 - HASH_BITS) for t in plain_terms(batch[text])]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
