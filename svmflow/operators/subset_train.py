@@ -86,7 +86,9 @@ def _trainer(cells: Sequence[Cell], eps: float, keep_all: bool) -> Callable[[pa.
             todo = list(cells)
         one_class = len(np.unique(y)) < 2
         distances = None if one_class else square_distances(rows, rows)
-        top = float(max(rows.idx.max(initial=0), 1))
+        # Indices ascend, so the last of a row is its largest.
+        ends = rows.offsets[1:][np.diff(rows.offsets) > 0] - 1
+        top = float(max(rows.idx[ends].max(initial=0), 1))
         out = []
         for cell in todo:
             if one_class:
@@ -99,6 +101,8 @@ def _trainer(cells: Sequence[Cell], eps: float, keep_all: bool) -> Callable[[pa.
                 np.exp(kernel, out=kernel)
                 alpha, gradient = solve(kernel, y, cell.c, eps)
                 rho = offset(alpha, y, gradient, cell.c)
+                if not np.isfinite(alpha).all() or not np.isfinite(rho):
+                    raise ValueError(f"model {cell.model_id}: training rows hold values that are not finite")
                 keep = np.ones(len(y), dtype=bool) if keep_all else alpha > 0
             kept = group.filter(pa.array(keep))
             n = kept.num_rows

@@ -118,7 +118,10 @@ def _render(spark: SparkSession, sf_dir: str) -> str:
 
 @query(f"SELECT value, true AS has_file FROM ({_LINES_SQL})")
 def dir_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    landed = land_directory(spark, _render(spark, sf_dir), scratch_path(spark, "landed"))
+    """A folder landed twice, as by a repeated job: every line is there once."""
+    source, table = _render(spark, sf_dir), scratch_path(spark, "landed")
+    land_directory(spark, source, table)
+    landed = land_directory(spark, source, table)
     return landed.select("value", F.col(SOURCE_FILE).isNotNull().alias("has_file"))
 
 

@@ -11,6 +11,7 @@ from svmflow.plans import fixtures as fx
 from svmflow.plans.registry import query
 from svmflow.session import scratch_path
 from svmflow.sources.model_store import export_support_vectors, load_model, save_model
+from svmflow.sources.prediction_store import save_predictions
 from svmflow.sources.text import SOURCE_FILE
 from svmflow.streaming.ingest import file_accuracy, score_stream
 
@@ -73,6 +74,49 @@ def svm_score_svr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("prediction", F.round("prediction", 9))
 
 
+_SAVED_SQL = """
+    SELECT '{model}' AS model_id, '{kind}' AS kind, count(*) AS n, count(DISTINCT row_id) AS n_rows, count(*) AS total,
+           {accuracy} AS accuracy, {mse} AS mse
+    FROM ({rows})
+"""
+
+
+@query(
+    _SAVED_SQL.format(
+        model="sign",
+        kind="classification",
+        accuracy="count(*) FILTER (WHERE prediction = target)::DOUBLE / count(*) * 100.0",
+        mse="NULL::DOUBLE",
+        rows=_binary_sql("d", 0.01, f"target, {_SIGN}"),
+    )
+    + " UNION ALL "
+    + _SAVED_SQL.format(
+        model="level",
+        kind="regression",
+        accuracy="NULL::DOUBLE",
+        mse="round(avg((f - target) * (f - target)), 6)",
+        rows=_binary_sql(f"exp(-{GAMMA}::DOUBLE * dist)", 0.25, "target, f"),
+    )
+)
+def prediction_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A classifier and a regression model, saved in one run and read back with their metrics."""
+    kinds = {
+        "sign": {"kernel_type": "linear", "rho": [0.01]},
+        "level": {"svm_type": "epsilon_svr", "kernel_type": "rbf", "gamma": GAMMA, "rho": [0.25]},
+    }
+    parts = [fx.binary_model(spark, sf_dir, name, **scalars) for name, scalars in kinds.items()]
+    scorer = Scorer(parts[0][0].union(parts[1][0]), parts[0][1].union(parts[1][1]))
+    samples = fx.embedding_samples(spark, sf_dir)
+    path = scratch_path(spark, "predictions")
+    save_predictions(scorer.score(samples), path, scorer.models, run_ts="20240101000000")
+    stored = spark.read.parquet(f"{path}/predictions").groupBy("model_id").agg(
+        F.count("*").alias("n"), F.count_distinct("row_id").alias("n_rows")
+    )
+    found = spark.read.option("mergeSchema", True).parquet(f"{path}/metrics")
+    mse = F.round("mse", 6).alias("mse")
+    return stored.join(found, "model_id").select("model_id", "kind", "n", "n_rows", "total", "accuracy", mse)
+
+
 @query(_binary_sql(f"exp(-{GAMMA}::DOUBLE * dist)", 0.001, _SIGN))
 def svm_score_oneclass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _score(spark, sf_dir, svm_type="one_class", kernel_type="rbf", gamma=GAMMA, rho=[0.001])
@@ -246,7 +290,8 @@ def _stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = scratch_path(spark, "sample-files")
     rows = fx.table(spark, sf_dir, "embeddings")
     lines = rows.select(F.col("label").alias("part"), fx.dense_line(F.col("label")).alias("value"))
-    lines.write.partitionBy("part").text(source)
+    malformed = rows.where("vec_id % 50 = 0").select("label", F.concat(F.lit("none 1:"), F.col("vec_id").cast("string")))
+    lines.union(malformed).write.partitionBy("part").text(source)
     models, vectors = fx.binary_model(spark, sf_dir, "fixed", kernel_type="linear", rho=[0.01])
     table, state = scratch_path(spark, "stream-scores"), scratch_path(spark, "stream-state")
     query = score_stream(spark, source, Scorer(models, vectors), table, state, run_ts="20240101000000")
@@ -254,12 +299,15 @@ def _stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table)
 
 
-@query(f"SELECT target, decision, prediction, count(*) AS n FROM ({_STREAM_SQL}) GROUP BY ALL")
+@query(f"""
+    SELECT target, decision, prediction, NULL::VARCHAR AS reject_reason, count(*) AS n FROM ({_STREAM_SQL}) GROUP BY ALL
+    UNION ALL SELECT NULL, NULL, NULL, 'bad label', count(*) FROM embeddings WHERE vec_id % 50 = 0
+""")
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sample files scored as they arrive."""
+    """Sample files scored as they arrive; malformed lines stay with their reason."""
     scored = _stream_scores(spark, sf_dir)
     decision = F.round(F.col("decision")[0], 9).alias("decision")
-    return scored.groupBy("target", decision, "prediction").agg(F.count("*").alias("n"))
+    return scored.groupBy("target", decision, "prediction", "reject_reason").agg(F.count("*").alias("n"))
 
 
 @query(f"""

@@ -20,6 +20,7 @@ def parse_samples(lines: DataFrame, *, value: str = "value", mode: str = "quaran
 
     ``label_text`` is the exact text before the first space, which training
     uses to pick its two classes; ``label`` is the first token as a number.
+    Numbers that are not finite and indices that do not ascend are rejected.
     """
     toks = F.col("_tokens")
     split = compute_once(lines, _tokens=tokens(F.col(value)))
@@ -28,10 +29,20 @@ def parse_samples(lines: DataFrame, *, value: str = "value", mode: str = "quaran
         "label", F.get("_numbers", F.lit(0))
     )
     bad_pair = F.exists("features", lambda f: f["idx"].isNull() | f["val"].isNull())
+    not_finite = F.exists("features", lambda f: F.isnan(f["val"]) | (F.abs(f["val"]) == float("inf")))
+    # Each index must be larger than the one before it: the last is then the largest, and none repeats.
+    index = F.transform("features", lambda f: f["idx"])
+    unordered = F.exists(
+        F.arrays_zip(F.slice(index, 1, F.size(index) - 1).alias("a"), F.slice(index, 2, F.size(index)).alias("b")),
+        lambda p: p["a"] >= p["b"],
+    )
+    label_not_finite = F.isnan("label") | (F.abs("label") == float("inf"))
     reason = (
         F.when(F.size(toks) == 0, "blank line")
         .when(F.col("label").isNull(), "bad label")
-        .when(bad_pair, "bad feature")
+        .when(label_not_finite, "bad label")
+        .when(bad_pair | not_finite, "bad feature")
+        .when((F.size("features") > 1) & unordered, "unordered features")
     )
     out = (
         parsed.withColumn(REJECT_REASON, reason)

@@ -21,9 +21,13 @@ def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def land_directory(spark: SparkSession, source: str, table_path: str) -> DataFrame:
-    """Append every line under ``source`` to a table, with the file it came from.
+    """Copy every line under ``source`` into a table, with the file it came from.
 
-    A missing source or a failing write raises.
+    The table has one partition per file. Landing a file again replaces its
+    lines, so a repeated job counts nothing twice, and leaves other files
+    alone. A missing source or a failing write raises.
     """
-    read_lines(spark, source, with_file=True).write.mode("append").parquet(table_path)
-    return spark.read.parquet(table_path)
+    lines = read_lines(spark, source, with_file=True)
+    writer = lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SOURCE_FILE)
+    writer.parquet(table_path)
+    return spark.read.schema(lines.schema).parquet(table_path)

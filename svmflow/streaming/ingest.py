@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from svmflow.functions.parsing import accepted
+from svmflow.functions.parsing import FEATURES_TYPE, REJECT_REASON, accepted
 from svmflow.operators.metrics import accuracy
 from svmflow.operators.scoring import Scorer
 from svmflow.sources.samples import parse_samples
@@ -56,16 +56,24 @@ def score_stream(
     """Score sample files as they arrive into a predictions table.
 
     Stateless and narrow: parsing and scoring per row, no shuffle. Malformed
-    lines are left out of the predictions; landing the same folder with
-    ``ingest_stream`` keeps them.
+    lines stay in the table with their ``reject_reason`` and a null prediction.
     """
     lines = stream_lines(spark, source, max_files=max_files)
-    samples = accepted(parse_samples(lines)).select(
-        SOURCE_FILE, "value", F.col("label").alias("target"), "features", F.lit(run_ts).alias("run_ts")
+    fine = F.col(REJECT_REASON).isNull()
+    samples = parse_samples(lines).select(
+        SOURCE_FILE,
+        "value",
+        F.when(fine, F.col("label")).alias("target"),
+        F.when(fine, F.col("features")).otherwise(F.array().cast(FEATURES_TYPE)).alias("features"),
+        REJECT_REASON,
+        F.lit(run_ts).alias("run_ts"),
     )
-    return _start(scorer.score(samples), table_path, checkpoint, once)
+    scored = scorer.score(samples)
+    made = [c for c in scored.columns if c not in samples.columns and c != "model_id"]
+    scored = scored.withColumns({c: F.when(fine, F.col(c)) for c in made})
+    return _start(scored, table_path, checkpoint, once)
 
 
 def file_accuracy(predictions: DataFrame) -> DataFrame:
-    """Accuracy per arrived file, model and run."""
-    return accuracy(predictions, by=[SOURCE_FILE, "model_id", "run_ts"])
+    """Accuracy per arrived file, model and run, over the lines that could be read."""
+    return accuracy(accepted(predictions), by=[SOURCE_FILE, "model_id", "run_ts"])

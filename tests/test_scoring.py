@@ -220,6 +220,21 @@ def test_rows_without_features(spark, setup):
     assert np.allclose([r["decision"][0] for r in out], [np.exp(-0.5), np.exp(-1.4)])
 
 
+def test_one_run_keeps_every_model(spark, setup, tmp_path):
+    draw, x, rows = setup
+    sv, coef = draw_matrix(np.random.default_rng(8), 6), np.linspace(-1, 1, 6)
+    models = [model_row(spark, m, svm_type=t, kernel_type="linear", rho=[0.0], label=label)
+              for m, t, label in (("a", "c_svc", [1, -1]), ("b", "c_svc", [1, -1]), ("c", "epsilon_svr", None))]
+    parts = [vectors(spark, m, sv, np.sign(coef), coef) for m in "abc"]
+    scorer = Scorer(models[0].union(models[1]).union(models[2]), parts[0].union(parts[1]).union(parts[2]))
+    path = str(tmp_path / "store")
+    save_predictions(scorer.score(rows), path, [m for m in scorer.models if m.model_id != "b"], run_ts="20240101000000")
+    save_predictions(scorer.score(rows), path, next(m for m in scorer.models if m.model_id == "b"), run_ts="20240101000000")
+    counts = {r["model_id"]: r["count"] for r in spark.read.parquet(f"{path}/predictions").groupBy("model_id").count().collect()}
+    assert counts == {"a": 40, "b": 40, "c": 40}
+    assert {r["model_id"] for r in spark.read.option("mergeSchema", True).parquet(f"{path}/metrics").collect()} == {"a", "b", "c"}
+
+
 def test_prediction_store(spark, setup, tmp_path):
     draw, x, rows = setup
     sv, coef = draw_matrix(np.random.default_rng(8), 6), np.linspace(-1, 1, 6)
