@@ -174,8 +174,8 @@ def test_main_text_of_messy_pages():
 
 def test_wrappers_hold_repeats_and_options():
     assert fold(list("abababc")) == [("+", ("a", "b")), "c"]
-    plain = "<html><body><ul><li>a<li>b</ul><article><p>x</p><p>y</p></article></body></html>"
-    other = "<html><body><ul><li>a</li></ul><h2>n</h2><article><p>x</p><p>z</p></article></body></html>"
+    plain = "<html><body><ul><li>a<li>b</ul><article><p>some longer text</p><p>and more</p></article></body></html>"
+    other = "<html><body><ul><li>a</li></ul><h2>n</h2><article><p>another long text</p><p>and more</p></article></body></html>"
     wrapper, region = infer([plain, other])
     assert region == "html/body/article"
     assert "( <li> #text )+" in wrapper and "( <p> #text )+" in wrapper
@@ -189,6 +189,6 @@ def test_extract_edges(spark):
         (5, "http://h.org/5", "<article>" + "<p>word</p>" * 5_000, 1), (1, "http://h.org/1", PAGE, 1), (None, "no host", "<p>x", 1),
     ]
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, region int")).collect()
-    assert sorted(r["n_chars"] for r in got) == sorted([33, 0, 33, 0, 24_999, 33, 1])
+    assert sorted(r["n_chars"] for r in got) == sorted([29, 0, 29, 0, 24_999, 29, 1])
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
