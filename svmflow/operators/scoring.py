@@ -280,11 +280,27 @@ class Scorer:
         self.probability = probability
         if probability:
             for m in self.models:
-                if m.svm_type in CLASSIFIERS and len(m.prob_a) * len(m.prob_b) != len(m.pairs) ** 2:
+                if m.svm_type in CLASSIFIERS:
+                    able = len(m.prob_a) * len(m.prob_b) == len(m.pairs) ** 2
+                else:
+                    # Regression carries the scale of its noise; one-class models have no probabilities.
+                    able = m.svm_type in REGRESSORS and len(m.prob_a) == 1
+                if not able:
                     raise ValueError(f"model {m.model_id} does not support probability estimates")
         sc = models.sparkSession.sparkContext
         self.blocks = [sc.broadcast(b) for b in support_blocks(support_vectors, self.models, block_bytes)]
 
+    def __enter__(self) -> Scorer:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Release the support vectors on all executors; frames scored with them must have been written by then."""
+        for block in self.blocks:
+            block.destroy()
+
     def score(self, samples: DataFrame) -> DataFrame:
         """Add ``model_id``, ``decision``, ``prediction``, ``probability`` in place of ``features``.
 

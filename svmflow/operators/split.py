@@ -115,20 +115,24 @@ def stratified_split(
 
 
 TASK = "_task"
+# Groups that one task takes at most; more groups mean more tasks, whatever the settings.
+GROUPS_PER_TASK = 16
 
 
 def place_groups(df: DataFrame, n_groups: int, group_no: Column | None = None) -> DataFrame:
     """Shuffle so that groups are dealt evenly over tasks; adds the task number as ``_task``.
 
     A group gets a task of its own up to the shuffle-partition setting, beyond
-    it every task gets the same number of groups. The placement is explicit,
+    it every task gets the same number of groups, ``GROUPS_PER_TASK`` at most;
+    the number of tasks so follows the data. The placement is explicit,
     so neither hash collisions nor runtime coalescing (which sees bytes, not
     training time) can queue groups behind each other. Grouping by ``_task``
     and the group's own key afterwards needs no further shuffle.
     """
     spark = df.sparkSession
     setting = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_tasks = max(1, min(n_groups, max(setting, spark.sparkContext.defaultParallelism)))
+    wanted = max(setting, spark.sparkContext.defaultParallelism, -(-n_groups // GROUPS_PER_TASK))
+    n_tasks = max(1, min(n_groups, wanted))
     number = F.col("subset_id") if group_no is None else group_no
     return df.withColumn(TASK, F.pmod(number, F.lit(n_tasks)).cast("int")).repartitionById(n_tasks, F.col(TASK))
 

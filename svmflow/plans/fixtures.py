@@ -141,7 +141,7 @@ def ovo_model(spark: SparkSession, sf_dir: str, model_id: str, **scalars) -> tup
         F.array(*coef).alias("coef"),
         "features",
     )
-    return model_rows(spark, model_id, rho=[0.0] * 45, label=list(range(10)), **scalars), vectors
+    return model_rows(spark, model_id, **{"rho": [0.0] * 45, "label": list(range(10))} | scalars), vectors
 
 
 def model_rows(spark: SparkSession, model_id: str, **scalars) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from svmflow.operators import metrics
-from svmflow.operators.scoring import Scorer
+from svmflow.operators.scoring import Scorer, noise_scale
 from svmflow.plans import fixtures as fx
 from svmflow.plans.registry import query
 from svmflow.session import scratch_path
@@ -139,25 +139,48 @@ def svm_score_precomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row_id", F.round(F.col("decision")[0], 9).alias("decision"), "prediction")
 
 
+_OVO_RHO = "((a.sv_id * 10 + b.sv_id) % 7 - 3) / 1000.0::DOUBLE"
 _OVO_SQL = f"""
     WITH {_CROSS},
     k AS (SELECT row_id, target, sv_id, exp(-4.0::DOUBLE * dist) AS k FROM cross_terms),
-    votes AS (
-        SELECT a.row_id, a.target, CASE WHEN a.k - b.k > 0 THEN a.sv_id ELSE b.sv_id END AS winner
+    pairs AS (
+        SELECT a.row_id, a.target, a.sv_id AS first, b.sv_id AS second, a.k - b.k - {_OVO_RHO} AS f
         FROM k a JOIN k b ON a.row_id = b.row_id AND a.sv_id < b.sv_id),
-    counted AS (SELECT row_id, target, winner, count(*) AS n FROM votes GROUP BY ALL)
-    SELECT row_id, target, winner::DOUBLE AS prediction
+    counted AS (
+        SELECT row_id, target, CASE WHEN f > 0 THEN first ELSE second END AS winner, count(*) AS n FROM pairs GROUP BY ALL),
+    summed AS (
+        SELECT row_id, round(sum(f * (first + 3 * second)), 6) + 0.0 AS decisions FROM pairs GROUP BY row_id)
+    SELECT row_id, target, winner::DOUBLE AS prediction, decisions
     FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY n DESC, winner) AS place FROM counted)
+         JOIN summed USING (row_id)
     WHERE place = 1
 """
 
 
 @query(_OVO_SQL)
 def svm_score_ovo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten classes, one centroid each: a vote over the 45 class pairs."""
-    models, vectors = fx.ovo_model(spark, sf_dir, "ovo", kernel_type="rbf", gamma=4.0)
+    """Ten classes, one centroid each: a vote over the 45 class pairs, each with an offset of its own."""
+    pairs = [(i, j) for i in range(10) for j in range(i + 1, 10)]
+    rho = [((i * 10 + j) % 7 - 3) / 1000.0 for i, j in pairs]
+    models, vectors = fx.ovo_model(spark, sf_dir, "ovo", kernel_type="rbf", gamma=4.0, rho=rho)
     scored = Scorer(models, vectors).score(fx.embedding_samples(spark, sf_dir))
-    return scored.select("row_id", "target", "prediction")
+    weighted = sum((F.col("decision")[k] * (i + 3 * j) for k, (i, j) in enumerate(pairs)), F.lit(0.0))
+    return scored.select("row_id", "target", "prediction", F.round(weighted, 6).alias("decisions"))
+
+
+@query("SELECT 'noisy' AS model_id, round(avg(l_discount), 9)::DOUBLE AS sigma FROM lineitem")
+def svr_noise_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The noise scale of a regression model, through the model store and back."""
+    sigma = fx.table(spark, sf_dir, "lineitem").agg(F.array(F.avg("l_discount")).alias("sigma"))
+    models, vectors = fx.binary_model(
+        spark, sf_dir, "noisy", svm_type="epsilon_svr", kernel_type="rbf", gamma=GAMMA, rho=[0.25], prob_a=[0.0]
+    )
+    columns = models.columns
+    models = models.join(sigma).withColumn("prob_a", F.col("sigma")).select(*columns)
+    path = scratch_path(spark, "noisy-model")
+    save_model(models, vectors, path)
+    stored, _ = load_model(spark, path, "noisy")
+    return noise_scale(stored).withColumn("sigma", F.round("sigma", 9))
 
 
 _A, _B = -1.5, 0.2

@@ -191,18 +191,18 @@ def feature_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT o_orderstatus AS subset, max(CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey % 100 + 1 END)::INTEGER
+    SELECT o_orderstatus AS subset, max(CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey % 100 + 7 END)::INTEGER
            AS max_index,
-           round(1.0 / max(CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey % 100 + 1 END), 9)::DOUBLE AS gamma
+           round(1.0 / max(CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey % 100 + 7 END), 9)::DOUBLE AS gamma
     FROM orders GROUP BY o_orderstatus
 """)
 def default_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-subset default gamma over rows with one feature or none."""
-    index = (F.col("o_custkey") % 100 + 1).cast("int")
-    one = F.array(F.struct(index.alias("idx"), F.col("o_totalprice").alias("val")))
+    """Per-subset default gamma over rows with three features or none."""
+    index = [(F.col("o_custkey") % 100 + k).cast("int") for k in (1, 4, 7)]
+    three = F.array(*(F.struct(i.alias("idx"), F.col("o_totalprice").alias("val")) for i in index))
     rows = fx.table(spark, sf_dir, "orders").select(
         F.col("o_orderstatus").alias("subset"),
-        F.when(F.col("o_custkey") % 3 == 0, F.slice(one, 1, 0)).otherwise(one).alias("features"),
+        F.when(F.col("o_custkey") % 3 == 0, F.slice(three, 1, 0)).otherwise(three).alias("features"),
     )
     return training.default_gamma(rows, ["subset"]).withColumn("gamma", F.round("gamma", 9))
 
