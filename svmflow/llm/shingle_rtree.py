@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from svmflow.llm.common import fresh, save
@@ -24,7 +24,7 @@ LEAF = 32
 #: Rows of one cell that one task joins; a fuller cell is joined in pairs of chunks.
 CHUNK_ROWS = 4_096
 #: Rows of the cells that share a task.
-TASK_ROWS = 50_000
+TASK_ROWS = 10_000
 #: Bins of the count of common shingles, and how far above its task's mean a bin must be to be told.
 BINS, COMMON_TIMES, COMMON_LEAST = 1 << 20, 4, 16
 #: Values of the hash that narrows the documents whose sets are needed again.
@@ -32,6 +32,12 @@ ID_BITS = 1 << 20
 #: Links of one document to its group's leader that are verified in one place.
 SALT_LINKS = 1_000
 
+#: The two leaders of an entry in a cell, and how their size classes are moved.
+LEADERS = {"lead_a": 0.0, "lead_b": 0.5}
+
+#: A leader is verified at once if it leads an entry in one cell for so many shingles; most linked pairs share more.
+LED_PART = 16
+
 _MEMBER = np.uint64(BINS - 1)
 
 
@@ -146,7 +152,7 @@ def tree_pairs(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs inside each cell that may link, by the bounds of an R-tree.
 
-    Rows of a cell are packed into leaves by size and then by their counts; a
+    Rows of a cell are packed into leaves by group, size and then their counts; a
     leaf keeps the least and the largest count of every dimension. The overlap
     of two sets is at most the sum of the smaller counts, for two leaves the
     sum of the smaller of their largest counts; pairs of leaves, then of rows,
@@ -154,33 +160,34 @@ def tree_pairs(
     ``group`` (already connected), and with both sides present pairs of one side.
     """
     found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    order = np.lexsort((point[:, 0], size, cell))
+    order = np.lexsort((point[:, 0], size, group, cell))
     cuts = np.flatnonzero(np.diff(cell[order])) + 1
     for rows in np.split(order, cuts):
         two_sided = side[rows].min() != side[rows].max()
         leaves = [rows[at : at + LEAF] for at in range(0, len(rows), LEAF)]
         low = np.array([size[leaf].min() for leaf in leaves])
         high = np.array([size[leaf].max() for leaf in leaves])
+        first = np.array([group[leaf].min() for leaf in leaves])
+        last = np.array([group[leaf].max() for leaf in leaves])
         top = np.array([point[leaf].max(axis=0) for leaf in leaves])
         for x, leaf in enumerate(leaves):
-            # Leaves are ordered by size: those whose sets are all too large end the scan.
-            reach = np.flatnonzero(LEAST * low[x:] <= 100 * high[x]) + x
+            fits = (LEAST * low[x:] <= 100 * high[x]) & (LEAST * low[x] <= 100 * high[x:])
+            fits &= (first[x] != last[x]) | (first[x:] != first[x]) | (last[x:] != last[x])
+            reach = np.flatnonzero(fits) + x
             bound = np.minimum(top[x], top[reach]).sum(axis=1)
             reach = reach[bound >= _needed(low[x], low[reach])]
-            if not len(reach):
-                continue
-            other = np.concatenate([leaves[y] for y in reach])
-            a, b = np.repeat(leaf, len(other)), np.tile(other, len(leaf))
-            nth = np.repeat(np.repeat(reach, [len(leaves[y]) for y in reach])[None, :], len(leaf), axis=0).ravel()
-            fits = (group[a] != group[b]) & ((nth != x) | (a < b))
-            if two_sided:
-                fits &= side[a] != side[b]
-            a, b = a[fits], b[fits]
-            fits = (LEAST * np.maximum(size[a], size[b]) <= 100 * np.minimum(size[a], size[b]))
-            a, b = a[fits], b[fits]
-            fits = np.minimum(point[a], point[b]).sum(axis=1) >= _needed(size[a], size[b])
-            found_a.append(a[fits])
-            found_b.append(b[fits])
+            for y in reach.tolist():
+                a, b = np.repeat(leaf, len(leaves[y])), np.tile(leaves[y], len(leaf))
+                fits = group[a] != group[b]
+                fits &= LEAST * np.maximum(size[a], size[b]) <= 100 * np.minimum(size[a], size[b])
+                if x == y:
+                    fits &= a < b
+                if two_sided:
+                    fits &= side[a] != side[b]
+                a, b = a[fits], b[fits]
+                fits = np.minimum(point[a], point[b]).sum(axis=1) >= _needed(size[a], size[b])
+                found_a.append(a[fits])
+                found_b.append(b[fits])
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
@@ -245,9 +252,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Equal sets are one entry. Entries meet in cells: those of the shingles that
     any two linked sets must share one of, in an order that puts common
     shingles last, so a passage that many documents share makes no cell. In
-    each cell every entry is first verified against the smallest one, which
-    links groups of copies by one pair an entry; what is then not connected is
-    joined by a count-vector R-tree, and survivors are verified exactly.
+    each cell entries are first verified against a leader, which links groups of
+    copies by one pair an entry; what is then not connected is joined by a count-vector R-tree, and survivors are verified exactly.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -272,22 +278,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     in_cell = Window.partitionBy("cell").orderBy("n", "uid")
     met = save(
         entries.select(F.explode("prefix").alias("cell"), "uid", F.col("n").cast("int").alias("n"))
-        .withColumn("lead_uid", F.first("uid").over(in_cell))
-        .withColumn("lead_n", F.first("n").over(in_cell))
+        .withColumn("previous", F.lag("uid").over(in_cell))
         .withColumn("next", F.lead("uid").over(in_cell))
-        .where("lead_uid <> uid or next is not null")
-        .drop("next"),
+        .where("previous is not null or next is not null")
+        .select("cell", "uid", "n", *(_leader(shift).alias(name) for name, shift in LEADERS.items())),
         "jaccard-met",
     )
-    spokes = save(met.where("lead_uid <> uid").select("uid", "lead_uid", "n", "lead_n").distinct(), "jaccard-spokes")
-    fitting = spokes.where(F.col("n") * LEAST <= F.col("lead_n") * 100)
-    stars = save(
-        _verified(fitting.select(F.col("uid").alias("a"), F.col("lead_uid").alias("b")), reps, source), "jaccard-stars"
+    spokes = save(
+        met.select("uid", "n", F.explode(F.array(*LEADERS)).alias("lead"))
+        .where("lead.uid <> uid")
+        .groupBy("uid", F.col("lead.uid").alias("lead_uid"))
+        .agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("lead.n").alias("lead_n")),
+        "jaccard-spokes",
+    )
+    # The leader of most cells of an entry; of equals the least hash, so that a group agrees on one.
+    best = F.max(F.struct("times", F.xxhash64("lead_uid"), "lead_uid"))["lead_uid"]
+    # Pairs that share few cells or differ too much in size are left to the tree, which rules out most by their counts.
+    fitting = spokes.where(F.greatest("n", "lead_n") * LEAST <= F.least("n", "lead_n") * 100).where(
+        F.col("times") * LED_PART >= F.col("n")
     )
-    first = components(stars)
-    apart = _apart(met, spokes, first)
-    left = _tree_candidates(apart, first, rows, reps)
-    links = stars.union(_verified(left, reps, source)) if left.head(1) else stars
+    pairs = save(fitting.groupBy(F.col("uid").alias("a")).agg(best.alias("b")), "jaccard-pairs")
+    links = save(_verified(pairs, reps, source), "jaccard-stars")
+    first = components(links)
+    left = _tree_candidates(_unfinished(met, _apart(spokes, first)), first, rows, reps)
+    if left.head(1):
+        links = links.union(_verified(left, reps, source))
     final = components(links)
     named = reps.join(final.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
         "component", F.coalesce("component", "uid")
@@ -331,20 +346,46 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return sure.union(unsure)
 
 
-def _apart(met: DataFrame, spokes: DataFrame, first: DataFrame) -> DataFrame:
-    """(cell, uid, n) of the cells whose entries are not all connected yet; one cell of those with equal entries."""
-    of = lambda name: first.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
-    differ = (
-        spokes.join(of("uid"), "uid", "left")
-        .join(of("lead_uid"), "lead_uid", "left")
-        .where(F.coalesce("uid_component", "uid") != F.coalesce("lead_uid_component", "lead_uid"))
+def _leader(shift: float) -> Column:
+    """One entry of the row's cell and size class, drawn by hash, so that most cells of a group draw the same one.
+
+    A class is as wide as two linked sets can differ in size, twice over; with
+    the classes moved by half their width, any two sets that may link share
+    one of their two classes.
+    """
+    width = 2 * math.log(100 / LEAST)
+    size_class = F.floor(F.log("n") / width + shift)
+    return F.first(F.struct("uid", "n")).over(Window.partitionBy("cell", size_class).orderBy(F.xxhash64("uid"), "uid"))
+
+
+def _apart(spokes: DataFrame, first: DataFrame) -> DataFrame:
+    """The ``(uid, lead_uid)`` that are not connected yet."""
+    of = lambda name, to: first.select(F.col("node").alias(name), F.col("component").alias(to))
+    return (
+        spokes.join(of("uid", "component"), "uid", "left")
+        .join(of("lead_uid", "lead_component"), "lead_uid", "left")
+        .withColumn("lead_component", F.coalesce("lead_component", "lead_uid"))
+        .where(F.coalesce("component", "uid") != F.col("lead_component"))
         .select("uid", "lead_uid")
     )
-    cells = met.join(differ, ["uid", "lead_uid"], "left_semi").select("cell").distinct()
-    rows = met.join(cells, "cell", "left_semi")
-    content = rows.groupBy("cell").agg(F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("content"), F.count("*").alias("rows"))
+
+
+def _unfinished(met: DataFrame, apart: DataFrame) -> DataFrame:
+    """(cell, uid, n) of the cells whose entries are not all connected; one cell of those with equal entries.
+
+    Entries that may link share a leader; where each is connected with its leaders, nothing is left to find.
+    """
+    cells = None
+    for name in LEADERS:
+        led = met.select("cell", "uid", F.col(f"{name}.uid").alias("lead_uid"))
+        found = led.join(apart, ["uid", "lead_uid"], "left_semi").select("cell")
+        cells = found if cells is None else cells.union(found)
+    rows = met.select("cell", "uid", "n").join(cells.distinct(), "cell", "left_semi")
+    content = rows.groupBy("cell").agg(
+        F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("content"), F.count("*").alias("rows")
+    )
     kept = content.groupBy("content", "rows").agg(F.min("cell").alias("cell"))
-    return save(rows.select("cell", "uid", "n").join(kept.select("cell", "rows"), "cell"), "jaccard-apart")
+    return save(rows.join(kept.select("cell", "rows"), "cell"), "jaccard-apart")
 
 
 def _tree_candidates(apart: DataFrame, first: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
