@@ -85,11 +85,15 @@ def assign(items: DataFrame, shards: int) -> DataFrame:
     spark = items.sparkSession
     levels: list[DataFrame] = []
     current = save(items, "shard-items")
+    # So many items can be large at most: half of what the last step takes.
+    most_large = max(1, min(shards * LARGE_PART, TASK_ITEMS // 2))
+    before = math.inf
     while True:
         n, total = current.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-        if n <= TASK_ITEMS:
+        if n <= TASK_ITEMS or n >= before:
             break
-        large = math.ceil(total / (shards * LARGE_PART))
+        before = n
+        large = math.ceil(total / most_large)
         tasks = math.ceil(n / TASK_ITEMS)
         schema = "item string, bytes long, part long"
         small = current.where(F.col("bytes") < large).withColumn(

@@ -79,6 +79,7 @@ def test_differencing_beats_greedy_on_the_textbook_case():
 def test_shards_are_whole_even_and_gapless(spark, monkeypatch, limit):
     monkeypatch.setattr(sharding, "TASK_ITEMS", limit)
     monkeypatch.setattr(sharding, "BUNDLES", 8)
+    monkeypatch.setattr(sharding, "LARGE_PART", 4)
     monkeypatch.setattr(sharding, "SLOT_ROWS", 20)
     rows = [(i, f"text {i % 150} " + "y" * (i % 150 * 7), "en", "a", 1) for i in range(400)]
     rows += [(None, None, None, None, None), (None, None, None, None, None), (500, "", "en", "a", 0), (7, "text 7 " + "y" * 49, "en", "a", 1)]
