@@ -63,6 +63,24 @@ def test_recall_of_edited_items(rate, least):
     assert found >= least * len(items)
 
 
+@pytest.mark.parametrize("n", [8, 9, 10, 11, 12, 13, 14, 15, 20, 31])
+def test_recall_of_short_items(n):
+    rng = random.Random(n)
+    vocabulary = [f"w{int(rng.expovariate(0.01))}" for _ in range(2_000)]
+    items = [" ".join(rng.choices(vocabulary, k=n)) for _ in range(40)]
+    index = ItemIndex.of(list(range(len(items))), items)
+    for i, item in enumerate(items):
+        for edits in range(edits_allowed(n) + 1):
+            text = item.split()
+            for k in range(edits):
+                at = rng.randrange(len(text))
+                text[at : at + k % 2] = [rng.choice(vocabulary)]
+            for before in (30, 31):
+                around = rng.choices(vocabulary, k=before)
+                hits = index.found(words(" ".join(around + text + around)))
+                assert hits[i] <= edits
+
+
 def test_leaks_in_tables(spark):
     item = "the quick brown fox jumps over the lazy dog near the old river bank today"
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (None, item), (4, "only three words"), (5, item)], "item_id long, text string")
