@@ -190,6 +190,19 @@ def test_main_text_of_messy_pages():
     assert main_text("just text &lt;3 <", None) == "just text <3 <"
 
 
+def test_title_and_lead_outside_the_body(spark):
+    body = "".join(f"<p>sentence {i} of the long text</p>" for i in range(20))
+    text = "\n".join(f"sentence {i} of the long text" for i in range(20))
+    page = "<html><body><div><a href=/>Start</a> <a href=/b>Shop</a></div><article><h1><a href=/{0}>Title {0}</a></h1>"
+    page += "<p>Lead {0}</p><div class=body>" + body + "</div></article></body></html>"
+    other = "<html><body><article><p>Teaser</p></article><div class=story><h1>Story</h1>" + body + "</div></body></html>"
+    assert main_text(page.format(1), None) == "Title 1\nLead 1\n" + text
+    rows = [(i, f"http://h.org/{i}", page.format(i)) for i in range(6)] + [(6, "http://h.org/6", other)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nLead {i}\n{text}" for i in range(6))
+    assert got[6] == "Teaser\nStory\n" + text
+
+
 def test_wrappers_hold_repeats_and_options():
     assert fold(list("abababc")) == [("+", ("a", "b")), "c"]
     plain = "<html><body><ul><li>a<li>b</ul><article><p>some longer text</p><p>and more</p></article></body></html>"
