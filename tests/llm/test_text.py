@@ -203,6 +203,17 @@ def test_title_and_lead_outside_the_body(spark):
     assert got[6] == "Teaser\nStory\n" + text
 
 
+@pytest.mark.parametrize("name", ["w-2/3", "has-sidebar", "content-sidebar-wrap", "comments-open", "social-science", "social"])
+def test_names_do_not_empty_pages(name):
+    start = f"<html><body><div class='sidebar'><p>Side</p></div><div class='footer-links'>Foot</div><div class='{name}'>"
+    page = start + "<h1>Title</h1><p>All of the main text stands in here</p><div id='post-comments'>Nice</div></div></body></html>"
+    _, region = infer([page])
+    assert region == "html/body/div." + name.replace("/", "%2F")
+    assert main_text(page, region) == main_text(page, None) == "Title\nAll of the main text stands in here"
+    long = "<div class=comments>" + "<p>What a long comment this is</p>" * 9 + "</div>"
+    assert main_text(f"<html><body><article><p>Short text</p></article>{long}</body></html>", None) == "Short text"
+
+
 def test_wrappers_hold_repeats_and_options():
     assert fold(list("abababc")) == [("+", ("a", "b")), "c"]
     plain = "<html><body><ul><li>a<li>b</ul><article><p>some longer text</p><p>and more</p></article></body></html>"
