@@ -13,7 +13,7 @@ from svmflow.llm.language_zstd import identify_language
 from svmflow.llm.quality_resampling import kth_largest, quality_documents, quality_sample
 from svmflow.llm.shingling import plain_words
 from svmflow.llm.toxicity_fm import FactorizationMachine, toxicity
-from svmflow.llm.wrapper_html import expression, extract_text, fold, infer, main_text, region_of
+from svmflow.llm.wrapper_html import expression, extract_text, fold, infer, infer_constants, main_text, matches, parse, region_of
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -203,6 +203,31 @@ def test_title_and_lead_outside_the_body(spark):
     assert got[6] == "Teaser\nStory\n" + text
 
 
+def test_template_text_is_left_out_of_matching_pages(spark):
+    page = "<html><body><div class=top><p>Welcome to this site of ours</p></div>{1}<article><h1>Title {0}</h1>"
+    page += "".join(f"<p>sentence {i} of page {{0}}</p>" for i in range(9)) + "<p>The end.</p></article></body></html>"
+    texts = ["\n".join([f"Title {k}", *(f"sentence {i} of page {k}" for i in range(9)), "The end."]) for k in range(6)]
+    pages = [page.format(i, "<h2>New</h2>" if i % 2 else "") for i in range(6)]
+    wrapper, region, constants = infer_constants(pages[:5])
+    assert "<p> #same" in wrapper and "( <p> #text )+" in wrapper and expression(parse(wrapper)) == wrapper
+    assert main_text(pages[0], region, wrapper, frozenset(constants)) == texts[0]
+    strange = pages[5].replace("<article>", "<table><tr><td>cell</td></tr></table><article>")
+    assert main_text(strange, region, wrapper, frozenset(constants)).startswith("Welcome to this site of ours\nNew\ncell\nTitle 5")
+    rows = [(i, f"http://h.org/{i}", p) for i, p in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(texts))
+    same = [p.replace("page ", "the one page") for p in [page.format(7, "")]] * 4
+    assert "sentence 8" in main_text(same[0], *infer(same))
+
+
+def test_pages_match_with_and_without_options():
+    wrapper = "a ( b c )? ( d )? ( e )+ ( f )?"
+    for page in ("abcdEf", "aE", "adE", "abcE", "aEf"):
+        assert matches(wrapper, [("+", ("e",)) if x == "E" else x for x in page])
+    for page in ("", "a", "abE", "acE", "aEE", "adbcE", "ae"):
+        assert not matches(wrapper, [("+", ("e",)) if x == "E" else x for x in page])
+
+
 @pytest.mark.parametrize("name", ["w-2/3", "has-sidebar", "content-sidebar-wrap", "comments-open", "social-science", "social"])
 def test_names_do_not_empty_pages(name):
     start = f"<html><body><div class='sidebar'><p>Side</p></div><div class='footer-links'>Foot</div><div class='{name}'>"
