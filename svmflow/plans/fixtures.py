@@ -106,6 +106,21 @@ def training_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Weights of the 64 dimensions whose sum labels the wide samples; no two are equal, none is 0.
+WIDE_WEIGHTS = [(i * 37) % 64 - 31.5 for i in range(64)]
+
+
+def wide_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, label_text, label, features): all 64 dimensions, label by the sign of their weighted sum."""
+    weighted = sum((F.col("embedding")[i].cast("double") * w for i, w in enumerate(WIDE_WEIGHTS)), F.lit(0.0))
+    df = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("row_id"), F.when(weighted > 0, "+1").otherwise("-1").alias("label_text"), "embedding"
+    )
+    return samples_from_arrays(df, "embedding").select(
+        "row_id", "label_text", F.col("label_text").cast("double").alias("label"), "features"
+    )
+
+
 def training_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training samples as text, one line each."""
     return training_samples(spark, sf_dir).select("row_id", F.concat_ws(" ", "label_text", feature_text()).alias("value"))

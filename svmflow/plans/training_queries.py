@@ -290,6 +290,10 @@ def param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SUBSET_ROWS = f"({_split_sql(_TRAIN, _n_subsets_sql(_TRAIN, str(ROWS_PER_SUBSET)))})"
+_WIDE = f"""(
+    SELECT vec_id AS row_id, CASE WHEN {" + ".join(f"embedding[{i + 1}]::DOUBLE * ({w})::DOUBLE" for i, w in enumerate(fx.WIDE_WEIGHTS))}
+           > 0 THEN '+1' ELSE '-1' END AS label_text FROM embeddings)"""
+_WIDE_SUBSET_ROWS = f"({_split_sql(_WIDE, _n_subsets_sql(_WIDE, str(ROWS_PER_SUBSET)))})"
 CELL = training.Cell("cascade", 1.0, GAMMA)
 
 
@@ -331,6 +335,16 @@ def subset_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _optimality(training.train_subsets(subsets, [CELL], n_subsets=n, keep_all=True))
 
 
+@query(f"""
+    SELECT subset_id, count(*) AS n_rows, true AS in_box, true AS balanced, true AS optimal
+    FROM {_WIDE_SUBSET_ROWS} GROUP BY subset_id
+""")
+def wide_subset_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One layer over whole embeddings, its alphas checked against the conditions of an optimum."""
+    subsets, n = _bounded_subsets(fx.wide_samples(spark, sf_dir))
+    return _optimality(training.train_subsets(subsets, [CELL], n_subsets=n, keep_all=True))
+
+
 @query(f"""
     SELECT subset_id, count(*) AS n_rows, true AS both_classes, true AS fewer, true AS from_subset
     FROM {_SUBSET_ROWS} GROUP BY subset_id
@@ -403,6 +417,18 @@ def cascade_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("SELECT 'cascade' AS model_id, count(*) AS total, true AS accurate, true AS counted FROM embeddings")
+def wide_cascade_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over whole embeddings: 90 % at least."""
+    samples = fx.wide_samples(spark, sf_dir)
+    trained = cascade.cascade_train(samples, [CELL], rows_per_subset=ROWS_PER_SUBSET)
+    predictions, acc = cascade.cascade_predict(trained, samples)
+    hits = predictions.groupBy("model_id").agg(F.count_if(F.col("prediction") == F.col("target")).alias("hits"))
+    return acc.join(hits, "model_id").select(
+        "model_id", "total", (F.col("accuracy") >= 90.0).alias("accurate"), (F.col("hits") == F.col("correct")).alias("counted")
+    )
+
+
 @query(f"""
     SELECT 'cascade' AS model_id, 'c_svc' AS svm_type, 'rbf' AS kernel_type, {GAMMA}::DOUBLE AS gamma, 1.0::DOUBLE AS c,
            true AS all_stored, count(*) AS n_scored, count(*) AS n_equal

@@ -213,3 +213,11 @@ def test_precomputed_check(spark):
 
 def test_fixture_labels(spark):
     assert fx.training_samples(spark, SF).where("label_text not in ('+1', '-1')").isEmpty()
+
+
+def test_wide_samples_hold_whole_embeddings(spark):
+    rows = fx.wide_samples(spark, SF).collect()
+    assert {tuple(f["idx"] for f in r["features"]) for r in rows} == {tuple(range(1, 65))}
+    for r in rows:
+        total = sum(f["val"] * w for f, w in zip(r["features"], fx.WIDE_WEIGHTS, strict=True))
+        assert r["label_text"] == ("+1" if total > 0 else "-1") and r["label"] == float(r["label_text"])
