@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import html
+import re
+from collections.abc import Iterator, Sequence
+from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +16,81 @@ from svmflow.llm.components import components
 
 ALLOW, BLOCK = "allow", "block"
 
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>;]+)"""
+_TAGS = r"""(?is)<(?:link|meta)\b(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)"""
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/<]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+#: A reference without its semicolon is one in an attribute only where no letter, digit or = follows.
+_REFERENCE = re.compile(r"&(?:#(?:\d+|[xX][0-9a-fA-F]+);?|([A-Za-z][A-Za-z0-9]*)(;|(?![=A-Za-z0-9])))")
+_REFRESH = re.compile(r"\s*(?:[\d.]+\s*(?:[;,]\s*|\s+|\Z))?(url\s*=\s*)?(.*)", re.I | re.S)
+
+
+def decoded(value: str) -> str:
+    """The value of an attribute without character references."""
+
+    def of(m: re.Match) -> str:
+        if m[1] is None:
+            return html.unescape(m[0])
+        return html5.get(m[1] + m[2], m[0])
+
+    return _REFERENCE.sub(of, value)
+
+
+def stated_target(tag: str) -> str | None:
+    """Target of a canonical link or of a refresh redirect; null for other tags."""
+    values: dict[str, str] = {}
+    for name, *quoted in _ATTRIBUTE.findall(tag):
+        values.setdefault(name.lower(), decoded("".join(quoted)))
+    if tag[1:5].lower() == "link":
+        return values.get("href", "").strip() or None if "canonical" in values.get("rel", "").lower().split() else None
+    if values.get("http-equiv", "").strip().lower() != "refresh":
+        return None
+    content = values.get("content", "")
+    m = _REFRESH.match(content)
+    target = m[2].strip()
+    if not m[1] and not content.lstrip()[:1].isdigit():
+        return None
+    if target[:1] in ("'", '"'):
+        target = target[1:].partition(target[0])[0].strip()
+    return target or None
+
+
+def _without_dots(path: str) -> str:
+    out: list[str] = []
+    parts = path.split("/")
+    for part in parts:
+        if part == "..":
+            if len(out) > 1:
+                out.pop()
+        elif part != ".":
+            out.append(part)
+    return "/".join(out) + ("/" if parts[-1] in (".", "..") else "")
+
+
+def resolved(base: str, target: str) -> str:
+    """``target`` as an absolute URL, as a page at ``base`` means it; one with a scheme stays as it is."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", target):
+        return target
+    scheme, mark, rest = base.partition("://")
+    if not mark or target.startswith("//"):
+        return f"{scheme}:{target}" if mark else target
+    host, path, query = re.match(r"(?s)([^/?#]*)([^?#]*)([^#]*)", rest).groups()
+    site = f"{scheme}://{host}"
+    own, more = re.match(r"(?s)([^?#]*)(.*)", target).groups()
+    if not own:
+        return site + path + (more if more.startswith("?") else query + more)
+    return site + _without_dots(own if own.startswith("/") else (path.rpartition("/")[0] + "/" + own)) + more
+
+
+def _state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        links = [
+            (url, resolved(url, target))
+            for url, tags in zip(batch["url"].to_pylist(), batch["tags"].to_pylist(), strict=True)
+            for target in map(stated_target, tags)
+            if target
+        ]
+        yield pa.record_batch(
+            {"from_url": pa.array([a for a, _ in links], pa.string()), "to_url": pa.array([b for _, b in links], pa.string())}
+        )
 
 
 def lower_ascii(text: Column) -> Column:
@@ -44,28 +121,20 @@ def resource_key(url: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(from_url, to_url) of the canonical links and refresh redirects that pages state themselves.
+    """(from_url, to_url) of all canonical links and refresh redirects that pages state themselves.
 
-    Targets may be absolute, start with ``//``, with ``/``, or be relative to
-    the page's folder. Pages with null url or html state none.
+    Character references in targets are decoded. Targets may be absolute, start
+    with ``//``, ``/`` or ``?``, or be relative to the page's folder, with
+    ``.`` and ``..``. Pages with null url or html state none.
     """
-    html = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
+    tags = F.regexp_extract_all(F.regexp_replace("html", r"(?s)<!--.*?-->", ""), F.lit(_TAGS), F.lit(0))
+    stating = F.filter(tags, lambda t: F.lower(t).rlike(r"canonical|http-equiv"))
     stated = (
         pages.where("url is not null and html is not null")
         .where(F.lower("html").rlike(r"canonical|http-equiv"))
-        .select("url", F.explode(F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))).alias("to"))
-        .where("to <> ''")
-    )
-    scheme = F.concat(F.substring_index("url", "://", 1), F.lit("://"))
-    site = F.concat(scheme, host_of(F.col("url")))
-    folder = F.concat(site, F.regexp_replace(path_of(F.col("url")), r"[^/]*$", ""))
-    to = (
-        F.when(F.col("to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to"))
-        .when(F.col("to").startswith("//"), F.concat(F.regexp_replace(scheme, "//$", ""), F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat(site, F.col("to")))
-        .otherwise(F.concat(F.when(folder == site, F.concat(folder, F.lit("/"))).otherwise(folder), F.col("to")))
+        .select("url", stating.alias("tags"))
     )
-    return stated.select(F.col("url").alias("from_url"), to.alias("to_url"))
+    return stated.mapInArrow(_state, "from_url string, to_url string")
 
 
 def _host_rules(hosts: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:

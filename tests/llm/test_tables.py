@@ -12,7 +12,7 @@ from svmflow.llm import sharding
 from svmflow.llm.mixing import mix, mixed_documents
 from svmflow.llm.queries import ORACLES, QUERIES, URL_RULES
 from svmflow.llm.sharding import difference, shard
-from svmflow.llm.url_redirects import url_verdicts
+from svmflow.llm.url_redirects import page_links, resolved, url_verdicts
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -48,6 +48,32 @@ def test_blocks_reach_aliases_and_allow_stands(spark):
     assert url_verdicts(spark.createDataFrame([], PAGES), URL_RULES).count() == 0
 
 
+def test_links_as_pages_write_them(spark):
+    url = "http://h.net/a/b?k"
+    html = (
+        "<link rel=canonical href='https://h.net/x?a=1&amp;b=2&copy=3'><link href=\"./c\" rel='nofollow canonical'>"
+        "<link rel='stylesheet' href='/no.css'><!-- <link rel=canonical href=/no> -->"
+        "<meta http-equiv=refresh content='0;url=../d?p=1&amp;q=2;r'><META content=\"5; URL='?q'\" HTTP-EQUIV=\"Refresh\">"
+        "<meta http-equiv=refresh content=30>"
+    )
+    got = page_links(spark.createDataFrame([(1, url, html, "x"), (2, None, html, "x"), (3, url, None, "x")], PAGES)).collect()
+    assert sorted(r["to_url"] for r in got) == sorted(
+        ["https://h.net/x?a=1&b=2&copy=3", "http://h.net/a/c", "http://h.net/d?p=1&q=2;r", "http://h.net/a/b?q"]
+    )
+    assert {r["from_url"] for r in got} == {url}
+    for target, found in {
+        "../../../up": "http://h.net/up", "./": "http://h.net/a/", "..": "http://h.net/", "//o.net/p": "http://o.net/p",
+        "/r/./s": "http://h.net/r/s", "#top": "http://h.net/a/b?k#top", "t": "http://h.net/a/t", "ftp://f.net/../x": "ftp://f.net/../x",
+    }.items():
+        assert resolved(url, target) == found
+    assert resolved("http://h.net", "t") == "http://h.net/t"
+    rows = [
+        (1, "http://b.com/de/9?a=1&b=2", None, "x"),
+        (2, "http://m.net/y", canonical("http://ok.net/") + canonical("http://b.com/de/9?a=1&amp;b=2"), "x"),
+    ]
+    assert {r["verdict"] for r in url_verdicts(spark.createDataFrame(rows, PAGES), URL_RULES).collect()} == {"block"}
+
+
 def test_mix_edges(spark):
     rows = [
         (1, None, "en", "b", 1), (2, "", "en", "b", 1), (3, "one two three", "en", None, 1), (4, "w " * 50_000, "en", "a", 1),
