@@ -8,14 +8,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Raw content of a dictionary, and the longest text taken into one.
+#: Raw content of a dictionary, and the longest text taken into one whole.
 DICTIONARY_BYTES, SAMPLE_TEXT_BYTES = 1 << 17, 1 << 14
 #: Texts of each language that dictionaries are made of, about.
 SAMPLE_TEXTS = 400
+#: Slices of longer texts of each language that fill up what its short texts leave, about.
+SAMPLE_SLICES = 64
 #: Compression level; levels under 6 miss many of the short matches that tell languages apart.
 LEVEL = 7
 #: Part by which the smallest size must undercut the next for an answer to count as sure.
@@ -32,23 +34,41 @@ def held_out(id_col: str, folds: int = 5, fold: int = 0):
     return F.pmod(crc, F.lit(folds)) == fold
 
 
+def _drawn(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """(lang, text, draw) of about ``most`` rows of each language, by hash."""
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    draw = F.pmod(F.xxhash64(F.lit("dictionary"), id_col, "text"), F.lit(1 << 30))
+    return (
+        rows.join(F.broadcast(counts), "lang")  # one row per language
+        .where(draw * F.col("n") < F.lit(most << 30))
+        .select("lang", "text", draw.alias("draw"))
+    )
+
+
+def _slice(draw: Column) -> Column:
+    """A run of characters of a long text, from a place that the draw tells."""
+    spare = F.greatest(F.length("text") - SAMPLE_TEXT_BYTES // 2, F.lit(0))
+    at = F.pmod(F.xxhash64(F.lit("slice"), draw), spare + 1).cast("int")
+    return F.substring("text", at + 1, F.lit(SAMPLE_TEXT_BYTES // 2))
+
+
 def learn_dictionaries(docs: DataFrame, id_col: str = "doc_id") -> dict[str, bytes]:
-    """Raw dictionary content of every language, from whole texts of a hash-drawn sample of bounded size.
+    """Raw dictionary content of every language, from a hash-drawn sample of bounded size.
 
     Only rows outside the held-out fold with a language and a letter count.
-    A language with few short texts gets a smaller dictionary.
+    Short texts come first and whole; where they do not fill the dictionary,
+    slices of longer texts follow, so a language of long texts has one too.
+    A language with little text gets a smaller dictionary.
     """
     rows = docs.select(id_col, "lang", F.col("text").cast("string").alias("text")).where(
         ~held_out(id_col) & F.col("lang").isNotNull()
     )
-    usable = rows.where(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    draw = F.pmod(F.xxhash64(F.lit("dictionary"), id_col, "text"), F.lit(1 << 30))
+    short = _drawn(rows.where(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES)), id_col, SAMPLE_TEXTS)
+    longer = _drawn(rows.where(F.octet_length("text") > SAMPLE_TEXT_BYTES), id_col, SAMPLE_SLICES)
     sampled = (
-        usable.join(F.broadcast(counts), "lang")  # one row per language
-        .where(draw * F.col("n") < F.lit(SAMPLE_TEXTS << 30))
-        .select("lang", "text", draw.alias("draw"))
-        .orderBy("lang", "draw", "text")
+        short.withColumn("long", F.lit(False))
+        .union(longer.select("lang", _slice(F.col("draw")).alias("text"), "draw", F.lit(True)))
+        .orderBy("lang", "long", "draw", "text")
     )
     parts: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}

@@ -120,6 +120,19 @@ def test_language_edges(spark):
     assert identify_language(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_language_of_long_texts_only(spark):
+    rng = random.Random(1)
+    english, italian = (
+        ["".join(rng.choices(syllables.split(), k=rng.randint(1, 4))) for _ in range(2_000)]
+        for syllables in ("the ing ow th ea sh and er ough wh", "zio gli ne ca sa \u00e8 vi ri tto lla")
+    )
+    rows = [(i, " ".join(rng.choices(english, k=300)), "en", "a", 1) for i in range(60)]
+    rows += [(100 + i, " ".join(rng.choices(italian, k=3_000)), "it", "b", 1) for i in range(12)]
+    assert all(len(r[1]) > 1 << 14 for r in rows[60:])
+    got = identify_language(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(r["doc_id"] >= 100, r["lang_pred"]) for r in got} == {(False, "en"), (True, "it")}
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
