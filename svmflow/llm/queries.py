@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from svmflow.llm.cgk_decontam import contamination
+from svmflow.llm.collocations import phrase_collocations
 from svmflow.llm.common import tables_in
 from svmflow.llm.language_zstd import identify_language
+from svmflow.llm.line_index import dedup_lines
 from svmflow.llm.mixing import mix
 from svmflow.llm.quality_resampling import quality_sample
 from svmflow.llm.sharding import shard
 from svmflow.llm.shingle_rtree import jaccard_components
+from svmflow.llm.sphere_kmeans import cluster_vectors
 from svmflow.llm.toxicity_fm import toxicity
 from svmflow.llm.url_redirects import ALLOW, BLOCK, url_verdicts
 from svmflow.llm.vector_pigeonhole import near_vectors
@@ -91,6 +94,25 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(docs, benchmark)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2,000 phrases of every language."""
+    (docs,) = tables_in(spark, sf_dir, "documents")
+    return phrase_collocations(docs)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that are left once repeated ones stay only where they come first."""
+    (docs,) = tables_in(spark, sf_dir, "documents")
+    kept = dedup_lines(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty clusters of all embeddings after five rounds."""
+    (vectors,) = tables_in(spark, sf_dir, "embeddings")
+    return cluster_vectors(vectors)
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -104,6 +126,9 @@ QUERIES: dict[str, Query] = {
         op8_mix_sources,
         op9_shards,
         op10_benchmark_leaks,
+        op11_collocations,
+        op12_line_dedup,
+        op13_vector_clusters,
     )
 }
 
@@ -168,5 +193,48 @@ ranked AS (
 SELECT doc_id, size, source_size, target,
        CAST((whole + CASE WHEN middle <= goal THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM ranked
+""",
+    "op11_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k),
+counts AS (SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, k, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+cuts AS (
+  SELECT lang, phrase, k, f, unnest(range(1, k)) AS cut_at, string_split(phrase, ' ') AS w FROM counts WHERE k > 1),
+cut_scores AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, c.cut_at, p.f AS l, q.f AS r,
+         ((1000000::HUGEINT * c.f * c.f) // (p.f::HUGEINT * q.f))::BIGINT AS score
+  FROM cuts c JOIN counts p ON p.lang = c.lang AND p.phrase = array_to_string(c.w[1 : c.cut_at], ' ')
+              JOIN counts q ON q.lang = c.lang AND q.phrase = array_to_string(c.w[c.cut_at + 1 :], ' ')),
+best AS (
+  SELECT * FROM cut_scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut_at) = 1),
+inside AS (
+  SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, f AS longer
+  FROM cuts WHERE k = 3 AND cut_at = 1),
+kept AS (
+  SELECT * FROM best b
+  WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.longer >= 50 * b.a))
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang)
+WHERE rank <= 2000
+""",
+    "op12_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, line, i,
+         translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+shared AS (
+  SELECT key, min(doc_id) AS first_doc FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+told AS (SELECT l.*, s.key IS NOT NULL AND l.doc_id <> s.first_doc AS gone FROM lines l LEFT JOIN shared s ON s.key = l.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM told GROUP BY doc_id
 """,
 }
