@@ -139,6 +139,8 @@ def svm_score_precomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row_id", F.round(F.col("decision")[0], 9).alias("decision"), "prediction")
 
 
+_OVO_PAIRS = [(i, j) for i in range(10) for j in range(i + 1, 10)]
+_OVO_OFFSETS = [((i * 10 + j) % 7 - 3) / 1000.0 for i, j in _OVO_PAIRS]
 _OVO_RHO = "((a.sv_id * 10 + b.sv_id) % 7 - 3) / 1000.0::DOUBLE"
 _OVO_SQL = f"""
     WITH {_CROSS},
@@ -160,11 +162,9 @@ _OVO_SQL = f"""
 @query(_OVO_SQL)
 def svm_score_ovo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten classes, one centroid each: a vote over the 45 class pairs, each with an offset of its own."""
-    pairs = [(i, j) for i in range(10) for j in range(i + 1, 10)]
-    rho = [((i * 10 + j) % 7 - 3) / 1000.0 for i, j in pairs]
-    models, vectors = fx.ovo_model(spark, sf_dir, "ovo", kernel_type="rbf", gamma=4.0, rho=rho)
+    models, vectors = fx.ovo_model(spark, sf_dir, "ovo", kernel_type="rbf", gamma=4.0, rho=_OVO_OFFSETS)
     scored = Scorer(models, vectors).score(fx.embedding_samples(spark, sf_dir))
-    weighted = sum((F.col("decision")[k] * (i + 3 * j) for k, (i, j) in enumerate(pairs)), F.lit(0.0))
+    weighted = sum((F.col("decision")[k] * (i + 3 * j) for k, (i, j) in enumerate(_OVO_PAIRS)), F.lit(0.0))
     return scored.select("row_id", "target", "prediction", F.round(weighted, 6).alias("decisions"))
 
 
@@ -176,7 +176,7 @@ def svr_noise_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, "noisy", svm_type="epsilon_svr", kernel_type="rbf", gamma=GAMMA, rho=[0.25], prob_a=[0.0]
     )
     columns = models.columns
-    models = models.join(sigma).withColumn("prob_a", F.col("sigma")).select(*columns)
+    models = models.crossJoin(sigma).withColumn("prob_a", F.col("sigma")).select(*columns)
     path = scratch_path(spark, "noisy-model")
     save_model(models, vectors, path)
     stored, _ = load_model(spark, path, "noisy")
@@ -223,7 +223,7 @@ def svm_prob_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def score_and_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring and its accuracy in one plan."""
-    models, vectors = fx.ovo_model(spark, sf_dir, "ovo", kernel_type="rbf", gamma=4.0)
+    models, vectors = fx.ovo_model(spark, sf_dir, "ovo", kernel_type="rbf", gamma=4.0, rho=_OVO_OFFSETS)
     return metrics.accuracy(Scorer(models, vectors).score(fx.embedding_samples(spark, sf_dir)))
 
 
