@@ -16,7 +16,7 @@ from svmflow.llm.count_transducer import DEPTH, Transducer, decode, merged, new_
 from svmflow.llm.shingling import slices, text_blocks
 
 #: Words counted in one transducer of a task, and words of the corpus in one prefix range.
-RUN_WORDS, RANGE_WORDS = 1_000_000, 2_000_000
+RUN_WORDS, RANGE_WORDS = 500_000, 1_000_000
 #: Bytes of text that a word takes, about: only the number of ranges depends on it.
 WORD_BYTES = 6
 #: Share of the documents, and step between their windows, from which range bounds are drawn. Bounds only balance work.
