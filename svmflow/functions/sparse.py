@@ -29,6 +29,13 @@ class SparseRows(NamedTuple):
         lo, hi = self.offsets[start], self.offsets[stop]
         return SparseRows(self.offsets[start : stop + 1] - lo, self.idx[lo:hi], self.val[lo:hi])
 
+    def take(self, at: np.ndarray) -> SparseRows:
+        """The rows at the given positions."""
+        lengths = np.diff(self.offsets)[at]
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        from_ = np.repeat(self.offsets[:-1][at] - offsets[:-1], lengths) + np.arange(offsets[-1])
+        return SparseRows(offsets, self.idx[from_], self.val[from_])
+
     def row_numbers(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), np.diff(self.offsets))
 

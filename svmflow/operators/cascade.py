@@ -11,19 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from svmflow.functions.vectors import last_index
-from svmflow.operators.large_group import WORKING_ROWS, train_large_group
+from svmflow.operators.large_group import train_large_groups
 from svmflow.operators.metrics import accuracy
 from svmflow.operators.scoring import Scorer
 from svmflow.operators.split import bucket_sizes, merge_pairs, stratified_split
 from svmflow.operators.subset_train import DEFAULT_EPS, Cell, feature_dim, train_subsets, trained_schema
-from svmflow.session import materialise, scratch_path
+from svmflow.session import Scratch, materialise, scratch_path
 
 ROWS_PER_SUBSET = 2500
-# A group of this size needs a matrix of 512 MB in its task, two when several cells share it.
-# The way for larger groups is exact too, but takes many rounds, so the limit is as high as memory allows.
-MAX_GROUP_ROWS = 8000
-# Keys of large groups are broadcast up to this count.
-_BROADCAST_KEYS = 10_000
+# Rows of a group that one task solves at once. Its kernel cache has a fixed size, so this bounds time, not memory;
+# the blocks that larger groups are solved in are half as large.
+BLOCK_ROWS = 4000
 
 
 @dataclass(frozen=True)
@@ -45,59 +43,32 @@ def _per_cell(cells: Sequence[Cell], values: Sequence[float | None]) -> Column:
 
 
 def _train_layer(
-    groups: DataFrame,
-    cells: Sequence[Cell],
-    path: str,
-    *,
-    n_subsets: int,
-    eps: float,
-    max_group_rows: int,
-    working_rows: int,
-    group_bound: int,
+    groups: DataFrame, cells: Sequence[Cell], path: str, *, n_subsets: int, eps: float, block_rows: int, group_bound: int
 ) -> tuple[DataFrame, int]:
-    """Train every group of a layer into a table: small ones a task each, large ones with the whole cluster.
+    """Train every group of a layer into a table: in a task each where all fit one, else all together by decomposition.
 
-    ``group_bound`` is a known upper bound of the group sizes. Only where it is
-    over the limit are the sizes counted. Returns the table and the bound
-    known by then.
+    ``group_bound`` is a known upper bound of the group sizes; only where it
+    is over a block the largest group is counted. Returns the table and the bound known by then.
     """
-    everything = train_subsets(groups, cells, n_subsets=n_subsets, eps=eps)
-    if group_bound <= max_group_rows:
-        return materialise(everything, path), group_bound
-    keys = ["model_id", "subset_id"] if "model_id" in groups.columns else ["subset_id"]
-    sizes = groups.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if(F.col("label") > 0).alias("_pos"))
-    sizes = materialise(sizes, scratch_path(groups.sparkSession, "group-sizes"))
-    large = sizes.where(F.col("_n") > max_group_rows)
-    found = sizes.agg(F.max("_n").alias("most"), F.count_if(F.col("_n") > max_group_rows).alias("large")).first()
-    group_bound = found["most"]
-    if not found["large"]:
-        return materialise(everything, path), group_bound
-
-    # Without a broadcast every large group would pass through one task only to be dropped.
-    keys_only = large.select(*keys)
-    keys_only = F.broadcast(keys_only) if found["large"] <= _BROADCAST_KEYS else keys_only
-    small = groups.join(keys_only, keys, "left_anti")
-    trained = materialise(train_subsets(small, cells, n_subsets=n_subsets, eps=eps), path)
-    columns = trained_schema(groups).names
-    for size in large.toLocalIterator():
-        mine = [c for c in cells if len(keys) == 1 or c.model_id == size["model_id"]]
-        part = groups
-        for key in keys:
-            part = part.where(F.col(key) == size[key])
-        for cell in mine:
-            if 0 < size["_pos"] < size["_n"]:
-                gamma = cell.gamma or 1.0 / max(1, feature_dim(part).first()["max_index"])
-                solved = train_large_group(
-                    part, cell.c, gamma, eps, n_rows=size["_n"], working_rows=working_rows
-                )
-            else:
-                # One class only: the rows move on unchanged, as in the small groups.
-                solved = part.withColumns({"alpha": F.lit(0.0), "rho": F.lit(float("nan"))})
-            solved = solved.withColumns(
-                {"model_id": F.lit(cell.model_id), "subset_id": F.lit(size["subset_id"]).cast("int")}
-            )
-            solved.select(*columns).write.mode("append").parquet(path)
-    return groups.sparkSession.read.schema(trained.schema).parquet(path), group_bound
+    schema = trained_schema(groups)
+    if "model_id" not in groups.columns and group_bound > block_rows:
+        groups = groups.withColumn("model_id", F.explode(F.array(*(F.lit(c.model_id) for c in cells))))
+    if group_bound > block_rows:
+        sizes = groups.groupBy("model_id", "subset_id").count()
+        group_bound = sizes.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    if group_bound <= block_rows:
+        return materialise(train_subsets(groups, cells, n_subsets=n_subsets, eps=eps), path), group_bound
+    gamma = _per_cell(cells, [c.gamma for c in cells])
+    if not all(c.gamma for c in cells):
+        tops = feature_dim(groups, ["model_id", "subset_id"])
+        groups = groups.join(tops, ["model_id", "subset_id"])
+        gamma = F.coalesce(F.nullif(gamma, F.lit(0.0)), 1.0 / F.greatest(F.lit(1), "max_index"))
+    tuned = groups.withColumns({"c": _per_cell(cells, [c.c for c in cells]), "gamma": gamma})
+    half = max(2, block_rows // 2)
+    trained = train_large_groups(
+        tuned, schema, path, largest=group_bound, eps=eps, working_rows=half, chunk_rows=half
+    )
+    return trained, group_bound
 
 
 def cascade_train(
@@ -106,17 +77,16 @@ def cascade_train(
     *,
     n_subsets: int | None = None,
     rows_per_subset: int = ROWS_PER_SUBSET,
-    max_group_rows: int = MAX_GROUP_ROWS,
-    working_rows: int = WORKING_ROWS,
+    block_rows: int = BLOCK_ROWS,
     gamma_scope: str = "global",
     eps: float = DEFAULT_EPS,
     seed: int = 0,
 ) -> CascadeResult:
     """Train one binary RBF model per cell on ``samples`` (row_id, label +1/-1, features).
 
-    All cells share the split and, in the first layer, the pass over the data
-    and its distance matrices (unless there are fewer subsets than cores);
-    after that only support vectors move. Each
+    All cells share the split and, in the first layer, the pass over the data,
+    a few cells at a time also its distances; after that only support vectors
+    move, and a merged group starts from the alphas of its halves. Each
     layer is written to the shared folder, so a lost executor costs one
     layer's tasks at most and no layer is trained twice. ``n_subsets`` may be
     any number from 1; by default it follows the row count. With
@@ -125,52 +95,45 @@ def cascade_train(
     """
     spark = samples.sparkSession
     rows = samples.select("row_id", "label", "features").where(F.col("label").isin(1.0, -1.0))
-    # One pass gives the class sizes, the largest index and the split's bucket table.
-    top = F.max(last_index(F.col("features"))).alias("_top")
-    sizes = materialise(bucket_sizes(rows, top, label="label", seed=seed), scratch_path(spark, "bucket-sizes"))
-    stats = sizes.agg(
-        F.sum(F.when(F.col("label") > 0, F.col("_n"))).alias("pos"),
-        F.sum(F.when(F.col("label") < 0, F.col("_n"))).alias("neg"),
-        F.max("_top").alias("top"),
-    ).first()
-    if not stats["pos"] or not stats["neg"]:
-        raise ValueError("training needs rows of both classes +1 and -1")
-    if gamma_scope == "global":
-        cells = [c if c.gamma else replace(c, gamma=1.0 / max(1, stats["top"] or 0)) for c in cells]
-    elif gamma_scope != "subset":
+    if gamma_scope not in ("global", "subset"):
         raise ValueError("gamma_scope must be 'global' or 'subset'")
-
-    n = n_subsets or math.ceil((stats["pos"] + stats["neg"]) / rows_per_subset)
-    layers_path = scratch_path(spark, "cascade")
-    groups = stratified_split(rows, n, label="label", seed=seed, sizes=sizes)
-    if len(cells) > 1 and n < spark.sparkContext.defaultParallelism:
-        # Few subsets: spread the cells over tasks instead of training them one after the other.
-        groups = groups.withColumn("model_id", F.explode(F.array(*(F.lit(c.model_id) for c in cells))))
-    # The split fixes the size of the first layer's groups; a merge at most doubles it.
-    bound = math.ceil(stats["pos"] / n) + math.ceil(stats["neg"] / n)
-    if bound > max_group_rows:
-        groups = materialise(groups, scratch_path(spark, "split"))
-    layer = 1
-    while True:
-        trained, bound = _train_layer(
-            groups,
-            cells,
-            f"{layers_path}/layer={layer}",
-            n_subsets=n,
-            eps=eps,
-            max_group_rows=max_group_rows,
-            working_rows=working_rows,
-            group_bound=bound,
-        )
-        if n == 1:
-            break
-        groups = merge_pairs(trained).drop("alpha", "rho")
-        n, layer, bound = (n + 1) // 2, layer + 1, 2 * bound
-
-    if gamma_scope == "subset":
-        tops = {r["model_id"]: r["max_index"] for r in feature_dim(_per_model(groups, cells), ["model_id"]).collect()}
-        cells = [c if c.gamma else replace(c, gamma=1.0 / max(1, tops[c.model_id])) for c in cells]
-    return CascadeResult(_model_table(trained, cells), _support_table(trained), layers_path)
+    with Scratch(spark, "cascade-run") as scratch:
+        # One pass gives the class sizes, the largest index and the split's bucket table.
+        top = F.max(last_index(F.col("features"))).alias("_top")
+        sizes = scratch.write(bucket_sizes(rows, top, label="label", seed=seed))
+        stats = sizes.agg(
+            F.sum(F.when(F.col("label") > 0, F.col("_n"))).alias("pos"),
+            F.sum(F.when(F.col("label") < 0, F.col("_n"))).alias("neg"),
+            F.max("_top").alias("top"),
+        ).first()
+        if not stats["pos"] or not stats["neg"]:
+            raise ValueError("training needs rows of both classes +1 and -1")
+        if gamma_scope == "global":
+            cells = [c if c.gamma else replace(c, gamma=1.0 / max(1, stats["top"] or 0)) for c in cells]
+
+        n = n_subsets or math.ceil((stats["pos"] + stats["neg"]) / rows_per_subset)
+        layers_path = scratch_path(spark, "cascade")
+        groups = stratified_split(rows, n, label="label", seed=seed, sizes=sizes)
+        # The split fixes the size of the first layer's groups; a merge at most doubles it.
+        bound = math.ceil(stats["pos"] / n) + math.ceil(stats["neg"] / n)
+        if bound > block_rows:
+            groups = scratch.write(groups)
+        layer = 1
+        while True:
+            path = f"{layers_path}/layer={layer}"
+            trained, bound = _train_layer(
+                groups, cells, path, n_subsets=n, eps=eps, block_rows=block_rows, group_bound=bound
+            )
+            if n == 1:
+                break
+            groups = merge_pairs(trained).drop("rho")
+            n, layer, bound = (n + 1) // 2, layer + 1, 2 * bound
+
+        if gamma_scope == "subset":
+            found = feature_dim(_per_model(groups, cells), ["model_id"]).collect()
+            tops = {r["model_id"]: r["max_index"] for r in found}
+            cells = [c if c.gamma else replace(c, gamma=1.0 / max(1, tops[c.model_id])) for c in cells]
+        return CascadeResult(_model_table(trained, cells), _support_table(trained), layers_path)
 
 
 def _per_model(groups: DataFrame, cells: Sequence[Cell]) -> DataFrame:

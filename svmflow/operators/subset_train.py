@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from svmflow.functions.parsing import FEATURES_TYPE
-from svmflow.functions.solver import offset, solve
+from svmflow.functions.solver import CACHE_BYTES, RbfKernel, offset, solve
 from svmflow.functions.sparse import FEATURES_ARROW, from_arrow, square_distances
 from svmflow.functions.vectors import last_index
 from svmflow.operators.split import TASK, place_groups
@@ -20,6 +20,9 @@ from svmflow.operators.split import TASK, place_groups
 # The training parameters of the reference jobs.
 DEFAULT_C = 1.0
 DEFAULT_EPS = 1e-3
+# Cells that share a task and its distances while no cell has gone its own way; more cells take several passes over a subset.
+CELLS_PER_TASK = 4
+_BUNDLE = "_bundle"
 
 
 @dataclass(frozen=True)
@@ -72,7 +75,7 @@ def trained_schema(samples: DataFrame) -> T.StructType:
 
 
 def _trainer(cells: Sequence[Cell], eps: float, keep_all: bool) -> Callable[[pa.Table], pa.Table]:
-    """Group function: all cells that apply to a subset, sharing its distance matrix."""
+    """Group function: all cells that apply to a subset, sharing its distances where these fit the kernel cache."""
     by_id = {cell.model_id: cell for cell in cells}
 
     def run(group: pa.Table) -> pa.Table:
@@ -83,9 +86,12 @@ def _trainer(cells: Sequence[Cell], eps: float, keep_all: bool) -> Callable[[pa.
         if "model_id" in group.schema.names:
             todo = [by_id[group["model_id"][0].as_py()]]
         else:
-            todo = list(cells)
+            first = group[_BUNDLE][0].as_py() * CELLS_PER_TASK
+            todo = cells[first : first + CELLS_PER_TASK]
+        started = group["alpha"].to_numpy() if "alpha" in group.schema.names else np.zeros(len(y))
         one_class = len(np.unique(y)) < 2
-        distances = None if one_class else square_distances(rows, rows)
+        shared = len(todo) > 1 and not one_class and 8 * len(y) ** 2 <= CACHE_BYTES
+        distances = square_distances(rows, rows) if shared else None
         # Indices ascend, so the last of a row is its largest.
         ends = rows.offsets[1:][np.diff(rows.offsets) > 0] - 1
         top = float(max(rows.idx[ends].max(initial=0), 1))
@@ -95,11 +101,12 @@ def _trainer(cells: Sequence[Cell], eps: float, keep_all: bool) -> Callable[[pa.
                 # Nothing to separate: the rows move on unchanged and meet the other class later.
                 alpha, rho, keep = np.zeros(len(y)), float("nan"), np.ones(len(y), dtype=bool)
             else:
-                gamma = cell.gamma or 1.0 / top
-                # The last cell may overwrite the distances: one matrix less in memory.
-                kernel = np.multiply(distances, -gamma, out=distances if cell is todo[-1] else None)
-                np.exp(kernel, out=kernel)
-                alpha, gradient = solve(kernel, y, cell.c, eps)
+                kernel = RbfKernel(rows, cell.gamma or 1.0 / top, distances=distances)
+                pulling = np.flatnonzero(started > 0)
+                gradient = -np.ones(len(y))
+                if len(pulling):
+                    gradient += y * kernel.pulls(np.arange(len(y)), pulling, (y * started)[pulling])
+                alpha, gradient = solve(kernel, y, cell.c, eps, started, gradient)
                 rho = offset(alpha, y, gradient, cell.c)
                 if not np.isfinite(alpha).all() or not np.isfinite(rho):
                     raise ValueError(f"model {cell.model_id}: training rows hold values that are not finite")
@@ -135,16 +142,22 @@ def train_subsets(
     """Train every subset and return its support vectors with alpha and rho.
 
     ``subsets`` has row_id, subset_id, label and features, and model_id once
-    cells have gone separate ways; without model_id each subset is trained for
-    all cells in one task. Groups must be bounded: see ``cascade`` for the
+    cells have gone separate ways; without model_id a task trains a subset for
+    up to ``CELLS_PER_TASK`` cells. With an alpha column training starts from it: the labelled sum
+    of a subset's alphas must be zero, as it is for merged subsets. Groups must be bounded: see ``cascade`` for the
     check and for the way larger groups take. ``keep_all`` also returns rows
     with alpha 0.
     """
-    keys = ["model_id", "subset_id"] if "model_id" in subsets.columns else ["subset_id"]
-    n_groups = n_subsets * (len(cells) if len(keys) == 2 else 1)
-    group_no = F.col("subset_id")
-    if len(keys) == 2:
+    cells = list(cells)
+    if "model_id" in subsets.columns:
+        keys, n_groups = ["model_id", "subset_id"], n_subsets * len(cells)
         position = F.create_map(*(F.lit(v) for i, cell in enumerate(cells) for v in (cell.model_id, i)))
-        group_no = position[F.col("model_id")] * n_subsets + group_no
-    placed = place_groups(subsets.select(*keys, "row_id", "label", "features"), n_groups, group_no)
+        group_no = position[F.col("model_id")] * n_subsets + F.col("subset_id")
+    else:
+        n_bundles = -(-len(cells) // CELLS_PER_TASK)
+        subsets = subsets.withColumn(_BUNDLE, F.explode(F.sequence(F.lit(0), F.lit(n_bundles - 1))))
+        keys, n_groups = [_BUNDLE, "subset_id"], n_subsets * n_bundles
+        group_no = F.col(_BUNDLE) * n_subsets + F.col("subset_id")
+    started = ["alpha"] if "alpha" in subsets.columns else []
+    placed = place_groups(subsets.select(*keys, "row_id", "label", "features", *started), n_groups, group_no)
     return placed.groupBy(TASK, *keys).applyInArrow(_trainer(cells, eps, keep_all), trained_schema(subsets))

@@ -43,6 +43,41 @@ def materialise(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The intermediate tables of one run, removed as later ones replace them, and all at the end or on failure.
+
+    What outlives the run is written elsewhere.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.name = name
+        self._paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        while self._paths:
+            discard(self.spark, self._paths.pop())
+
+    def path(self, name: str) -> str:
+        """A fresh path that goes with the run."""
+        found = scratch_path(self.spark, f"{self.name}-{name}")
+        self._paths.append(found)
+        return found
+
+    def write(self, df: DataFrame, keep: int | None = None) -> DataFrame:
+        """``df`` as a table of the run; with ``keep`` only so many tables written before it stay."""
+        table = materialise(df, self.path("table"))
+        if keep is not None:
+            written = [p for p in self._paths if "-table-" in p]
+            for old in written[: -1 - keep]:
+                self._paths.remove(old)
+                discard(self.spark, old)
+        return table
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that a newer one has replaced."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

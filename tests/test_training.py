@@ -5,12 +5,21 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from svmflow.functions.solver import offset, solve
+from svmflow.functions import solver
+from svmflow.functions.solver import RbfKernel, offset, solve
+from svmflow.functions.sparse import SparseRows
 from svmflow.operators.cascade import cascade_predict, cascade_train, grid_search, support_vector_rows
 from svmflow.operators.grid import param_grid
-from svmflow.operators.large_group import train_large_group
+from svmflow.operators.large_group import train_large_groups
 from svmflow.operators.split import stratified_split
-from svmflow.operators.subset_train import Cell, default_gamma, feature_dim, precomputed_check, train_subsets
+from svmflow.operators.subset_train import (
+    Cell,
+    default_gamma,
+    feature_dim,
+    precomputed_check,
+    train_subsets,
+    trained_schema,
+)
 from svmflow.plans import fixtures as fx
 
 CELL = Cell("m", 1.0, 0.5)
@@ -41,6 +50,34 @@ def test_solver_meets_the_optimality_conditions(seed, n, c, copies):
     assert np.isfinite(offset(alpha, y, gradient, c))
 
 
+@pytest.mark.parametrize("wide", [False, True])
+@pytest.mark.parametrize("cache_rows", [0, 3, 10_000])
+def test_solver_with_a_small_cache_and_rows_set_aside(monkeypatch, wide, cache_rows):
+    """Kernel rows on demand, from dense or from sparse rows, give an optimum as good as the whole matrix does."""
+    monkeypatch.setattr(solver, "SHRINK_EVERY", 50)
+    if wide:
+        monkeypatch.setattr(solver, "STRIP_COLUMNS", 10)
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(400, 64)) * (draw.random((400, 64)) < 0.4)
+    y = np.where(x @ draw.normal(size=64) + draw.normal(size=400) > 0, 1.0, -1.0)
+    sizes = (x != 0).sum(axis=1)
+    rows = SparseRows(np.concatenate([[0], np.cumsum(sizes)]), np.nonzero(x)[1] + 1, x[x != 0])
+    whole = rbf(x, x, 0.02)
+    kernel = RbfKernel(rows, 0.02, cache_bytes=8 * 400 * cache_rows)
+    assert (kernel.matrix is not None) == (cache_rows >= 400)
+    assert np.allclose(kernel.row(7), whole[7])
+    alpha, gradient = solve(kernel, y, 1.0, EPS)
+    assert abs(alpha @ y) < 1e-9 and (alpha >= 0).all() and (alpha <= 1.0).all()
+    assert np.allclose(gradient, y * (whole @ (y * alpha)) - 1.0)
+    assert kkt_gap(whole, y, alpha, 1.0) < EPS + 1e-9
+    assert len(getattr(kernel, "cache", ())) <= max(2, cache_rows)
+    alone, _ = solve(whole, y, 1.0, EPS)
+    objective = lambda a: 0.5 * (a * y) @ whole @ (a * y) - a.sum()
+    assert objective(alpha) == pytest.approx(objective(alone), abs=0.02)
+    again, _ = solve(RbfKernel(rows, 0.02, cache_bytes=8 * 400 * cache_rows), y, 1.0, EPS, alpha, gradient)
+    assert (again == alpha).all(), "an optimum is left as it is"
+
+
 @pytest.fixture(scope="module")
 def data(spark):
     df = training_rows(spark).cache()
@@ -117,14 +154,20 @@ def test_cells_trained_together_equal_cells_trained_alone(spark, data):
 
 
 @pytest.mark.parametrize("noise", [0, 3])
-def test_large_group_equals_one_solve(spark, data, noise):
+def test_large_group_equals_one_solve(spark, data, noise, tmp_path):
     """Also where labels are noise in part, so that most rows end as support vectors."""
     df, x, y, ids = data
     y = np.where(np.array(ids) * 7919 % 10 < noise, -y, y)
     flip = F.col("row_id") * 7919 % 10 < noise
     df = df.withColumn("label", F.when(flip, -F.col("label")).otherwise(F.col("label")))
     alone, gradient = solve(rbf(x, x, 0.5), y, 1.0, EPS)
-    out = train_large_group(df, 1.0, 0.5, EPS, n_rows=len(ids), working_rows=150).collect()
+    group = df.select(
+        F.lit("m").alias("model_id"), F.lit(0).alias("subset_id"), "row_id", "label", "features",
+        F.lit(1.0).alias("c"), F.lit(0.5).alias("gamma"),
+    )
+    out = train_large_groups(
+        group, trained_schema(df), str(tmp_path / "out"), largest=len(ids), eps=EPS, working_rows=150, chunk_rows=70
+    ).collect()
     alpha = np.zeros(len(ids))
     place = {r: i for i, r in enumerate(ids)}
     for row in out:
@@ -144,7 +187,7 @@ def test_large_group_equals_one_solve(spark, data, noise):
 def test_groups_over_the_limit_are_still_solved(spark, data, single):
     """A limit below the merged sizes sends them through the distributed solver."""
     df, x, y, ids = data
-    result = cascade_train(df, [CELL, Cell("n", 1.0, 1.0)], n_subsets=2, max_group_rows=100, working_rows=200)
+    result = cascade_train(df, [CELL, Cell("n", 1.0, 1.0)], n_subsets=2, block_rows=100)
     place = {r: i for i, r in enumerate(ids)}
     vectors = result.support_vectors.where("model_id = 'm'").collect()
     at = [place[v["row_id"]] for v in vectors]
@@ -165,7 +208,7 @@ def test_subsets_of_one_class_keep_their_rows(spark):
     lone = {r["subset_id"]: r["n"] for r in first.collect() if r["top"] < 0}
     assert set(lone.values()) <= {9, 10} and len(lone) == 2
     assert result.models.first()["n_sv"][0] == 2
-    limited = cascade_train(df, [Cell("m", 1.0, 0.1)], n_subsets=4, max_group_rows=15, working_rows=30)
+    limited = cascade_train(df, [Cell("m", 1.0, 0.1)], n_subsets=4, block_rows=12)
     assert limited.models.first()["n_sv"][0] == 2
     with pytest.raises(ValueError, match="both classes"):
         cascade_train(df.where("label < 0"), [CELL])
