@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from svmflow.functions.parsing import compute_once
+from svmflow.session import scratch_path
 from svmflow.sources.model_store import model_row
 from svmflow.sources.samples import feature_text, samples_from_arrays
 
@@ -69,6 +70,21 @@ def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), line.alias("value"))
 
 
+def rewrite_files(spark: SparkSession, folder: str, lines: DataFrame | None) -> None:
+    """Replace the text files of a folder, under their names: by the given lines in the first, or by nothing."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [f.getPath() for f in fs.listStatus(path(folder)) if f.getPath().getName().startswith("part-")]
+    for file in files:
+        fs.create(file, True).close()
+    if lines is not None:
+        fresh = scratch_path(spark, "rewritten")
+        lines.coalesce(1).write.text(fresh)
+        (made,) = [f.getPath() for f in fs.listStatus(path(fresh)) if f.getPath().getName().startswith("part-")]
+        fs.delete(files[0], False)
+        fs.rename(made, files[0])
+
+
 def point_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``y x0 .. x9`` per embedding; multiples of 41 of vec_id are cut short."""
     y = F.when(F.col("label") < 5, "1").otherwise("-1")

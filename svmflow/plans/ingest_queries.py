@@ -9,12 +9,12 @@ from svmflow.functions.parsing import accepted, rejected
 from svmflow.operators.log_rollup import log_rollup as roll_up
 from svmflow.plans import fixtures as fx
 from svmflow.plans.registry import query
-from svmflow.session import scratch_path
+from svmflow.session import discard, scratch_path
 from svmflow.sources.access_log import parse_log
 from svmflow.sources.points import parse_points
 from svmflow.sources.ratings import parse_ratings
 from svmflow.sources.samples import parse_samples
-from svmflow.sources.text import SOURCE_FILE, land_directory
+from svmflow.sources.text import SOURCE_FILE, Landing, land_directory
 from svmflow.streaming.ingest import ingest_stream
 
 _LOG_SQL = """
@@ -125,6 +125,39 @@ def dir_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.select("value", F.col(SOURCE_FILE).isNotNull().alias("has_file"))
 
 
+@query(f"""
+    SELECT part, status, count(line) AS n_lines, coalesce(sum(length(line)), 0)::BIGINT AS n_chars
+    FROM (SELECT part, CASE part WHEN 0 THEN 'unchanged' WHEN 1 THEN 'changed' WHEN 2 THEN 'emptied'
+                                 WHEN 3 THEN 'removed' ELSE 'new' END AS status,
+                 CASE WHEN part IN (2, 3) THEN NULL WHEN part = 1 THEN 'x' || value ELSE value END AS line
+          FROM (SELECT value, (split_part(value, '::', 1)::BIGINT % 5)::INTEGER AS part FROM ({_LINES_SQL})))
+    GROUP BY ALL
+""")
+def dir_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder landed again after files were added, rewritten, emptied and removed: lines and status by file."""
+    source, table = scratch_path(spark, "rating-files"), scratch_path(spark, "landed")
+    rows = fx.rating_lines(spark, sf_dir).select((F.col("l_orderkey") % 5).cast("int").alias("part"), "value")
+
+    def write(part: int, lines: DataFrame) -> None:
+        lines.where(F.col("part") == part).select("value").coalesce(1).write.text(f"{source}/part={part}")
+
+    for part in range(4):
+        write(part, rows)
+    landing = Landing(spark, table)
+    landing.land(source)
+    fx.rewrite_files(spark, f"{source}/part=1", rows.where("part = 1").select(F.concat(F.lit("x"), "value")))
+    fx.rewrite_files(spark, f"{source}/part=2", None)
+    discard(spark, f"{source}/part=3")
+    write(4, rows)
+    files = landing.land(source)
+    lines = landing.lines().groupBy(SOURCE_FILE).agg(
+        F.count("*").alias("n_lines"), F.sum(F.length("value")).cast("bigint").alias("n_chars")
+    )
+    part = F.regexp_extract(SOURCE_FILE, r"part=(\d+)/", 1).cast("int").alias("part")
+    told = files.join(lines, SOURCE_FILE, "left").groupBy(part, "status")
+    return told.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("n_lines", "n_chars")))
+
+
 @query(f"SELECT value, true AS has_file FROM ({_LINES_SQL})")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = scratch_path(spark, "stream-landed")

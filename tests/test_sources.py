@@ -10,7 +10,7 @@ from svmflow.sources.access_log import parse_log, sample_lines
 from svmflow.sources.points import parse_points
 from svmflow.sources.ratings import parse_ratings
 from svmflow.sources.samples import parse_samples
-from svmflow.sources.text import land_directory, read_lines, read_whole_files
+from svmflow.sources.text import Landing, land_directory, read_lines, read_whole_files
 
 GOOD_LOG = '10.0.0.1 - {user} [18/Jan/2013:17:56:07 +1100] "GET /a b HTTP/1.1" 200 {size} "http://r/" "agent" x'
 
@@ -136,3 +136,46 @@ def test_text_sources(spark, tmp_path):
     assert land_directory(spark, source, landed).groupBy("value").count().agg(F.max("count")).first()[0] == 1
     with pytest.raises(PySparkException):
         land_directory(spark, str(tmp_path / "missing"), landed)
+
+
+def test_landings_mirror_their_folder(spark, tmp_path):
+    folder, other = tmp_path / "in", tmp_path / "other"
+    (folder / "deep [x]").mkdir(parents=True)
+    other.mkdir()
+    names = ["a.txt", "b c%20*.txt", "deep [x]/d{1}.txt", "gone.txt", "empty.txt", "shrinks.txt"]
+    for name in names:
+        (folder / name).write_text("" if name == "empty.txt" else f"{name}\nsame\n")
+    (other / "o.txt").write_text("o\n")
+    landing = Landing(spark, str(tmp_path / "table"))
+    assert landing.manifest().isEmpty()
+
+    def status():
+        return {r["path"].split("/in/")[-1].split("/other/")[-1]: r["status"] for r in landing.manifest().collect()}
+
+    landing.land(str(folder))
+    assert status() == dict.fromkeys(names, "new")
+    assert landing.lines().count() == 10
+    landing.land(str(other))
+    assert landing.lines().count() == 11, "another folder adds to the table"
+    before = {r["value"]: r["source_file"] for r in landing.lines().collect()}
+    (folder / "gone.txt").unlink()
+    (folder / "shrinks.txt").write_text("")
+    (folder / "a.txt").write_text("a.txt\nnow other\nlines\n")
+    (folder / "e.txt").write_text("e\n")
+    landing.land(str(folder))
+    assert status() == {
+        "a.txt": "changed", "b c%20*.txt": "unchanged", "deep [x]/d{1}.txt": "unchanged", "gone.txt": "removed",
+        "empty.txt": "unchanged", "shrinks.txt": "emptied", "e.txt": "new", "o.txt": "unchanged",
+    }
+    wanted = ["a.txt", "now other", "lines", "b c%20*.txt", "same", "deep [x]/d{1}.txt", "same", "e", "o"]
+    assert sorted(r["value"] for r in landing.lines().collect()) == sorted(wanted)
+    assert {r["value"]: r["source_file"] for r in landing.lines().collect()}["a.txt"] == before["a.txt"]
+    # A landing that broke off behind its lines leaves the table as it was, and the next one takes its place.
+    spark.createDataFrame([("stray", before["a.txt"])], "value string, source_file string").write.parquet(
+        str(tmp_path / "table" / "lines" / "landing=4")
+    )
+    assert sorted(r["value"] for r in landing.lines().collect()) == sorted(wanted)
+    (folder / "gone.txt").write_text("back\n")
+    Landing(spark, str(tmp_path / "table")).land(str(folder))
+    assert sorted(r["value"] for r in landing.lines().collect()) == sorted([*wanted, "back"])
+    assert status()["gone.txt"] == "new" and "removed" not in status().values()
