@@ -25,24 +25,24 @@ def accuracy(
 def regression_error(
     predictions: DataFrame, *, prediction: str = "prediction", target: str = "target", by: Sequence[str] = ()
 ) -> DataFrame:
-    """Mean squared error and squared correlation coefficient."""
+    """Mean squared error and squared correlation coefficient.
+
+    The correlation comes from centred moments, which tasks compute and merge,
+    so values far from zero do not cancel. Rows without a value count in the
+    total only.
+    """
     v, y = F.col(prediction), F.col(target)
-    sums = predictions.groupBy(*by).agg(
+    both = v.isNotNull() & y.isNotNull()
+    moments = predictions.groupBy(*by).agg(
         F.count("*").alias("total"),
         F.sum((v - y) * (v - y)).alias("_se"),
-        F.sum(v).alias("_v"),
-        F.sum(y).alias("_y"),
-        F.sum(v * v).alias("_vv"),
-        F.sum(y * y).alias("_yy"),
-        F.sum(v * y).alias("_vy"),
+        F.covar_pop(v, y).alias("_vy"),
+        F.var_pop(F.when(both, v)).alias("_vv"),
+        F.var_pop(F.when(both, y)).alias("_yy"),
     )
-    n = F.col("total")
-    cov = n * F.col("_vy") - F.col("_v") * F.col("_y")
-    var_v = n * F.col("_vv") - F.col("_v") * F.col("_v")
-    var_y = n * F.col("_yy") - F.col("_y") * F.col("_y")
-    return sums.select(
+    return moments.select(
         *by,
         "total",
         F.try_divide("_se", "total").alias("mse"),
-        F.try_divide(cov * cov, var_v * var_y).alias("squared_correlation"),
+        F.try_divide(F.col("_vy") * F.col("_vy"), F.col("_vv") * F.col("_yy")).alias("squared_correlation"),
     )

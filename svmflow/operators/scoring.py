@@ -1,15 +1,15 @@
-"""Batch scoring with stored models.
-
-Rows stay where they are: scoring is a narrow ``mapInArrow`` over the
-samples, so it needs no shuffle and also runs on a stream. The support
-vectors go to the tasks in blocks of a fixed byte budget. A model that fits
-one block is one pass; a larger one is a chain of passes that each add their
-block's part of the kernel sums, so the size of a model has no limit and a
-broadcast always has one.
+"""Scoring with stored models.
+
+Support vectors whose measured size stays under a block are broadcast, and
+scoring is a narrow ``mapInArrow`` over the rows, in batch and on streams. A
+larger set stays a table of blocks: chunks of rows meet every block in a
+shuffle, each meeting gives partial kernel sums, and these are added up per chunk. So
+nothing that grows with a model is broadcast or passes the driver.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -17,24 +17,27 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from svmflow.functions.probability import couple_pairs, pair_probability
 from svmflow.functions.sparse import SparseRows, cross_dots, from_arrow, square_distances
-from svmflow.session import materialise, scratch_path
+from svmflow.session import discard, materialise, scratch_path
 
 CLASSIFIERS = ("c_svc", "nu_svc")
 REGRESSORS = ("epsilon_svr", "nu_svr")
 
 BLOCK_BYTES = 64 << 20
-# Passes chained before the sums are written out: bounds what a task's workers hold.
-CHAINED_BLOCKS = 4
+# Rows of a chunk that meets blocks, at most, bytes of the partial sums of a chunk, and chunks that share one copy of a block.
+CHUNK_ROWS = 4096
+SUM_BYTES = 64 << 20
+CHUNKS_PER_BLOCK_COPY = 16
 # Cells of one kernel matrix inside a task.
 _KERNEL_CELLS = 4 << 20
 
-_SUMS = "_sums"
+# Names of the columns that packed rows, blocks and sums travel in.
+_ROW, _CHUNK, _BLOCK, _BODY, _COPY = "_row", "_chunk", "_block", "_body", "_copy"
 
 
 @dataclass(frozen=True)
@@ -132,36 +135,12 @@ def _to_blocks(table: pa.Table, models: list[Model]) -> dict[str, SupportBlock]:
     return blocks
 
 
-def support_blocks(
-    support_vectors: DataFrame, models: list[Model], block_bytes: int = BLOCK_BYTES
-) -> Iterator[dict[str, SupportBlock]]:
-    """Support vectors in blocks of about ``block_bytes``, one at a time.
+def _packed_block(models: list[Model]) -> Callable[[tuple, pa.Table], pa.Table]:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        body = pickle.dumps(_to_blocks(table, models))
+        return pa.table({_BLOCK: pa.array([key[0].as_py()], pa.int32()), _BODY: pa.array([body], pa.binary())})
 
-    The size is taken from the data first: 12 bytes per stored feature and 8
-    per coefficient. A model of several blocks is written out by block, so
-    that each block is one small read.
-    """
-    spark = support_vectors.sparkSession
-    wanted = support_vectors.where(F.col("model_id").isin([m.model_id for m in models])).select(
-        "model_id", "sv_id", "label", "coef", "features"
-    )
-    wanted = wanted.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        cost = 12 * F.size("features") + 8 * F.size("coef") + 16
-        size = wanted.agg(F.coalesce(F.sum(cost), F.lit(0)).alias("bytes")).first()["bytes"]
-        n_blocks = max(1, -(-size // block_bytes))
-        if n_blocks == 1:
-            yield _to_blocks(wanted.toArrow(), models)
-            return
-        path = scratch_path(spark, "support-blocks")
-        block = F.pmod(F.xxhash64("model_id", "sv_id"), F.lit(n_blocks)).cast("int")
-        by_block = wanted.withColumn("_block", block).repartition(n_blocks, "_block")
-        by_block.write.partitionBy("_block").parquet(path)
-        stored = spark.read.schema(by_block.schema).parquet(path)
-        for i in range(n_blocks):
-            yield _to_blocks(stored.where(F.col("_block") == i).drop("_block").toArrow(), models)
-    finally:
-        wanted.unpersist()
+    return run
 
 
 def _finish(model: Model, sums: np.ndarray, probability: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -211,62 +190,81 @@ def _add_block(sums: np.ndarray, x: SparseRows, models: list[Model], blocks: dic
         start = stop
 
 
-def _summing_pass(models: list[Model], shared: object, first: bool) -> Callable:
-    """A pass that adds one block and keeps the running sums as a column."""
-    width = sum(len(m.pairs) for m in models)
+def _width(models: list[Model]) -> int:
+    return sum(len(m.pairs) for m in models)
+
+
+def _scored(batch: pa.RecordBatch | pa.Table, models: list[Model], sums: np.ndarray, probability: bool, left_out: tuple) -> Iterator[pa.Table]:
+    """One output row per row and model, from the finished kernel sums."""
+    n, start = batch.num_rows, 0
+    kept = {name: batch.column(name) for name in batch.schema.names if name not in left_out}
+    for model in models:
+        stop = start + len(model.pairs)
+        decision, prediction, chance = _finish(model, sums[:, start:stop], probability)
+        start = stop
+        yield pa.table(
+            {
+                **kept,
+                "model_id": pa.array([model.model_id] * n, pa.string()),
+                "decision": _list_array(decision),
+                "prediction": pa.array(prediction, pa.float64()),
+                "probability": _probability_map(chance, model, n),
+            }
+        )
+
+
+def _narrow_pass(models: list[Model], shared: object, probability: bool) -> Callable:
+    """Score the rows where they are with the one broadcast block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = shared.value
         for batch in batches:
-            if first:
-                sums = np.zeros((batch.num_rows, width))
-                kept, names = list(batch.columns), list(batch.schema.names)
-            else:
-                old = batch.column(_SUMS).flatten().to_numpy(zero_copy_only=False)
-                sums = old.reshape(batch.num_rows, width).copy()
-                names = [name for name in batch.schema.names if name != _SUMS]
-                kept = [batch.column(name) for name in names]
-            _add_block(sums, from_arrow(batch.column("features")), models, blocks)
-            yield pa.RecordBatch.from_arrays([*kept, _list_array(sums)], [*names, _SUMS])
+            sums = np.zeros((batch.num_rows, _width(models)))
+            _add_block(sums, from_arrow(batch.column("features")), models, shared.value)
+            for table in _scored(batch, models, sums, probability, ("features",)):
+                yield from table.to_batches()
 
     return run
 
 
-def _final_pass(models: list[Model], shared: object, first: bool, probability: bool) -> Callable:
-    """The last (usually only) pass: add its block and emit one row per row and model."""
-    width = sum(len(m.pairs) for m in models)
+def _packed_chunk(key: tuple, table: pa.Table) -> pa.Table:
+    """The features of a chunk of rows in the order of their numbers."""
+    body = pickle.dumps(from_arrow(table.sort_by(_ROW)["features"]))
+    return pa.table({_CHUNK: pa.array([key[0].as_py()], pa.int64()), _BODY: pa.array([body], pa.binary())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = shared.value
-        for batch in batches:
-            n = batch.num_rows
-            if first:
-                sums = np.zeros((n, width))
-            else:
-                sums = batch.column(_SUMS).flatten().to_numpy(zero_copy_only=False).reshape(n, width).copy()
-            _add_block(sums, from_arrow(batch.column("features")), models, blocks)
-            names = [name for name in batch.schema.names if name not in (_SUMS, "features")]
-            kept = [batch.column(name) for name in names]
-            start = 0
-            for model in models:
-                stop = start + len(model.pairs)
-                decision, prediction, chance = _finish(model, sums[:, start:stop], probability)
-                start = stop
-                scored = [
-                    pa.array([model.model_id] * n, pa.string()),
-                    _list_array(decision),
-                    pa.array(prediction, pa.float64()),
-                    _probability_map(chance, model, n),
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, *scored], [*names, "model_id", "decision", "prediction", "probability"]
-                )
+
+def _meet(models: list[Model]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Partial kernel sums of some chunks with one block."""
+
+    def run(chunks: pa.Table, blocks: pa.Table) -> pa.Table:
+        out = []
+        # A block that no support vector fell into is not there.
+        block = pickle.loads(blocks[_BODY][0].as_py()) if blocks.num_rows and chunks.num_rows else {}
+        for body in chunks[_BODY]:
+            x = pickle.loads(body.as_py())
+            sums = np.zeros((len(x), _width(models)))
+            _add_block(sums, x, models, block)
+            out.append(sums.tobytes())
+        return pa.table({_CHUNK: chunks[_CHUNK], _BLOCK: chunks[_BLOCK], _BODY: pa.array(out, pa.binary())})
+
+    return run
+
+
+def _add_up(models: list[Model], probability: bool, schema: T.StructType) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Sums over all blocks, in their order, and what they say about the rows of a chunk."""
+
+    def run(rows: pa.Table, parts: pa.Table) -> pa.Table:
+        rows = rows.sort_by(_ROW)
+        sums = np.zeros((rows.num_rows, _width(models)))
+        for body in parts.sort_by(_BLOCK)[_BODY]:
+            sums += np.frombuffer(body.as_py(), np.float64).reshape(sums.shape)
+        tables = _scored(rows, models, sums, probability, (_ROW, _CHUNK))
+        return pa.concat_tables(t.select(schema.names) for t in tables)
 
     return run
 
 
 class Scorer:
-    """Models loaded once and broadcast, ready to score any number of frames or streams."""
+    """Models loaded once, ready to score any number of frames or streams."""
 
     def __init__(
         self,
@@ -287,8 +285,31 @@ class Scorer:
                     able = m.svm_type in REGRESSORS and len(m.prob_a) == 1
                 if not able:
                     raise ValueError(f"model {m.model_id} does not support probability estimates")
-        sc = models.sparkSession.sparkContext
-        self.blocks = [sc.broadcast(b) for b in support_blocks(support_vectors, self.models, block_bytes)]
+        spark = models.sparkSession
+        self._paths: list[str] = []
+        wanted = support_vectors.where(F.col("model_id").isin([m.model_id for m in self.models])).select(
+            "model_id", "sv_id", "label", "coef", "features"
+        )
+        wanted = wanted.persist(StorageLevel.MEMORY_AND_DISK)
+        # 12 bytes per stored feature and 8 per coefficient.
+        cost = 12 * F.size("features") + 8 * F.size("coef") + 16
+        size = wanted.agg(F.coalesce(F.sum(cost), F.lit(0)).alias("bytes")).first()["bytes"]
+        self.n_blocks = max(1, -(-size // block_bytes))
+        self._shared = self._blocks = None
+        if self.n_blocks == 1:
+            self._shared = spark.sparkContext.broadcast(_to_blocks(wanted.toArrow(), self.models))
+        else:
+            block = F.pmod(F.xxhash64("model_id", "sv_id"), F.lit(self.n_blocks)).cast("int")
+            packed = wanted.groupBy(block.alias(_BLOCK)).applyInArrow(
+                _packed_block(self.models), f"{_BLOCK} int, {_BODY} binary"
+            )
+            self._blocks = self._table(packed)
+        wanted.unpersist()
+
+    def _table(self, df: DataFrame) -> DataFrame:
+        """A table that stays until the scorer is closed."""
+        self._paths.append(scratch_path(df.sparkSession, "scorer"))
+        return materialise(df, self._paths[-1])
 
     def __enter__(self) -> Scorer:
         return self
@@ -297,17 +318,20 @@ class Scorer:
         self.close()
 
     def close(self) -> None:
-        """Release the support vectors on all executors; frames scored with them must have been written by then."""
-        for block in self.blocks:
-            block.destroy()
+        """Release the support vectors and what was written for scoring; frames scored must have been written by then."""
+        if self._shared is not None:
+            self._shared.destroy()
+        while self._paths:
+            discard(SparkSession.getActiveSession(), self._paths.pop())
 
     def score(self, samples: DataFrame) -> DataFrame:
         """Add ``model_id``, ``decision``, ``prediction``, ``probability`` in place of ``features``.
 
         One output row per input row and model; all other columns pass through.
+        A stream needs support vectors within one block; for larger models land
+        the files and score the table.
         """
         passing = [f for f in samples.schema.fields if f.name != "features"]
-        between = T.StructType([*samples.schema.fields, T.StructField(_SUMS, T.ArrayType(T.DoubleType()))])
         final = T.StructType(
             [
                 *passing,
@@ -317,13 +341,30 @@ class Scorer:
                 T.StructField("probability", T.MapType(T.IntegerType(), T.DoubleType())),
             ]
         )
-        out = samples
-        for i, block in enumerate(self.blocks[:-1]):
-            out = out.mapInArrow(_summing_pass(self.models, block, first=i == 0), between)
-            if (i + 1) % CHAINED_BLOCKS == 0 and not samples.isStreaming:
-                out = materialise(out, scratch_path(samples.sparkSession, "sums"))
-        last = _final_pass(self.models, self.blocks[-1], len(self.blocks) == 1, self.probability)
-        return out.mapInArrow(last, final)
+        if self._shared is not None:
+            return samples.mapInArrow(_narrow_pass(self.models, self._shared, self.probability), final)
+        if samples.isStreaming:
+            raise ValueError("the support vectors exceed one block: land the files, then score them as a table")
+        return self._by_blocks(samples, final)
+
+    def _by_blocks(self, samples: DataFrame, final: T.StructType) -> DataFrame:
+        per_row = 8 * _width(self.models) * self.n_blocks
+        chunk_rows = max(1, min(CHUNK_ROWS, SUM_BYTES // per_row))
+        # Numbers run on inside a partition of the written table, so a chunk is a run of rows.
+        numbered = self._table(samples.withColumn(_ROW, F.monotonically_increasing_id()))
+        numbered = numbered.withColumn(_CHUNK, F.floor(F.col(_ROW) / chunk_rows))
+        features = numbered.select(_CHUNK, _ROW, "features")
+        chunks = self._table(features.groupBy(_CHUNK).applyInArrow(_packed_chunk, f"{_CHUNK} long, {_BODY} binary"))
+        copies = max(1, -(-chunks.count() // CHUNKS_PER_BLOCK_COPY))
+        every_block = F.explode(F.sequence(F.lit(0), F.lit(self.n_blocks - 1)))
+        asked = chunks.withColumn(_BLOCK, every_block).withColumn(_COPY, F.pmod(F.xxhash64(_CHUNK), F.lit(copies)).cast("int"))
+        given = self._blocks.withColumn(_COPY, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        key = [_BLOCK, _COPY]
+        parts = asked.groupBy(*key).cogroup(given.groupBy(*key)).applyInArrow(
+            _meet(self.models), f"{_CHUNK} long, {_BLOCK} int, {_BODY} binary"
+        )
+        rows = numbered.drop("features").groupBy(_CHUNK)
+        return rows.cogroup(parts.groupBy(_CHUNK)).applyInArrow(_add_up(self.models, self.probability, final), final)
 
 
 def score(samples: DataFrame, models: DataFrame, support_vectors: DataFrame, **options) -> DataFrame:

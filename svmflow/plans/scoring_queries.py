@@ -13,7 +13,7 @@ from svmflow.session import scratch_path
 from svmflow.sources.model_store import export_support_vectors, load_model, save_model
 from svmflow.sources.prediction_store import save_predictions
 from svmflow.sources.text import SOURCE_FILE
-from svmflow.streaming.ingest import file_accuracy, score_stream
+from svmflow.streaming.ingest import file_accuracy, score_arrivals, score_stream
 
 GAMMA = 1.0 / 64.0
 
@@ -53,6 +53,14 @@ def svm_score_rbf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _score(spark, sf_dir, kernel_type="rbf", gamma=GAMMA)
 
 
+@query(_binary_sql(f"exp(-{GAMMA}::DOUBLE * dist)", 0.0, _SIGN))
+def svm_score_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with support vectors beyond one block, which rows meet in a shuffle."""
+    models, vectors = fx.binary_model(spark, sf_dir, "fixed", kernel_type="rbf", gamma=GAMMA)
+    scored = Scorer(models, vectors, block_bytes=1500).score(fx.embedding_samples(spark, sf_dir))
+    return scored.select("row_id", F.round(F.col("decision")[0], 9).alias("decision"), "prediction")
+
+
 @query(_binary_sql("d", 0.01, _SIGN))
 def svm_score_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _score(spark, sf_dir, kernel_type="linear", rho=[0.01])
@@ -209,7 +217,8 @@ def svm_prob_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def svm_prob_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-class probabilities by coupling the pair probabilities; one row per class."""
     models, vectors = fx.ovo_model(
-        spark, sf_dir, "ovo", kernel_type="linear", prob_a=[-2.0] * 45, prob_b=[0.1] * 45
+        spark, sf_dir, "ovo", kernel_type="linear", rho=_OVO_OFFSETS,
+        prob_a=[-2.0 - (i + 2 * j) % 5 / 4.0 for i, j in _OVO_PAIRS], prob_b=[((3 * i + j) % 7 - 3) / 20.0 for i, j in _OVO_PAIRS],
     )
     scored = Scorer(models, vectors, probability=True).score(fx.embedding_samples(spark, sf_dir))
     per_class = scored.select("row_id", "prediction", F.explode("probability").alias("label", "p"))
@@ -257,6 +266,23 @@ def eval_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+    SELECT l_returnflag, count(*) AS total, round(avg((v - y) * (v - y)), 3) AS mse,
+           round(pow(covar_pop(v, y), 2) / (var_pop(v) * var_pop(y)), 6) AS squared_correlation
+    FROM (SELECT l_returnflag, 1e9::DOUBLE + l_extendedprice / 1000.0 AS v, 1e9::DOUBLE + l_quantity AS y FROM lineitem)
+    GROUP BY l_returnflag
+""")
+def eval_regression_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values near 1e9 that differ by little: sums of their squares would cancel."""
+    pairs = fx.table(spark, sf_dir, "lineitem").select(
+        "l_returnflag",
+        (F.lit(1e9) + F.col("l_extendedprice") / 1000.0).alias("prediction"),
+        (F.lit(1e9) + F.col("l_quantity")).alias("target"),
+    )
+    found = metrics.regression_error(pairs, by=["l_returnflag"])
+    return found.withColumns({"mse": F.round("mse", 3), "squared_correlation": F.round("squared_correlation", 6)})
+
+
 @query("""
     SELECT 'stored' AS model_id, label::BIGINT AS sv_id, 'rbf' AS kernel_type, 0.5::DOUBLE AS gamma, i::INTEGER AS idx,
            round(avg(embedding[i]::DOUBLE), 9) + 0.0 AS val
@@ -306,6 +332,32 @@ def sv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_support_vectors(vectors, models).drop("run_ts")
 
 
+_RUNS = {"20240101000000": 0.01, "20240102000000": -0.02}
+
+
+@query(f"""
+    SELECT part, run_ts, prediction, count(*) AS n
+    FROM (SELECT *, CASE WHEN f > rho THEN 1.0 ELSE -1.0 END::DOUBLE AS prediction
+          FROM (SELECT target::INTEGER AS part, row_id, sum(CASE WHEN sv_id < 5 THEN 1.0 ELSE -1.0 END * d) AS f
+                FROM (WITH {_CROSS} SELECT * FROM cross_terms) GROUP BY target, row_id),
+               (VALUES (0, '20240101000000', 0.01::DOUBLE), (1, '20240102000000', -0.02::DOUBLE)) r(odd, run_ts, rho)
+          WHERE part % 2 = odd)
+    GROUP BY ALL
+""")
+def stream_current_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that arrive before and after a newer run of the model is saved, under one checkpoint."""
+    source, store = scratch_path(spark, "sample-files"), scratch_path(spark, "model-store")
+    table, state = scratch_path(spark, "stream-scores"), scratch_path(spark, "stream-state")
+    rows = fx.table(spark, sf_dir, "embeddings")
+    lines = rows.select(F.col("label").alias("part"), fx.dense_line(F.col("label")).alias("value"))
+    for odd, (run_ts, rho) in enumerate(_RUNS.items()):
+        save_model(*fx.binary_model(spark, sf_dir, "current", kernel_type="linear", rho=[rho]), store, run_ts=run_ts)
+        lines.where(F.col("part") % 2 == odd).write.mode("append").partitionBy("part").text(source)
+        score_arrivals(spark, source, store, "current", table, state)
+    part = F.regexp_extract(SOURCE_FILE, r"part=(\d+)/", 1).cast("int").alias("part")
+    return spark.read.parquet(table).groupBy(part, "run_ts", "prediction").agg(F.count("*").alias("n"))
+
+
 _STREAM_SQL = _binary_sql("d", 0.01, "target, CASE WHEN f > 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS prediction")
 
 

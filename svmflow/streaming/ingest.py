@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from svmflow.functions.parsing import FEATURES_TYPE, REJECT_REASON, accepted
 from svmflow.operators.metrics import accuracy
 from svmflow.operators.scoring import Scorer
+from svmflow.sources.model_store import load_model
 from svmflow.sources.samples import parse_samples
 from svmflow.sources.text import SOURCE_FILE
 
@@ -74,6 +78,50 @@ def score_stream(
     return _start(scored, table_path, checkpoint, once)
 
 
+def score_arrivals(
+    spark: SparkSession,
+    source: str,
+    store: str,
+    model_id: str,
+    table_path: str,
+    checkpoint: str,
+    *,
+    probability: bool = False,
+) -> str:
+    """Score the files that have arrived since the last call, in one micro-batch, with the newest run of a model.
+
+    The run is looked up when the micro-batch starts, and its rows carry it.
+    Calls share the checkpoint, so each file is scored once; a batch that
+    failed is scored anew by the next call, with the run that is newest then. Returns the run.
+    """
+    models, vectors = load_model(spark, store, model_id)
+    run_ts = models.first()["run_ts"]
+    with Scorer(models.drop("run_ts"), vectors.drop("run_ts"), probability=probability) as scorer:
+        score_stream(spark, source, scorer, table_path, checkpoint, run_ts=run_ts).awaitTermination()
+    return run_ts
+
+
+def follow_arrivals(
+    spark: SparkSession,
+    source: str,
+    store: str,
+    model_id: str,
+    table_path: str,
+    checkpoint: str,
+    *,
+    stopped: Callable[[], bool],
+    every: float = 10.0,
+    **options,
+) -> None:
+    """Keep scoring arriving files until ``stopped()``, every micro-batch with the run that is newest by then."""
+    while True:
+        started = time.monotonic()
+        score_arrivals(spark, source, store, model_id, table_path, checkpoint, **options)
+        if stopped():
+            return
+        time.sleep(max(0.0, every - (time.monotonic() - started)))
+
+
 def file_accuracy(predictions: DataFrame) -> DataFrame:
     """Accuracy per arrived file, model and run, over the lines that could be read."""
     return accuracy(accepted(predictions), by=[SOURCE_FILE, "model_id", "run_ts"])

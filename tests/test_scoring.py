@@ -1,4 +1,5 @@
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from svmflow.functions.parsing import FEATURES_TYPE
 from svmflow.functions.probability import couple_pairs, pair_probability
+from svmflow.operators import scoring
 from svmflow.operators.scoring import Scorer, noise_scale, score
 from svmflow.sources.prediction_store import save_predictions
 from svmflow.sources.model_store import (
@@ -101,12 +103,64 @@ def test_votes_and_blocks(spark, setup):
     expected = np.array(labels, float)[votes.argmax(axis=1)]
     for block_bytes in (1 << 20, 400, 100):
         scorer = Scorer(model, sv_df, block_bytes=block_bytes)
-        assert (len(scorer.blocks) > 4) == (block_bytes < 1000)
+        assert (scorer.n_blocks > 4) == (block_bytes < 1000)
         out = scorer.score(rows).orderBy("row_id").collect()
         assert np.allclose([r["decision"] for r in out], f)
         assert np.allclose([r["prediction"] for r in out], expected)
 
 
+def test_chunks_meet_every_block(spark, setup, monkeypatch, tmp_path):
+    """Many chunks and copies, two models of unequal size, other columns, and rows without features; and nothing stays."""
+    monkeypatch.setattr(scoring, "CHUNK_ROWS", 3)
+    monkeypatch.setattr(scoring, "CHUNKS_PER_BLOCK_COPY", 2)
+    _, x, rows = setup
+    draw = np.random.default_rng(4)
+    parts, models, expected = [], [], {}
+    for name, n, kind in (("a", 30, "rbf"), ("b", 3, "linear")):
+        sv, coef = draw_matrix(draw, n), draw.normal(size=n)
+        parts.append(vectors(spark, name, sv, np.sign(coef), coef))
+        models.append(model_row(spark, name, kernel_type=kind, gamma=0.3, rho=[0.1], label=[1, -1]))
+        expected[name] = np.append(kernel(kind, x, sv, 0.3, 0, 0), kernel(kind, np.zeros((1, DIMS)), sv, 0.3, 0, 0), axis=0) @ coef - 0.1
+    more = rows.union(spark.createDataFrame([(40, None, [])], SAMPLES)).withColumn("label", F.lit("kept"))
+    with Scorer(models[0].union(models[1]), parts[0].union(parts[1]), block_bytes=300) as scorer:
+        out = scorer.score(more.repartition(3))
+        assert out.columns == ["row_id", "target", "label", "model_id", "decision", "prediction", "probability"]
+        found = out.orderBy("row_id").collect()
+        written = [p for p in scorer._paths]
+        assert scorer.score(more.limit(0)).count() == 0
+    assert len(found) == 82 and {r["label"] for r in found} == {"kept"}
+    for name, f in expected.items():
+        mine = [r for r in found if r["model_id"] == name]
+        assert np.allclose([r["decision"][0] for r in mine], f)
+        assert [r["prediction"] for r in mine] == np.where(f > 0, 1.0, -1.0).tolist()
+    assert written and not any(Path(p.removeprefix("file:")).exists() for p in written)
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path))
+    with pytest.raises(ValueError, match="land the files"):
+        Scorer(models[0], parts[0], block_bytes=300).score(stream)
+
+
+@pytest.mark.parametrize("k", [3, 4, 10])
+def test_coupled_pairs_equal_the_linear_system(k):
+    """The optimum solves a linear system (Q, 1; 1, 0) (p, b) = (0, 1): an independent way to it, with unequal pairs."""
+    draw = np.random.default_rng(k)
+    pairs = list(combinations(range(k), 2))
+    chance = draw.uniform(0.02, 0.98, (50, len(pairs)))
+    found = couple_pairs(chance, pairs, k)
+    assert np.allclose(found.sum(axis=1), 1.0)
+    for row, p in zip(chance, found, strict=True):
+        r = np.zeros((k, k))
+        for (i, j), value in zip(pairs, row, strict=True):
+            r[i, j], r[j, i] = value, 1.0 - value
+        q = np.zeros((k + 1, k + 1))
+        for i in range(k):
+            for j in range(k):
+                q[i, j] = sum(r[s, i] ** 2 for s in range(k) if s != i) if i == j else -r[j, i] * r[i, j]
+        q[:k, k] = q[k, :k] = 1.0
+        exact = np.linalg.solve(q, np.append(np.zeros(k), 1.0))[:k]
+        assert np.abs(p - exact).max() < 0.01
+        assert (exact > -1e-9).all()
+
+
 def test_several_models_in_one_pass(spark, setup):
     _, x, rows = setup
     sv, coef = draw_matrix(np.random.default_rng(3), 6), np.linspace(-1, 1, 6)

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 from svmflow.functions.parsing import accepted
 from svmflow.operators.scoring import Scorer
 from svmflow.plans import fixtures as fx
+from svmflow.sources.model_store import save_model
 from svmflow.sources.samples import parse_samples
 from svmflow.sources.text import read_lines
-from svmflow.streaming.ingest import file_accuracy, ingest_stream, score_stream
+from svmflow.streaming.ingest import file_accuracy, follow_arrivals, ingest_stream, score_arrivals, score_stream
 
 
 def write(folder, name, lines):
@@ -66,3 +67,41 @@ def test_a_running_stream_can_be_stopped(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "out")).count() == 1
     finally:
         query.stop()
+
+
+def test_arrivals_meet_the_newest_run(spark, tmp_path):
+    source, store, table, state = (str(tmp_path / n) for n in ("in", "store", "out", "state"))
+
+    def save(run_ts, rho):
+        save_model(*fx.binary_model(spark, SF, "m", kernel_type="linear", rho=[rho]), store, run_ts=run_ts)
+
+    def runs():
+        found = spark.read.parquet(table).select("source_file", "run_ts", "prediction").collect()
+        return sorted((r["source_file"].rsplit("/", 1)[1], r["run_ts"], r["prediction"]) for r in found)
+
+    write(tmp_path / "in", "a.txt", ["+1 1:0.5", "-1 2:1"])
+    save("20240101000000", -1e6)
+    assert score_arrivals(spark, source, store, "m", table, state) == "20240101000000"
+    first = [("a.txt", "20240101000000", 1.0)] * 2
+    assert runs() == first
+    save("20240102000000", 1e6)
+    assert score_arrivals(spark, source, store, "m", table, state) == "20240102000000"
+    assert runs() == first, "what has been scored stays"
+    write(tmp_path / "in", "b.txt", ["+1 1:0.5"])
+    save("20230101000000", -1e6)
+    score_arrivals(spark, source, store, "m", table, state)
+    second = [*first, ("b.txt", "20240102000000", -1.0)]
+    assert runs() == second
+
+    turns = iter([False, False, True])
+
+    def stopped():
+        """Between two micro-batches of a running stream: a newer run, then another file."""
+        stop = next(turns)
+        if not stop:
+            save("20240103000000", -1e6)
+            write(tmp_path / "in", "c.txt", ["-1 1:0.5"])
+        return stop
+
+    follow_arrivals(spark, source, store, "m", table, state, stopped=stopped, every=0.0)
+    assert runs() == [*second, ("c.txt", "20240103000000", 1.0)]
