@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from svmflow.llm.common import save
+from svmflow.session import Scratch
 
 #: Doublings of the longest path that are followed before the graph counts as broken.
 MAX_ROUNDS = 64
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) of every node that an edge ``(a, b)`` names; component is the smallest node.
 
     Edges with a null end and loops are ignored, repeated edges count once, and
     an empty edge table gives an empty result. Each step groups by node with
     partial aggregation and joins the minimum back, so the neighbours of a hub
-    are never gathered; each round is written to the shared folder.
+    are never gathered; each round is written to the shared folder, among the tables of a run if one is given.
     """
+    write = scratch.write if scratch is not None else lambda df: save(df, "links")
     pairs = edges.select("a", "b").where("a is not null and b is not null and a <> b")
-    links = save(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    links = write(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(MAX_ROUNDS):
         state = _state(links)
@@ -32,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
                 .agg(F.min("component").alias("component"))
             )
         before = state
-        links = save(_small_star(_large_star(links)).distinct(), "links")
+        links = write(_small_star(_large_star(links)).distinct())
     raise RuntimeError("components did not settle")
 
 

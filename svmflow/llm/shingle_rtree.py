@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,18 +15,22 @@ from pyspark.sql import functions as F
 from svmflow.llm.common import fresh, save
 from svmflow.llm.components import components
 from svmflow.llm.shingling import mix, shingle_sets, slices
+from svmflow.session import Scratch
 
 #: Words of a shingle, and the least Jaccard similarity of a link in hundredths.
 WIDTH, LEAST = 5, 75
 #: Groups that shingles are hashed into: the dimensions of the indexed points. A larger set also keeps
 #: the counts of finer groups, one for about four shingles, as its bound is useless with few.
 GROUPS, SHINGLES_PER_GROUP, MOST_GROUPS = 64, 4, 1 << 16
-#: Rows of a leaf of the tree.
-LEAF = 32
-#: Rows of one cell that one task joins; a fuller cell is joined in pairs of chunks.
+#: Rows of a leaf of the tree, children of an inner node, and node pairs and leaf pairs that are looked at together.
+LEAF, FAN = 32, 8
+NODE_PAIRS, LEAF_PAIRS = 2_048, 64
+#: Rows of one neighbourhood that one task joins by their counts; a larger one is joined in pairs of chunks.
 CHUNK_ROWS = 4_096
-#: Rows of the cells that share a task.
+#: Rows of the neighbourhoods that share a task.
 TASK_ROWS = 10_000
+#: Bytes of the sets of a chunk, and of the neighbourhoods that share a task, where sets are compared.
+CHUNK_BYTES, TASK_BYTES = 8 << 20, 8 << 20
 #: Bins of the count of common shingles, and how far above its task's mean a bin must be to be told.
 BINS, COMMON_TIMES, COMMON_LEAST = 1 << 20, 4, 16
 #: Values of the hash that narrows the documents whose sets are needed again.
@@ -88,10 +94,23 @@ def prefix_length(n: int) -> int:
 
 def group_counts(hashes: np.ndarray) -> np.ndarray:
     """How many shingles fall into each group; groups are parts of the hash range, so finer ones add up to coarser."""
-    bits = min(MOST_GROUPS, max(GROUPS, len(hashes) // SHINGLES_PER_GROUP)).bit_length() - 1
+    bits = n_groups(len(hashes)).bit_length() - 1
     return np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u4")
 
 
+def n_groups(n: int) -> int:
+    """Groups of a set of so many shingles, a power of two."""
+    return 1 << (min(MOST_GROUPS, max(GROUPS, n // SHINGLES_PER_GROUP)).bit_length() - 1)
+
+
+def _point_bytes(counts: np.ndarray) -> bytes:
+    return (counts.astype("<u1") if counts.max(initial=0) < 256 else counts).tobytes()
+
+
+def _counts(point: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(point, "<u1" if len(point) == n_groups(n) else "<u4").astype(np.int64)
+
+
 def _fold(counts: np.ndarray, groups: int) -> np.ndarray:
     return counts.reshape(groups, -1).sum(axis=1)
 
@@ -105,7 +124,7 @@ def _index_rows(levels):
                 k1, k2 = _set_key(hashes)
                 one.append(k1)
                 two.append(k2)
-                point.append(group_counts(hashes).tobytes())
+                point.append(_point_bytes(group_counts(hashes)))
                 level = level_of[hashes & _MEMBER]
                 first = hashes if not level.any() else hashes[np.argsort(level, kind="stable")]
                 first = first[: prefix_length(len(hashes))] if len(hashes) else first
@@ -147,61 +166,154 @@ def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-LEAST * (a + b) // (100 + LEAST))
 
 
+class _Nodes(NamedTuple):
+    """Bounds of the nodes of one level: sizes, connected groups, cells, sides, and the largest count of every dimension."""
+
+    low: np.ndarray
+    high: np.ndarray
+    group: np.ndarray
+    last_group: np.ndarray
+    cell: np.ndarray
+    last_cell: np.ndarray
+    side: np.ndarray
+    last_side: np.ndarray
+    top: np.ndarray
+
+    def over(self, starts: np.ndarray) -> _Nodes:
+        """Nodes that each cover the nodes from one start to the next."""
+        least, most = np.minimum.reduceat, np.maximum.reduceat
+        return _Nodes(*((least, most)[i % 2](v, starts) for i, v in enumerate(self[:-1])), most(self.top, starts, axis=0))
+
+    def fitting(self, x: np.ndarray, y: np.ndarray, two_sided: bool) -> np.ndarray:
+        """Positions of the pairs below which a link is possible."""
+        alone = lambda first, last: (first[x] == last[x]) & (first[y] == last[y]) & (first[x] == first[y])
+        fits = (self.last_cell[x] >= self.cell[y]) & ~alone(self.group, self.last_group)
+        fits &= (LEAST * self.low[x] <= 100 * self.high[y]) & (LEAST * self.low[y] <= 100 * self.high[x])
+        if two_sided:
+            fits &= ~alone(self.side, self.last_side)
+        at = np.flatnonzero(fits)
+        x, y = x[at], y[at]
+        return at[np.minimum(self.top[x], self.top[y]).sum(axis=1) >= _needed(self.low[x], self.low[y])]
+
+
 def tree_pairs(
     size: np.ndarray, point: np.ndarray, group: np.ndarray, cell: np.ndarray, side: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs inside each cell that may link, by the bounds of an R-tree.
-
-    Rows of a cell are packed into leaves by group, size and then their counts; a
-    leaf keeps the least and the largest count of every dimension. The overlap
-    of two sets is at most the sum of the smaller counts, for two leaves the
-    sum of the smaller of their largest counts; pairs of leaves, then of rows,
-    that cannot reach the overlap of a link are left out. So are pairs of one
-    ``group`` (already connected), and with both sides present pairs of one side.
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of row pairs inside each cell that may link, by the bounds of an R-tree.
+
+    Rows are packed into leaves by cell, side, group, size and then their counts, leaves
+    into inner nodes; a node keeps the least and largest size and the largest
+    count of every dimension. The overlap of two sets is at most the sum of the
+    smaller counts, for two nodes the sum of the smaller of their largest
+    counts. Node pairs are followed from the root down; those that cannot reach the overlap of a link
+    are left out. So are pairs of one ``group`` (already connected), and with both sides present pairs of one side.
     """
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    order = np.lexsort((point[:, 0], size, group, cell))
-    cuts = np.flatnonzero(np.diff(cell[order])) + 1
-    for rows in np.split(order, cuts):
-        two_sided = side[rows].min() != side[rows].max()
-        leaves = [rows[at : at + LEAF] for at in range(0, len(rows), LEAF)]
-        low = np.array([size[leaf].min() for leaf in leaves])
-        high = np.array([size[leaf].max() for leaf in leaves])
-        first = np.array([group[leaf].min() for leaf in leaves])
-        last = np.array([group[leaf].max() for leaf in leaves])
-        top = np.array([point[leaf].max(axis=0) for leaf in leaves])
-        for x, leaf in enumerate(leaves):
-            fits = (LEAST * low[x:] <= 100 * high[x]) & (LEAST * low[x] <= 100 * high[x:])
-            fits &= (first[x] != last[x]) | (first[x:] != first[x]) | (last[x:] != last[x])
-            reach = np.flatnonzero(fits) + x
-            bound = np.minimum(top[x], top[reach]).sum(axis=1)
-            reach = reach[bound >= _needed(low[x], low[reach])]
-            for y in reach.tolist():
-                a, b = np.repeat(leaf, len(leaves[y])), np.tile(leaves[y], len(leaf))
-                fits = group[a] != group[b]
-                fits &= LEAST * np.maximum(size[a], size[b]) <= 100 * np.minimum(size[a], size[b])
-                if x == y:
-                    fits &= a < b
-                if two_sided:
-                    fits &= side[a] != side[b]
-                a, b = a[fits], b[fits]
-                fits = np.minimum(point[a], point[b]).sum(axis=1) >= _needed(size[a], size[b])
-                found_a.append(a[fits])
-                found_b.append(b[fits])
-    return np.concatenate(found_a), np.concatenate(found_b)
-
-
-def _tree_task(key: tuple, table: pa.Table) -> pa.Table:
+    n = len(size)
+    if n == 0:
+        return
+    order = np.lexsort((point[:, 0], size, group, side, cell))
+    size, point, group, cell, side = size[order], point[order], group[order], cell[order], side[order]
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    nth = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    starts = np.flatnonzero(nth % LEAF == 0)
+    ends = np.append(starts[1:], n)
+    two_sided = side.min() != side.max()
+    levels = [_Nodes(size, size, group, group, cell, cell, side, side, point).over(starts)]
+    while len(levels[-1].low) > 1:
+        levels.append(levels[-1].over(np.arange(0, len(levels[-1].low), FAN)))
+    stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while stack:
+        level, x, y = stack.pop()
+        at = levels[level].fitting(x, y, two_sided)
+        x, y = x[at], y[at]
+        if level:
+            x, y = _below(x, y, x * FAN, y * FAN, np.minimum(x * FAN + FAN, len(levels[level - 1].low)), np.minimum(y * FAN + FAN, len(levels[level - 1].low)), FAN, True)
+            cuts = range(0, len(x), NODE_PAIRS)
+            stack += [(level - 1, x[i : i + NODE_PAIRS], y[i : i + NODE_PAIRS]) for i in reversed(cuts)]
+            continue
+        for i in range(0, len(x), LEAF_PAIRS):
+            u, v = x[i : i + LEAF_PAIRS], y[i : i + LEAF_PAIRS]
+            a, b = _below(u, v, starts[u], starts[v], ends[u], ends[v], LEAF, False)
+            fits = (cell[a] == cell[b]) & (group[a] != group[b])
+            fits &= LEAST * np.maximum(size[a], size[b]) <= 100 * np.minimum(size[a], size[b])
+            if two_sided:
+                fits &= side[a] != side[b]
+            a, b = a[fits], b[fits]
+            fits = np.minimum(point[a], point[b]).sum(axis=1) >= _needed(size[a], size[b])
+            if fits.any():
+                yield order[a[fits]], order[b[fits]]
+
+
+def _below(x, y, x_from, y_from, x_to, y_to, width: int, with_self: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of what two nodes cover, each pair once; of a node with itself also of a child with itself if asked."""
+    steps = np.arange(width)
+    a = np.repeat(x_from[:, None] + steps, width, axis=1)
+    b = np.tile(y_from[:, None] + steps, (1, width))
+    ordered = a <= b if with_self else a < b
+    fits = (a < x_to[:, None]) & (b < y_to[:, None]) & ((x != y)[:, None] | ordered)
+    return a[fits], b[fits]
+
+
+def _candidates(key: tuple, table: pa.Table) -> pa.Table:
+    """The rows of neighbourhoods that have a partner which their counts cannot rule out: never more than come in."""
     table = table.combine_chunks()
     column = lambda name: np.asarray(table[name].combine_chunks())
-    fine = [np.frombuffer(p, "<u4").astype(np.int64) for p in table["point"].to_pylist()]
+    size = column("n")
+    fine = [_counts(p, n) for p, n in zip(table["point"].to_pylist(), size.tolist(), strict=True)]
     point = np.stack([_fold(f, GROUPS) for f in fine])
-    uid, size = column("uid"), column("n")
-    a, b = tree_pairs(size, point, column("component"), column("cell"), column("side"))
-    a, b = np.where(uid[a] < uid[b], a, b), np.where(uid[a] < uid[b], b, a)
-    _, first = np.unique(np.stack([uid[a], uid[b]]), axis=1, return_index=True)
-    kept = [k for k in first.tolist() if _finer_bound(fine[a[k]], fine[b[k]]) >= _needed(size[a[k]], size[b[k]])]
-    return pa.table({"a": uid[a[kept]], "b": uid[b[kept]]})
+    told = np.zeros(len(size), bool)
+    for a, b in tree_pairs(size, point, column("component"), column("cell"), column("side")):
+        open_ = ~(told[a] & told[b])
+        for i, j in zip(a[open_].tolist(), b[open_].tolist(), strict=True):
+            if not (told[i] and told[j]) and _finer_bound(fine[i], fine[j]) >= _needed(size[i], size[j]):
+                told[i] = told[j] = True
+    return pa.table({"cell": column("cell")[told], "uid": column("uid")[told]})
+
+
+def _forest(key: tuple, table: pa.Table) -> pa.Table:
+    """Links that connect what is linked in some neighbourhoods: one for each row at most.
+
+    Sets are compared exactly, in the order of the tree; a pair that is connected by then is left out.
+    """
+    table = table.combine_chunks()
+    column = lambda name: np.asarray(table[name].combine_chunks())
+    members = table["members"].combine_chunks()
+    hashes = members.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    size = members.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(size)
+    rows = np.repeat(np.arange(len(size)), size)
+    shift = np.uint64(64 - (GROUPS.bit_length() - 1))
+    point = np.bincount(rows * GROUPS + (hashes >> shift).astype(np.int64), minlength=len(size) * GROUPS).reshape(-1, GROUPS)
+    shingles, local = np.unique(hashes, return_inverse=True)
+    marked = np.zeros(len(shingles), bool)
+    uid = column("uid")
+    _, group = np.unique(column("component"), return_inverse=True)
+    root = np.arange(group.max(initial=-1) + 1)
+    found_a, found_b = [], []
+    for a, b in tree_pairs(size, point, group, column("cell"), column("side")):
+        open_ = root[group[a]] != root[group[b]]
+        a, b = a[open_], b[open_]
+        by = np.argsort(a, kind="stable")
+        a, b = a[by], b[by]
+        for lo, hi in pairwise([*np.flatnonzero(np.append(True, a[1:] != a[:-1])).tolist(), len(a)] if len(a) else []):
+            one, others = int(a[lo]), b[lo:hi]
+            others = others[root[group[others]] != root[group[one]]]
+            if not len(others):
+                continue
+            own = local[ends[one] - size[one] : ends[one]]
+            marked[own] = True
+            lengths = size[others]
+            starts = np.cumsum(lengths) - lengths
+            at = np.repeat(ends[others] - lengths - starts, lengths) + np.arange(lengths.sum())
+            both = np.add.reduceat(marked[local[at]].astype(np.int64), starts)
+            marked[own] = False
+            for other in others[100 * both >= LEAST * (size[one] + lengths - both)].tolist():
+                low, high = sorted((int(root[group[one]]), int(root[group[other]])))
+                if low != high:
+                    root[root == high] = low
+                    found_a.append(uid[one])
+                    found_b.append(uid[other])
+    return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
 
 def _finer_bound(a: np.ndarray, b: np.ndarray) -> int:
@@ -210,27 +322,30 @@ def _finer_bound(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(_fold(a, groups), _fold(b, groups)).sum())
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The distinct ``(a, b)`` whose whole sets are similar enough.
-
-    Sets are read again from the texts of the documents that pairs name. A
-    document that many pairs share as ``b`` is dealt out under several salts.
-    """
-    key = ["id", "k1", "k2"]
-    named = lambda end: reps.select(F.col("uid").alias(end), F.col("rep_id").alias("id"), "k1", "k2")
-    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_LINKS).alias("salts"))
-    salted = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
-    left, right = salted.join(named("a"), "a").drop("salts"), salts.join(named("b"), "b")
+def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(uid, members) of the wanted (uid, id, k1, k2), made again from the texts of the rows that hold them."""
+    marked = fresh("bit")
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
     # At most ID_BITS values, whatever the data.
-    bits = left.select(bit("id").alias("bit")).union(right.select(bit("id"))).distinct()
+    bits = wanted.select(bit("id").alias(marked)).distinct()
     sets = (
-        docs.join(F.broadcast(bits), bit("id") == F.col("bit"), "left_semi")
+        docs.join(F.broadcast(bits), bit("id") == F.col(marked), "left_semi")
         .select("id", "text")
         .mapInArrow(_whole_sets, "id long, k1 long, k2 long, members array<long>")
     )
-    spokes = sets.join(left, key).select("a", "b", "salt", "members")
-    hubs = sets.join(right, key).select(
+    return sets.join(wanted, ["id", "k1", "k2"])
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """The distinct ``(a, b)`` whose whole sets are similar enough; every ``a`` is in one pair.
+
+    A document that many pairs share as ``b`` is dealt out under several salts.
+    """
+    named = lambda end: reps.select(F.col("uid").alias(end), F.col("rep_id").alias("id"), "k1", "k2")
+    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_LINKS).alias("salts"))
+    salted = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
+    spokes = _sets(salted.join(named("a"), "a").drop("salts"), docs).select("a", "b", "salt", "members")
+    hubs = _sets(salts.join(named("b"), "b"), docs).select(
         "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("members").alias("members_b")
     )
     both = F.size(F.array_intersect("members", "members_b"))
@@ -252,67 +367,69 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Equal sets are one entry. Entries meet in cells: those of the shingles that
     any two linked sets must share one of, in an order that puts common
     shingles last, so a passage that many documents share makes no cell. In
-    each cell entries are first verified against a leader, which links groups of
-    copies by one pair an entry; what is then not connected is joined by a count-vector R-tree, and survivors are verified exactly.
+    each cell entries have a leader; each entry is verified against the leader of most of its cells,
+    which links groups of copies by one pair an entry. The entries of one leader are
+    its neighbourhood; those that are then not all connected are joined by a count-vector R-tree, which
+    tells the entries with a possible partner, and once more with their sets, which are compared
+    inside the task, so that a task gives at most one link a row.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    told = save(source.mapInArrow(_summarise, "is_bin boolean, id long, n long, k1 long, k2 long"), "jaccard-keys")
-    summary = told.where("not is_bin").drop("is_bin")
-    reps = save(
-        summary.where("n > 0 and id is not null")
-        .groupBy("k1", "k2")
-        .agg(F.min("id").alias("rep_id"), F.first("n").alias("n"))
-        .withColumn("uid", F.monotonically_increasing_id()),
-        "jaccard-reps",
-    )
-    # At most BINS rows: the common bins with the power of two of their count.
-    bins = told.where("is_bin").groupBy("k1").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level")).toPandas()
-    level_of = np.zeros(BINS, np.uint8)
-    level_of[bins["k1"].to_numpy()] = bins["level"].to_numpy()
-    levels = spark.sparkContext.broadcast(level_of)
-    rows = source.where("id is not null and text is not null").mapInArrow(
-        _index_rows(levels), "id long, k1 long, k2 long, point binary, prefix array<long>"
-    )
-    entries = rows.join(reps.withColumnRenamed("rep_id", "id"), ["id", "k1", "k2"])
-    in_cell = Window.partitionBy("cell").orderBy("n", "uid")
-    met = save(
-        entries.select(F.explode("prefix").alias("cell"), "uid", F.col("n").cast("int").alias("n"))
-        .withColumn("previous", F.lag("uid").over(in_cell))
-        .withColumn("next", F.lead("uid").over(in_cell))
-        .where("previous is not null or next is not null")
-        .select("cell", "uid", "n", *(_leader(shift).alias(name) for name, shift in LEADERS.items())),
-        "jaccard-met",
-    )
-    spokes = save(
-        met.select("uid", "n", F.explode(F.array(*LEADERS)).alias("lead"))
-        .where("lead.uid <> uid")
-        .groupBy("uid", F.col("lead.uid").alias("lead_uid"))
-        .agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("lead.n").alias("lead_n")),
-        "jaccard-spokes",
-    )
-    # The leader of most cells of an entry; of equals the least hash, so that a group agrees on one.
-    best = F.max(F.struct("times", F.xxhash64("lead_uid"), "lead_uid"))["lead_uid"]
-    # Pairs that share few cells or differ too much in size are left to the tree, which rules out most by their counts.
-    fitting = spokes.where(F.greatest("n", "lead_n") * LEAST <= F.least("n", "lead_n") * 100).where(
-        F.col("times") * LED_PART >= F.col("n")
-    )
-    pairs = save(fitting.groupBy(F.col("uid").alias("a")).agg(best.alias("b")), "jaccard-pairs")
-    links = save(_verified(pairs, reps, source), "jaccard-stars")
-    first = components(links)
-    left = _tree_candidates(_unfinished(met, _apart(spokes, first)), first, rows, reps)
-    if left.head(1):
-        links = links.union(_verified(left, reps, source))
-    final = components(links)
-    named = reps.join(final.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
-        "component", F.coalesce("component", "uid")
-    )
-    least = named.groupBy("component").agg(F.min("rep_id").alias("least"))
-    of_set = named.join(least, "component").select("k1", "k2", "least")
-    linked = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("least")).otherwise(F.col("id"))
-    return summary.join(of_set, ["k1", "k2"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), linked.alias("component_id")
-    )
+    with Scratch(spark, "jaccard") as scratch:
+        told = scratch.write(source.mapInArrow(_summarise, "is_bin boolean, id long, n long, k1 long, k2 long"))
+        summary = told.where("not is_bin").drop("is_bin")
+        reps = scratch.write(
+            summary.where("n > 0 and id is not null")
+            .groupBy("k1", "k2")
+            .agg(F.min("id").alias("rep_id"), F.first("n").alias("n"))
+            .withColumn("uid", F.monotonically_increasing_id())
+        )
+        # At most BINS rows: the common bins with the power of two of their count.
+        bins = told.where("is_bin").groupBy("k1").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level")).toPandas()
+        level_of = np.zeros(BINS, np.uint8)
+        level_of[bins["k1"].to_numpy()] = bins["level"].to_numpy()
+        levels = spark.sparkContext.broadcast(level_of)
+        rows = source.where("id is not null and text is not null").mapInArrow(
+            _index_rows(levels), "id long, k1 long, k2 long, point binary, prefix array<long>"
+        )
+        entries = rows.join(reps.withColumnRenamed("rep_id", "id"), ["id", "k1", "k2"])
+        in_cell = Window.partitionBy("cell").orderBy("n", "uid")
+        met = (
+            entries.select(F.explode("prefix").alias("cell"), "uid", F.col("n").cast("int").alias("n"))
+            .withColumn("previous", F.lag("uid").over(in_cell))
+            .withColumn("next", F.lead("uid").over(in_cell))
+            .where("previous is not null or next is not null")
+            .select("cell", "uid", "n", *(_leader(shift).alias(name) for name, shift in LEADERS.items()))
+        )
+        spokes = scratch.write(
+            met.select("uid", "n", F.explode(F.array(*LEADERS)).alias("lead"))
+            .where("lead.uid <> uid")
+            .groupBy("uid", F.col("lead.uid").alias("lead_uid"))
+            .agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("lead.n").alias("lead_n"))
+        )
+        # The leader of most cells of an entry; of equals the least hash, so that a group agrees on one.
+        best = F.max(F.struct("times", F.xxhash64("lead_uid"), "lead_uid"))["lead_uid"]
+        # Pairs that share few cells or differ too much in size are left to the tree, which rules out most by their counts.
+        fitting = spokes.where(F.greatest("n", "lead_n") * LEAST <= F.least("n", "lead_n") * 100).where(
+            F.col("times") * LED_PART >= F.col("n")
+        )
+        pairs = scratch.write(fitting.groupBy(F.col("uid").alias("a")).agg(best.alias("b")))
+        links = scratch.write(_verified(pairs, reps, source))
+        first = components(links, scratch)
+        near = _neighbourhoods(spokes, first, scratch)
+        if near.head(1):
+            links = links.union(_linked_inside(near, first, rows, reps, source, scratch))
+        final = components(links, scratch)
+        named = reps.join(final.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
+            "component", F.coalesce("component", "uid")
+        )
+        least = named.groupBy("component").agg(F.min("rep_id").alias("least"))
+        of_set = named.join(least, "component").select("k1", "k2", "least")
+        linked = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("least")).otherwise(F.col("id"))
+        result = summary.join(of_set, ["k1", "k2"], "left").select(
+            F.col("id").alias(id_col), F.col("n").alias("n_shingles"), linked.alias("component_id")
+        )
+        return save(result, "jaccard-components")
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,23 +439,27 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows that may go are shuffled: the others are told apart by a table of
     hashed ids of fixed size.
     """
-    found = save(jaccard_components(docs, id_col, text_col), "jaccard-found")
-    known = found.where(F.col(id_col).isNotNull())
-    gone = known.groupBy(F.col(id_col).alias("gone_id")).agg(
-        F.max(F.col("component_id") < F.col(id_col)).alias("gone"), F.count("*").alias("times")
-    ).where("gone or times > 1")
+    found = jaccard_components(docs, id_col, text_col)
+    gone_id, goes, bit_of, marked, nth = (fresh(name) for name in ("gone_id", "gone", "bit_of", "bit", "nth"))
+    times = F.count("*")
+    gone = (
+        found.where(F.col(id_col).isNotNull())
+        .groupBy(F.col(id_col).alias(gone_id))
+        .agg(F.max(F.col("component_id") < F.col(id_col)).alias(goes), times.alias(nth))
+        .where(F.col(goes) | (F.col(nth) > 1))
+        .select(gone_id, goes)
+    )
     gone = save(gone, "jaccard-gone")
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
-    bits = F.broadcast(gone.select(bit(F.col("gone_id").cast("long")).alias("bit")).distinct())  # ID_BITS rows at most
-    marked, nth = fresh("bit"), fresh("nth")
+    bits = F.broadcast(gone.select(bit(F.col(gone_id).cast("long")).alias(bit_of)).distinct())  # ID_BITS rows at most
     rows = docs.withColumn(marked, bit(F.col(id_col).cast("long")))
-    sure = rows.join(bits, F.col(marked) == F.col("bit"), "left_anti").drop(marked)
+    sure = rows.join(bits, F.col(marked) == F.col(bit_of), "left_anti").drop(marked)
     of_id = Window.partitionBy(id_col).orderBy(text_col)
     unsure = (
-        rows.join(bits, F.col(marked) == F.col("bit"), "left_semi")
+        rows.join(bits, F.col(marked) == F.col(bit_of), "left_semi")
         .drop(marked)
-        .join(gone, F.col(id_col) == F.col("gone_id"), "left")
-        .where("gone is null or not gone")
+        .join(gone, F.col(id_col) == F.col(gone_id), "left")
+        .where(F.col(goes).isNull() | ~F.col(goes))
         .withColumn(nth, F.row_number().over(of_id))
         .where((F.col(nth) == 1) | F.col(id_col).isNull())
         .select(*(F.col(f"`{c}`") for c in docs.columns))
@@ -358,68 +479,63 @@ def _leader(shift: float) -> Column:
     return F.first(F.struct("uid", "n")).over(Window.partitionBy("cell", size_class).orderBy(F.xxhash64("uid"), "uid"))
 
 
-def _apart(spokes: DataFrame, first: DataFrame) -> DataFrame:
-    """The ``(uid, lead_uid)`` that are not connected yet."""
+def _neighbourhoods(spokes: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cell, uid, n, component) of the leaders that are not connected with all their entries, and of those entries.
+
+    Entries that may link share a leader; where each is connected with its leaders, nothing is left to find.
+    """
     of = lambda name, to: first.select(F.col("node").alias(name), F.col("component").alias(to))
-    return (
-        spokes.join(of("uid", "component"), "uid", "left")
+    told = (
+        spokes.select("uid", "n", "lead_uid", "lead_n")
+        .join(of("uid", "component"), "uid", "left")
         .join(of("lead_uid", "lead_component"), "lead_uid", "left")
+        .withColumn("component", F.coalesce("component", "uid"))
         .withColumn("lead_component", F.coalesce("lead_component", "lead_uid"))
-        .where(F.coalesce("component", "uid") != F.col("lead_component"))
-        .select("uid", "lead_uid")
     )
-
-
-def _unfinished(met: DataFrame, apart: DataFrame) -> DataFrame:
-    """(cell, uid, n) of the cells whose entries are not all connected; one cell of those with equal entries.
-
-    Entries that may link share a leader; where each is connected with its leaders, nothing is left to find.
-    """
-    cells = None
-    for name in LEADERS:
-        led = met.select("cell", "uid", F.col(f"{name}.uid").alias("lead_uid"))
-        found = led.join(apart, ["uid", "lead_uid"], "left_semi").select("cell")
-        cells = found if cells is None else cells.union(found)
-    rows = met.select("cell", "uid", "n").join(cells.distinct(), "cell", "left_semi")
-    content = rows.groupBy("cell").agg(
-        F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("content"), F.count("*").alias("rows")
+    told = scratch.write(told)
+    open_ = told.where("component <> lead_component").groupBy("lead_uid").agg(
+        F.first("lead_n").alias("n"), F.first("lead_component").alias("component")
+    )
+    open_ = scratch.write(open_)
+    members = told.join(open_.select("lead_uid"), "lead_uid", "left_semi").select(
+        F.col("lead_uid").alias("cell"), "uid", "n", "component"
     )
-    kept = content.groupBy("content", "rows").agg(F.min("cell").alias("cell"))
-    return save(rows.join(kept.select("cell", "rows"), "cell"), "jaccard-apart")
+    leaders = open_.select(F.col("lead_uid").alias("cell"), F.col("lead_uid").alias("uid"), "n", "component")
+    return scratch.write(members.union(leaders).withColumn("n", F.col("n").cast("long")))
 
 
-def _tree_candidates(apart: DataFrame, first: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """Distinct pairs of entries that the tree cannot rule out."""
-    total = apart.count()
-    if total == 0:
-        return save(apart.select(F.col("uid").alias("a"), F.col("uid").alias("b")), "jaccard-candidates")
-    wanted = reps.join(apart.select("uid").distinct(), "uid").select("uid", F.col("rep_id").alias("id"), "k1", "k2")
-    points = rows.select("id", "k1", "k2", "point").join(wanted, ["id", "k1", "k2"]).dropDuplicates(["uid"])
-    tasks = math.ceil(total / TASK_ROWS)
-    chunks = F.ceil(F.col("rows") / CHUNK_ROWS).cast("int")
+def _dealt(near: DataFrame, weight: Column, chunk: int, task: int) -> DataFrame | None:
+    """Rows of neighbourhoods with the tasks that they go to: small ones share a task, large ones are dealt to pairs of chunks."""
+    sizes = near.groupBy("cell").agg(F.sum(weight).alias("weight"))
+    total = sizes.agg(F.sum("weight")).first()[0]
+    if total is None:
+        return None
+    chunks = F.ceil(F.col("weight") / chunk).cast("int")
     mine = F.pmod(F.xxhash64("uid"), chunks).cast("int")
+    place = lambda task, i, j, side: F.struct(task.alias("task"), i.alias("i"), j.alias("j"), side.alias("side"))
     several = F.transform(
         F.sequence(F.lit(0), chunks - 1),
-        lambda j: F.struct(
-            F.col("cell").alias("task"), F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"),
-            F.when(j < mine, 1).otherwise(0).alias("side"),
-        ),
+        lambda j: place(F.col("cell"), F.least(mine, j), F.greatest(mine, j), F.when(j < mine, 1).otherwise(0)),
     )
-    single = F.array(
-        F.struct(
-            F.pmod(F.xxhash64("cell"), F.lit(tasks)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side")
-        )
-    )
-    located = (
-        apart.join(points.select("uid", "point"), "uid")
-        .join(first.withColumnRenamed("node", "uid"), "uid", "left")
-        .withColumn("component", F.coalesce("component", "uid"))
-        .withColumn("at", F.explode(F.when(chunks > 1, several).otherwise(single)))
-    )
-    pairs = (
-        located.select("at.task", "at.i", "at.j", "at.side", "cell", "uid", F.col("n").cast("long").alias("n"), "component", "point")
-        .groupBy("task", "i", "j")
-        .applyInArrow(_tree_task, "a long, b long")
-        .distinct()
-    )
-    return save(pairs, "jaccard-candidates")
+    shared = F.pmod(F.xxhash64("cell"), F.lit(-(-total // task)))
+    single = F.array(place(shared, F.lit(-1), F.lit(-1), F.lit(0)))
+    dealt = near.join(sizes, "cell").withColumn("at", F.explode(F.when(chunks > 1, several).otherwise(single)))
+    return dealt.select("at.*", "cell", "uid", "n", "component")
+
+
+def _linked_inside(
+    near: DataFrame, first: DataFrame, rows: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch
+) -> DataFrame:
+    """Links that connect what is linked inside the neighbourhoods and not connected yet."""
+    wanted = reps.select("uid", F.col("rep_id").alias("id"), "k1", "k2").join(near.select("uid").distinct(), "uid", "left_semi")
+    points = rows.select("id", "k1", "k2", "point").join(wanted, ["id", "k1", "k2"]).dropDuplicates(["uid"])
+    dealt = _dealt(near, F.lit(1), CHUNK_ROWS, TASK_ROWS)
+    told = dealt.join(points.select("uid", "point"), "uid").groupBy("task", "i", "j").applyInArrow(_candidates, "cell long, uid long")
+    told = scratch.write(told.distinct())
+    left = scratch.write(near.join(told, ["cell", "uid"], "left_semi"))
+    dealt = _dealt(left, F.col("n") * 8, CHUNK_BYTES, TASK_BYTES)
+    if dealt is None:
+        return first.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    sets = _sets(wanted.join(left.select("uid").distinct(), "uid", "left_semi"), docs).dropDuplicates(["uid"])
+    both = dealt.join(scratch.write(sets.select("uid", "members")), "uid")
+    return scratch.write(both.groupBy("task", "i", "j").applyInArrow(_forest, "a long, b long"))

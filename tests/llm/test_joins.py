@@ -88,6 +88,7 @@ def test_jaccard_components_match_brute_force(spark, seed):
 def test_tree_join_alone_finds_what_stars_miss(spark, monkeypatch):
     # With no star verification at all, every link must come from the tree.
     monkeypatch.setattr(shingle_rtree, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(shingle_rtree, "CHUNK_BYTES", 2_000)
     rows = corpus(3, 8, 12)
     real = shingle_rtree._verified
     calls = []
@@ -110,8 +111,9 @@ def test_tree_bound_never_loses_a_link():
     point = np.stack([shingle_rtree._fold(shingle_rtree.group_counts(s).astype(int), shingle_rtree.GROUPS) for s in sets])
     size = np.array([len(s) for s in sets])
     n = len(sets)
-    a, b = tree_pairs(size, point, np.arange(n), np.zeros(n, int), np.zeros(n, int))
-    found = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+    blocks = list(tree_pairs(size, point, np.arange(n), np.zeros(n, int), np.zeros(n, int)))
+    found = [(min(x, y), max(x, y)) for a, b in blocks for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(found) == len(set(found))
     for x in range(n):
         for y in range(x + 1, n):
             both = len(np.intersect1d(sets[x], sets[y]))
@@ -119,6 +121,46 @@ def test_tree_bound_never_loses_a_link():
                 assert (x, y) in found
 
 
+def test_tree_follows_cells_sides_and_groups(monkeypatch):
+    """Small nodes, several cells: exactly the pairs whose counts allow a link, each once."""
+    monkeypatch.setattr(shingle_rtree, "LEAF", 3)
+    monkeypatch.setattr(shingle_rtree, "FAN", 2)
+    monkeypatch.setattr(shingle_rtree, "NODE_PAIRS", 5)
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 50, 120):
+        size, point = rng.integers(5, 30, n), rng.integers(0, 3, (n, 8))
+        group, cell, side = rng.integers(0, 40, n), rng.integers(0, 6, n), rng.integers(0, 2, n)
+        for sides in (np.zeros(n, int), side):
+            found = [p for a, b in tree_pairs(size, point, group, cell, sides) for p in zip(a.tolist(), b.tolist(), strict=True)]
+            want = {
+                (x, y) for x in range(n) for y in range(x + 1, n)
+                if cell[x] == cell[y] and group[x] != group[y] and (sides[x] != sides[y] or sides.min() == sides.max())
+                and 75 * max(size[x], size[y]) <= 100 * min(size[x], size[y])
+                and np.minimum(point[x], point[y]).sum() >= shingle_rtree._needed(size[x], size[y])
+            }
+            assert {(min(p), max(p)) for p in found} == want and len(found) == len(want)
+
+
+def test_one_group_of_near_copies_grows_in_proportion(spark, monkeypatch):
+    """Rows that leave the tasks, and sets that are compared, for groups of 100, 200 and 400 edited copies."""
+    made = {}
+    real = shingle_rtree._linked_inside
+
+    def counted(*args):
+        found = real(*args)
+        made["links"] = found.count()
+        return found
+
+    monkeypatch.setattr(shingle_rtree, "_linked_inside", counted)
+    for copies in (100, 200, 400):
+        rows = corpus(9, 1, copies)
+        _, want = brute_components(rows)
+        made["links"] = 0
+        got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+        assert made["links"] <= 3 * copies
+
+
 def test_jaccard_edges(spark):
     long_text = " ".join(f"x{i}" for i in range(30_000))
     rows = [
@@ -129,6 +171,8 @@ def test_jaccard_edges(spark):
     got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard_components(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {(1, 0): 1, (2, 0): 2, (3, 0): 3, (4, 1): 4, (5, 1): 4, (6, 1): 6, (9, 29_996): 8, (8, 29_997): 8, (None, 1): None, (7, 2): 7}
     clashing = spark.createDataFrame(rows, DOCS).withColumn("id", F.lit(1)).withColumn("uid", F.lit("x")).withColumn("n", F.lit(0))
+    for name in ("bit", "gone", "gone_id", "times", "component_id", "members"):
+        clashing = clashing.withColumn(name, F.lit("clash"))
     kept = distinct_documents(clashing)
     assert kept.columns == clashing.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, 3, 4, 6, 7, 8, None]
