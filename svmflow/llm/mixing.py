@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from svmflow.llm.common import n_words, save
+from svmflow.llm.common import fresh, n_words, save
 
 #: Hexadecimal digits of the draw key that form a bucket: rows of one source are ranked in 4096 parts.
 BUCKET_DIGITS = 3
@@ -99,29 +99,49 @@ def plan_mix(
         .agg(F.min(F.struct("bucket", "start", "goal")).alias("edge"))
         .select("source", "edge.*")
     )
-    in_order = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    in_order = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    # Rows of one key have one size; so many of them lie with their middle before the goal.
+    first_fits = F.col("before") + F.col("size") / 2 <= F.col("goal")
+    fitting = F.floor((F.col("goal") - F.col("before")) / F.nullif("size", F.lit(0)) - 0.5) + 1
+    fitting = F.least("copies", F.greatest(F.lit(1), F.coalesce(fitting, "copies")))
     last = (
         sized.select("source", "size", "key")
         .join(edge.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         .where(F.substring("key", 1, BUCKET_DIGITS) == F.col("bucket"))
-        .withColumn("middle", F.col("start") + F.sum("size").over(in_order) - F.col("size") / 2)
+        .groupBy("source", "bucket", "start", "goal", "key")
+        .agg(F.count("*").alias("copies"), F.first("size").alias("size"), F.sum("size").alias("key_size"))
+        .withColumn("before", F.col("start") + F.coalesce(F.sum("key_size").over(in_order), F.lit(0)))
         .groupBy("source", "bucket")
-        .agg(F.max(F.when(F.col("middle") <= F.col("goal"), F.col("key"))).alias("last"))
-        .select(F.col("source").alias("s"), F.coalesce("last", "bucket").alias("last_key"))
+        .agg(F.max(F.when(first_fits, F.struct("key", "copies", fitting.alias("fitting")))).alias("last"))
+        .select(F.col("source").alias("s"), F.coalesce("last.key", "bucket").alias("last_key"), "last.copies", "last.fitting")
     )
     plan = goals.join(last, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "source", "source_size", "target", "whole", "last_key"
+        "source", "source_size", "target", "whole", "last_key", "copies", "fitting"
     )
     return sized, save(plan, "mix-plan")
 
 
+def _drawn(rows: DataFrame, plan: DataFrame, key: str, source: str, order: Sequence[str]) -> tuple[DataFrame, Column]:
+    """(``rows`` with the columns of ``plan``, 1 for those drawn once more).
+
+    Rows up to the last key are drawn. Where rows repeat with that key, only
+    the first few of them are, by number; so only such rows are numbered.
+    """
+    joined = rows.join(plan, F.col(source).eqNullSafe(F.col("plan_source")))
+    upto = F.when(F.col(key) <= F.col("last_key"), 1).otherwise(0)
+    if not plan.where("copies > fitting").head(1):
+        return joined, upto
+    nth = fresh("nth")
+    split = F.coalesce((F.col(key) == F.col("last_key")) & (F.col("copies") > F.col("fitting")), F.lit(False))
+    numbered = joined.where(split).withColumn(nth, F.row_number().over(Window.partitionBy("plan_source").orderBy(*order)))
+    rest = joined.where(~split).withColumn(nth, F.lit(0))
+    return rest.unionByName(numbered), F.when(F.col(nth) > F.col("fitting"), 0).otherwise(upto)
+
+
 def with_taken(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """Each sized document with its source's plan and the words the mix takes of it."""
-    extra = F.when(F.col("key") <= F.col("last_key"), 1).otherwise(0)
-    named = plan.withColumnRenamed("source", "plan_source")
-    return sized.join(named, F.col("source").eqNullSafe(F.col("plan_source"))).withColumn(
-        "repeats", (F.col("whole") + extra).cast("int")
-    ).withColumn("taken", F.col("repeats") * F.col("size"))
+    rows, extra = _drawn(sized, plan.withColumnRenamed("source", "plan_source"), "key", "source", ["key"])
+    return rows.withColumn("repeats", (F.col("whole") + extra).cast("int")).withColumn("taken", F.col("repeats") * F.col("size"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -129,8 +149,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Documents are repeated whole: every one ``whole`` times, and those first in
     a seeded order once more until the source's words are nearest its target.
-    A null text has size 0, a null source is a source of its own, rows that
-    repeat with one id and size are drawn alike, an empty table gives no rows,
+    A null text has size 0, a null source is a source of its own, of rows that
+    repeat with one id and size some may be drawn and others not, an empty table gives no rows,
     and further columns are ignored.
     """
     id_col = options.get("id_col", "doc_id")
@@ -143,12 +163,15 @@ def mixed_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id",
     Empty documents count no words and stay in the mix once.
     """
     _, plan = plan_mix(docs, seed=seed, id_col=id_col, **options)
+    named = {c: fresh(c) for c in ("key", "size", "repeat")}
     size = n_words(F.col("text"))
-    extra = F.when(draw_key(id_col, size, seed) <= F.col("plan.last_key"), 1).otherwise(0)
-    repeats = F.when(size == 0, 1).otherwise(F.col("plan.whole") + extra)
-    return (
-        docs.alias("docs")
-        .join(plan.alias("plan"), F.col("docs.source").eqNullSafe(F.col("plan.source")))
-        .select("docs.*", F.explode(F.array_repeat(F.lit(1), repeats.cast("int"))).alias("_repeat"))
-        .select(*(F.col(f"`{c}`") for c in docs.columns))
-    )
+    rows = docs.withColumn(named["size"], size)
+    rows = rows.withColumn(named["key"], draw_key(id_col, F.col(named["size"]), seed))
+    # The plan's names may be those of columns of the documents.
+    held = {c: fresh(c) for c in docs.columns}
+    rows = rows.withColumnsRenamed(held)
+    key, source = named["key"], held["source"]
+    rows, extra = _drawn(rows, plan.withColumnRenamed("source", "plan_source"), key, source, [held["text"]])
+    repeats = F.when(F.col(named["size"]) == 0, 1).otherwise(F.col("whole") + extra)
+    repeated = rows.withColumn(named["repeat"], F.explode(F.array_repeat(F.lit(1), repeats.cast("int"))))
+    return repeated.select(*(F.col(held[c]).alias(c) for c in docs.columns))

@@ -93,6 +93,24 @@ def test_mix_edges(spark):
     assert mix(docs.limit(0)).count() == 0 and mixed_documents(docs.limit(0)).count() == 0
 
 
+def test_mix_draws_some_of_equal_rows(spark):
+    """Rows of one id and size share a draw key; the goal still falls between them."""
+    texts = {"a": "w x y z", "b": "p q", "c": "one"}
+    rows = [(None, texts[s], "en", s, 1) for s in "abc" for _ in range(200)] + [(i, "u v w", "en", "c", 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("_repeat", F.lit("clash")).withColumn("whole", F.lit(7)).withColumn("fitting", F.lit(None))
+    got = mix(docs).collect()
+    assert len(got) == len(rows)
+    for source_size in {r["source_size"] for r in got}:
+        mine = [r for r in got if r["source_size"] == source_size]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine)
+    mixed = mixed_documents(docs)
+    assert mixed.columns == docs.columns and {r["_repeat"] for r in mixed.select("_repeat").distinct().collect()} == {"clash"}
+    words = F.size(F.split("text", " "))
+    per_source = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.sum(words).alias("n")).collect()}
+    wanted = {s: sum(r["taken"] for r in got if r["source_size"] == n) for s, n in (("a", 800), ("b", 400), ("c", 320))}
+    assert per_source == wanted
+
+
 def test_differencing_beats_greedy_on_the_textbook_case():
     part = difference(np.array([8, 7, 6, 5, 4]), 2)
     sums = np.bincount(part, weights=[8, 7, 6, 5, 4])
