@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,8 +15,16 @@ from svmflow.functions.vectors import last_index
 from svmflow.operators.large_group import train_large_groups
 from svmflow.operators.metrics import accuracy
 from svmflow.operators.scoring import Scorer
-from svmflow.operators.split import bucket_sizes, merge_pairs, stratified_split
-from svmflow.operators.subset_train import DEFAULT_EPS, Cell, feature_dim, train_subsets, trained_schema
+from svmflow.operators.split import count_buckets, merge_pairs, stratified_split
+from svmflow.operators.subset_train import (
+    DEFAULT_EPS,
+    Cell,
+    feature_dim,
+    per_cell,
+    train_subsets,
+    trained_schema,
+    with_cell,
+)
 from svmflow.session import Scratch, materialise, scratch_path
 
 ROWS_PER_SUBSET = 2500
@@ -37,11 +46,6 @@ class CascadeResult:
         return self.models.sparkSession.read.parquet(self.layers_path)
 
 
-def _per_cell(cells: Sequence[Cell], values: Sequence[float | None]) -> Column:
-    pairs = [F.lit(v) for cell, value in zip(cells, values, strict=True) for v in (cell.model_id, value)]
-    return F.create_map(*pairs)[F.col("model_id")].cast("double")
-
-
 def _train_layer(
     groups: DataFrame, cells: Sequence[Cell], path: str, *, n_subsets: int, eps: float, block_rows: int, group_bound: int
 ) -> tuple[DataFrame, int]:
@@ -52,18 +56,16 @@ def _train_layer(
     """
     schema = trained_schema(groups)
     if "model_id" not in groups.columns and group_bound > block_rows:
-        groups = groups.withColumn("model_id", F.explode(F.array(*(F.lit(c.model_id) for c in cells))))
+        groups = per_cell(groups, cells)
     if group_bound > block_rows:
         sizes = groups.groupBy("model_id", "subset_id").count()
         group_bound = sizes.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     if group_bound <= block_rows:
         return materialise(train_subsets(groups, cells, n_subsets=n_subsets, eps=eps), path), group_bound
-    gamma = _per_cell(cells, [c.gamma for c in cells])
+    tuned = with_cell(groups, cells, "c", "gamma")
     if not all(c.gamma for c in cells):
-        tops = feature_dim(groups, ["model_id", "subset_id"])
-        groups = groups.join(tops, ["model_id", "subset_id"])
-        gamma = F.coalesce(F.nullif(gamma, F.lit(0.0)), 1.0 / F.greatest(F.lit(1), "max_index"))
-    tuned = groups.withColumns({"c": _per_cell(cells, [c.c for c in cells]), "gamma": gamma})
+        tuned = tuned.join(feature_dim(groups, ["model_id", "subset_id"]), ["model_id", "subset_id"])
+        tuned = tuned.withColumn("gamma", F.coalesce("gamma", 1.0 / F.greatest(F.lit(1), "max_index")))
     half = max(2, block_rows // 2)
     trained = train_large_groups(
         tuned, schema, path, largest=group_bound, eps=eps, working_rows=half, chunk_rows=half
@@ -100,8 +102,8 @@ def cascade_train(
     with Scratch(spark, "cascade-run") as scratch:
         # One pass gives the class sizes, the largest index and the split's bucket table.
         top = F.max(last_index(F.col("features"))).alias("_top")
-        sizes = scratch.write(bucket_sizes(rows, top, label="label", seed=seed))
-        stats = sizes.agg(
+        buckets = count_buckets(rows, top, write=scratch.write, label="label", seed=seed)
+        stats = buckets.sizes.agg(
             F.sum(F.when(F.col("label") > 0, F.col("_n"))).alias("pos"),
             F.sum(F.when(F.col("label") < 0, F.col("_n"))).alias("neg"),
             F.max("_top").alias("top"),
@@ -113,7 +115,7 @@ def cascade_train(
 
         n = n_subsets or math.ceil((stats["pos"] + stats["neg"]) / rows_per_subset)
         layers_path = scratch_path(spark, "cascade")
-        groups = stratified_split(rows, n, label="label", seed=seed, sizes=sizes)
+        groups = stratified_split(rows, n, label="label", seed=seed, buckets=buckets)
         # The split fixes the size of the first layer's groups; a merge at most doubles it.
         bound = math.ceil(stats["pos"] / n) + math.ceil(stats["neg"] / n)
         if bound > block_rows:
@@ -129,47 +131,40 @@ def cascade_train(
             groups = merge_pairs(trained).drop("rho")
             n, layer, bound = (n + 1) // 2, layer + 1, 2 * bound
 
-        if gamma_scope == "subset":
-            found = feature_dim(_per_model(groups, cells), ["model_id"]).collect()
-            tops = {r["model_id"]: r["max_index"] for r in found}
-            cells = [c if c.gamma else replace(c, gamma=1.0 / max(1, tops[c.model_id])) for c in cells]
-        return CascadeResult(_model_table(trained, cells), _support_table(trained), layers_path)
-
-
-def _per_model(groups: DataFrame, cells: Sequence[Cell]) -> DataFrame:
-    """The final layer's input per model; with a single layer all models share it."""
-    if "model_id" in groups.columns:
-        return groups
-    ids = F.explode(F.array(*(F.lit(c.model_id) for c in cells)))
-    return groups.select(ids.alias("model_id"), "features")
+        last = groups if "model_id" in groups.columns else per_cell(groups.select("features"), cells)
+        models = _model_table(trained, cells)
+        if not all(c.gamma for c in cells):
+            tops = feature_dim(last, ["model_id"])
+            models = models.join(tops, "model_id").withColumn(
+                "gamma", F.coalesce("gamma", 1.0 / F.greatest(F.lit(1), "max_index"))
+            ).drop("max_index")
+            models = materialise(models, scratch_path(spark, "cascade-models"))
+        return CascadeResult(models, _support_table(trained), layers_path)
 
 
 def _model_table(trained: DataFrame, cells: Sequence[Cell]) -> DataFrame:
     no_doubles = F.lit(None).cast("array<double>")
-    return (
-        trained.groupBy("model_id")
-        .agg(
-            F.first("rho").alias("_rho"),
-            F.count("*").alias("total_sv"),
-            F.count_if(F.col("label") > 0).alias("_pos"),
-            F.count_if(F.col("label") < 0).alias("_neg"),
-        )
-        .select(
-            "model_id",
-            F.lit("c_svc").alias("svm_type"),
-            F.lit("rbf").alias("kernel_type"),
-            F.lit(3).alias("degree"),
-            _per_cell(cells, [c.gamma for c in cells]).alias("gamma"),
-            F.lit(0.0).alias("coef0"),
-            _per_cell(cells, [c.c for c in cells]).alias("c"),
-            F.lit(2).alias("nr_class"),
-            "total_sv",
-            F.array("_rho").alias("rho"),
-            F.array(F.lit(1), F.lit(-1)).alias("label"),
-            no_doubles.alias("prob_a"),
-            no_doubles.alias("prob_b"),
-            F.array("_pos", "_neg").alias("n_sv"),
-        )
+    found = trained.groupBy("model_id").agg(
+        F.first("rho").alias("_rho"),
+        F.count("*").alias("total_sv"),
+        F.count_if(F.col("label") > 0).alias("_pos"),
+        F.count_if(F.col("label") < 0).alias("_neg"),
+    )
+    return with_cell(found, cells, "c", "gamma").select(
+        "model_id",
+        F.lit("c_svc").alias("svm_type"),
+        F.lit("rbf").alias("kernel_type"),
+        F.lit(3).alias("degree"),
+        "gamma",
+        F.lit(0.0).alias("coef0"),
+        "c",
+        F.lit(2).alias("nr_class"),
+        "total_sv",
+        F.array("_rho").alias("rho"),
+        F.array(F.lit(1), F.lit(-1)).alias("label"),
+        no_doubles.alias("prob_a"),
+        no_doubles.alias("prob_b"),
+        F.array("_pos", "_neg").alias("n_sv"),
     )
 
 
@@ -204,11 +199,36 @@ def grid_search(train: DataFrame, test: DataFrame, grid: DataFrame, **options) -
     The grid is a parameter list and is read to the driver; the data is split
     once, trained for all points together and scored in a single pass.
     """
-    points = grid.select("c", "g").orderBy("c", "g").collect()
-    cells = [Cell(f"grid-{i}", row["c"], row["g"]) for i, row in enumerate(points)]
+    cells = _grid_cells(grid)
     _, acc = cascade_predict(cascade_train(train, cells, **options), test)
-    return acc.select(
-        _per_cell(cells, [c.c for c in cells]).alias("c"),
-        _per_cell(cells, [c.gamma for c in cells]).alias("g"),
-        F.col("accuracy").alias("acc"),
-    ).orderBy(F.desc("acc"), "c", "g")
+    return _by_point(acc, cells).orderBy(F.desc("acc"), "c", "g")
+
+
+def cross_validate(samples: DataFrame, grid: DataFrame, *, folds: int = 3, seed: int = 0, **options) -> DataFrame:
+    """(c, g, total, correct, acc, best) per grid point, over rows that its models were not trained on.
+
+    Every row is held out once, in the fold that a seeded hash of its id
+    names. A fold is trained for all points together, and its rows are scored in a single
+    pass. ``best`` marks the point of the highest accuracy, of equals the smallest C and gamma.
+    """
+    cells = _grid_cells(grid)
+    fold = F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(folds))
+    parts = []
+    for i in range(folds):
+        _, acc = cascade_predict(cascade_train(samples.where(fold != i), cells, **options), samples.where(fold == i))
+        parts.append(acc.select("model_id", "total", "correct"))
+    sums = reduce(DataFrame.unionByName, parts).groupBy("model_id").agg(F.sum("total").alias("total"), F.sum("correct").alias("correct"))
+    found = _by_point(sums.withColumn("accuracy", F.try_divide("correct", "total") * 100.0), cells, "total", "correct")
+    found = materialise(found, scratch_path(samples.sparkSession, "validated"))
+    best = found.agg(F.max(F.struct("acc", -F.col("c"), -F.col("g"))).alias("best"))
+    marked = F.struct("acc", -F.col("c"), -F.col("g")) == F.col("best")
+    return found.crossJoin(best).withColumn("best", marked)  # one row
+
+
+def _grid_cells(grid: DataFrame) -> list[Cell]:
+    points = grid.select("c", "g").orderBy("c", "g").collect()
+    return [Cell(f"grid-{i}", row["c"], row["g"]) for i, row in enumerate(points)]
+
+
+def _by_point(acc: DataFrame, cells: Sequence[Cell], *more: str) -> DataFrame:
+    return with_cell(acc, cells, "c", "gamma").select("c", F.col("gamma").alias("g"), *more, F.col("accuracy").alias("acc"))

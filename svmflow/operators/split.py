@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from svmflow.functions.parsing import leading_token
+from svmflow.session import materialise, scratch_path
 
 # The exact label texts of the two training classes.
 POSITIVE = "+1"
@@ -45,7 +49,11 @@ def with_quotas(counts: DataFrame, n_subsets: int) -> DataFrame:
     )
 
 
+# Hex digits of the order key that name a bucket, first and with each refinement; rows of a bucket that need no other.
 BUCKET_DIGITS = 4
+MOST_BUCKET_ROWS = 100_000
+# Digits that fit a bigint.
+_MOST_DIGITS = 15
 
 
 def _order_key(row_id: str, seed: int) -> Column:
@@ -53,22 +61,65 @@ def _order_key(row_id: str, seed: int) -> Column:
 
 
 def _bucket(key: Column, digits: int) -> Column:
-    return F.conv(F.substring(key, 1, digits), 16, 10).cast("int")
+    return F.conv(F.substring(key, 1, digits), 16, 10).cast("bigint")
+
+
+@dataclass(frozen=True)
+class Buckets:
+    """Rows per class and hash bucket (``_n``, and further aggregates), the digits that name a bucket, and their step."""
+
+    sizes: DataFrame
+    digits: int
+    step: int
+
+    def starts(self, label: str) -> DataFrame:
+        """Rows of the class before each bucket.
+
+        Summed level by level: no window holds more buckets than the digits of one step allow.
+        """
+        return _starts(self.sizes.select(label, "_bucket", "_n"), label, self.digits, self.step)
+
 
+def _starts(sizes: DataFrame, label: str, digits: int, step: int) -> DataFrame:
+    def before(*keys: str) -> Column:
+        window = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(window), F.lit(0))
 
-def bucket_sizes(
+    if digits <= step:
+        return sizes.select(label, "_bucket", before(label).alias("_start"))
+    lower = sizes.withColumn("_upper", F.shiftright("_bucket", 4 * step))
+    upper = lower.groupBy(label, F.col("_upper").alias("_bucket")).agg(F.sum("_n").alias("_n"))
+    upper = _starts(upper, label, digits - step, step).withColumnsRenamed({"_bucket": "_upper", "_start": "_above"})
+    inside = lower.withColumn("_inside", before(label, "_upper"))
+    return inside.join(upper, [label, "_upper"]).select(label, "_bucket", (F.col("_above") + F.col("_inside")).alias("_start"))
+
+
+def count_buckets(
     df: DataFrame,
     *extra: Column,
+    write: Callable[[DataFrame], DataFrame],
     row_id: str = "row_id",
     label: str = "label_text",
     seed: int = 0,
     bucket_digits: int = BUCKET_DIGITS,
-) -> DataFrame:
-    """Rows per class and hash bucket (``_n``), with any extra aggregates of the same pass."""
+    most_rows: int = MOST_BUCKET_ROWS,
+) -> Buckets:
+    """Buckets of a class by its hashed order, split again until none holds more than ``most_rows`` rows.
+
+    Each refinement is another pass over the rows, which only very large
+    classes need. ``extra`` aggregates are taken in the same pass; ``write`` keeps the table.
+    Rows of one id cannot be told apart, so a bucket of them ends the search at the digits a bigint holds.
+    """
     if not 1 <= bucket_digits <= 5:
-        raise ValueError("bucket_digits must be 1..5: the bucket table has 16**digits rows per class")
-    keyed = df.withColumn("_bucket", _bucket(_order_key(row_id, seed), bucket_digits))
-    return keyed.groupBy(label, "_bucket").agg(F.count("*").alias("_n"), *extra)
+        raise ValueError("bucket_digits must be 1..5: a window over buckets holds up to 16**digits rows")
+    digits = bucket_digits
+    while True:
+        keyed = df.withColumn("_bucket", _bucket(_order_key(row_id, seed), digits))
+        sizes = write(keyed.groupBy(label, "_bucket").agg(F.count("*").alias("_n"), *extra))
+        most = sizes.agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+        if most <= most_rows or digits + bucket_digits > _MOST_DIGITS:
+            return Buckets(sizes, digits, bucket_digits)
+        digits += bucket_digits
 
 
 def stratified_split(
@@ -79,7 +130,8 @@ def stratified_split(
     label: str = "label_text",
     seed: int = 0,
     bucket_digits: int = BUCKET_DIGITS,
-    sizes: DataFrame | None = None,
+    most_rows: int = MOST_BUCKET_ROWS,
+    buckets: Buckets | None = None,
 ) -> DataFrame:
     """Deal the rows of each class evenly over ``n_subsets`` in a seeded random order.
 
@@ -87,27 +139,27 @@ def stratified_split(
     one row. The order is the md5 of seed and row id, so the result does not
     depend on partitioning. A row's exact rank in its class is its rank inside
     a hash bucket plus the sizes of the buckets before it. The window sorts
-    within buckets only: a class never passes through one task, however large
-    its share of the rows. Four hex digits give 65,536 buckets per class.
-    Row ids must be unique and labels not null. ``sizes`` takes a ``bucket_sizes`` table that is
-    already there and saves a pass over the rows.
+    within buckets only, and buckets are as small as ``most_rows`` asks: a class never passes through one task, however large
+    its share of the rows.
+    Row ids must be unique and labels not null. ``buckets`` takes what ``count_buckets`` has found
+    and saves a pass over the rows.
     """
-    if sizes is None:
-        sizes = bucket_sizes(df, row_id=row_id, label=label, seed=seed, bucket_digits=bucket_digits)
-    earlier = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(label, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-
+    if buckets is None:
+        write = lambda sizes: materialise(sizes, scratch_path(df.sparkSession, "bucket-sizes"))
+        buckets = count_buckets(
+            df, write=write, row_id=row_id, label=label, seed=seed, bucket_digits=bucket_digits, most_rows=most_rows
+        )
     # The bucket comes first: an integer that tells most rows apart makes the sort cheap.
     in_bucket = Window.partitionBy("_bucket", label).orderBy("_order", row_id)
     ranked = (
         df.withColumn("_order", _order_key(row_id, seed))
-        .withColumn("_bucket", _bucket(F.col("_order"), bucket_digits))
+        .withColumn("_bucket", _bucket(F.col("_order"), buckets.digits))
         .withColumn("_place", F.row_number().over(in_bucket) - 1)
     )
     n = F.lit(n_subsets) if isinstance(n_subsets, int) else n_subsets
     # Every bucket has a start; the outer join only spares the null checks an inner join would add.
     return (
-        ranked.join(starts, ["_bucket", label], "left")
+        ranked.join(buckets.starts(label), ["_bucket", label], "left")
         .withColumn("subset_id", ((F.col("_start") + F.col("_place")) % n).cast("int"))
         .drop("_order", "_bucket", "_place", "_start")
         .select(*df.columns, "subset_id")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,25 @@ class Cell:
     gamma: float | None = None
 
 
+def cell_table(spark: SparkSession, cells: Sequence[Cell]) -> DataFrame:
+    """The cells as (model_id, cell_no, bundle, c, gamma), for joins: a plan does not grow with the grid."""
+    rows = [(cell.model_id, i, i // CELLS_PER_TASK, float(cell.c), cell.gamma or None) for i, cell in enumerate(cells)]
+    return spark.createDataFrame(rows, f"model_id string, cell_no int, {_BUNDLE} int, c double, gamma double")
+
+
+def with_cell(df: DataFrame, cells: Sequence[Cell], *columns: str) -> DataFrame:
+    """``df`` with columns of the cell that its model_id names."""
+    # A parameter list, sent from the driver in any case.
+    return df.join(F.broadcast(cell_table(df.sparkSession, cells).select("model_id", *columns)), "model_id")
+
+
+def per_cell(df: DataFrame, cells: Sequence[Cell]) -> DataFrame:
+    """Every row once for each cell, with its model_id."""
+    bundles = -(-len(cells) // CELLS_PER_TASK)
+    dealt = df.withColumn(_BUNDLE, F.explode(F.sequence(F.lit(0), F.lit(bundles - 1))))
+    return dealt.join(F.broadcast(cell_table(df.sparkSession, cells).select("model_id", _BUNDLE)), _BUNDLE).drop(_BUNDLE)
+
+
 def feature_dim(samples: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Largest feature index, in all or per group; 0 without any feature."""
     return samples.groupBy(*by).agg(F.coalesce(F.max(last_index(F.col("features"))), F.lit(0)).alias("max_index"))
@@ -151,13 +170,13 @@ def train_subsets(
     cells = list(cells)
     if "model_id" in subsets.columns:
         keys, n_groups = ["model_id", "subset_id"], n_subsets * len(cells)
-        position = F.create_map(*(F.lit(v) for i, cell in enumerate(cells) for v in (cell.model_id, i)))
-        group_no = position[F.col("model_id")] * n_subsets + F.col("subset_id")
+        subsets = with_cell(subsets, cells, "cell_no")
+        group_no = F.col("cell_no") * n_subsets + F.col("subset_id")
     else:
         n_bundles = -(-len(cells) // CELLS_PER_TASK)
         subsets = subsets.withColumn(_BUNDLE, F.explode(F.sequence(F.lit(0), F.lit(n_bundles - 1))))
         keys, n_groups = [_BUNDLE, "subset_id"], n_subsets * n_bundles
         group_no = F.col(_BUNDLE) * n_subsets + F.col("subset_id")
-    started = ["alpha"] if "alpha" in subsets.columns else []
-    placed = place_groups(subsets.select(*keys, "row_id", "label", "features", *started), n_groups, group_no)
+    more = [c for c in ("alpha", "cell_no") if c in subsets.columns]
+    placed = place_groups(subsets.select(*keys, "row_id", "label", "features", *more), n_groups, group_no)
     return placed.groupBy(TASK, *keys).applyInArrow(_trainer(cells, eps, keep_all), trained_schema(subsets))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from svmflow.operators.split import (
     cascade_schedule,
     class_counts,
+    count_buckets,
     label_filter,
     line_class_counts,
     merge_pairs,
@@ -56,6 +57,10 @@ def test_split_does_not_depend_on_partitioning(spark):
             spark.conf.set("spark.sql.shuffle.partitions", 8)
         base = base or found
         assert found == base
+    for most, digits in ((5, 1), (1, 2), (1, 1)):
+        # Buckets split again and again, down to single rows.
+        split = stratified_split(rows(spark, 500), 4, seed=7, bucket_digits=digits, most_rows=most)
+        assert sorted((r["row_id"], r["subset_id"]) for r in split.collect()) == base
     other = stratified_split(rows(spark, 500), 4, seed=8)
     assert sorted((r["row_id"], r["subset_id"]) for r in other.collect()) != base
 
@@ -94,3 +99,21 @@ def test_groups_are_placed_evenly_without_a_second_shuffle(spark):
     assert [r["n"] for r in per_task] == [1] * 8
     grouped = placed.groupBy("_task", "subset_id").applyInArrow(lambda t: t.slice(0, 1), "subset_id int, _task int")
     assert grouped._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_buckets_split_until_small(spark):
+    kept = []
+    write = lambda df: kept.append(df.cache()) or kept[-1]
+    found = count_buckets(rows(spark, 2_000), write=write, bucket_digits=1, most_rows=20)
+    assert found.digits == 2 and len(kept) == 2
+    assert kept[0].agg(F.max("_n")).first()[0] > 20 >= found.sizes.agg(F.max("_n")).first()[0]
+    starts = {(r["label_text"], r["_bucket"]): r["_start"] for r in found.starts("label_text").collect()}
+    before = {}
+    for r in found.sizes.orderBy("label_text", "_bucket").collect():
+        assert starts[r["label_text"], r["_bucket"]] == before.get(r["label_text"], 0)
+        before[r["label_text"]] = before.get(r["label_text"], 0) + r["_n"]
+    copies = rows(spark, 1).crossJoin(spark.range(30).select(F.lit(1).alias("copy")))
+    stuck = count_buckets(copies, write=lambda df: df, bucket_digits=5, most_rows=3)
+    assert stuck.digits == 15, "rows of one id stay together"
+    with pytest.raises(ValueError):
+        count_buckets(rows(spark, 5), write=lambda df: df, bucket_digits=6)

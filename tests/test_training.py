@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from svmflow.functions import solver
 from svmflow.functions.solver import RbfKernel, offset, solve
 from svmflow.functions.sparse import SparseRows
-from svmflow.operators.cascade import cascade_predict, cascade_train, grid_search, support_vector_rows
+from svmflow.operators.cascade import (
+    _model_table,
+    cascade_predict,
+    cascade_train,
+    cross_validate,
+    grid_search,
+    support_vector_rows,
+)
 from svmflow.operators.grid import param_grid
 from svmflow.operators.large_group import train_large_groups
 from svmflow.operators.split import stratified_split
@@ -246,6 +253,29 @@ def test_cascade_predict_and_grid_search(spark, data):
     assert [r["acc"] for r in found] == sorted((r["acc"] for r in found), reverse=True)
 
 
+def test_cross_validation_holds_every_row_out_once(spark, data):
+    df, x, y, ids = data
+    grid = param_grid(spark, 1.0, 1.0, 0.5, 0.5, 1.5, 1.5)
+    found = cross_validate(df, grid, folds=3, n_subsets=2).collect()
+    assert [r["total"] for r in found] == [500] * 4
+    assert all(r["acc"] == pytest.approx(100.0 * r["correct"] / 500) and r["acc"] >= 95 for r in found)
+    (best,) = [r for r in found if r["best"]]
+    assert (best["acc"], -best["c"], -best["g"]) == max((r["acc"], -r["c"], -r["g"]) for r in found)
+
+
+def test_plans_do_not_grow_with_the_grid(spark, data):
+    df, *_ = data
+    subsets = stratified_split(df, 2, label="label")
+
+    def size(n):
+        cells = [Cell(f"cell-{i}", 1.0 + i, 0.5) for i in range(n)]
+        trained = train_subsets(subsets, cells, n_subsets=2)
+        again = train_subsets(trained.drop("rho").where("alpha > 0"), cells, n_subsets=2)
+        return len(_model_table(again, cells)._jdf.queryExecution().analyzed().toString())
+
+    assert size(1000) < 1.05 * size(10)
+
+
 def test_precomputed_check(spark):
     rows = [(1, [(0, 1.0), (1, 5.0)]), (2, [(1, 1.0)]), (3, [(0, 0.0)]), (4, [(0, 9.0)]), (5, []), (6, [(0, 2.9)])]
     df = spark.createDataFrame(rows, "row_id int, features array<struct<idx:int,val:double>>")
@@ -254,6 +284,41 @@ def test_precomputed_check(spark):
     assert bad == {2: first, 3: serial, 4: serial, 5: first}
 
 
+@pytest.fixture(scope="module")
+def wide(spark):
+    df = fx.wide_samples(spark, SF).cache()
+    rows = df.orderBy("row_id").collect()
+    yield df, to_matrix(rows, 64), np.array([r["label"] for r in rows]), [r["row_id"] for r in rows]
+    df.unpersist()
+
+
+@pytest.mark.parametrize("block_rows", [4000, 120])
+def test_wide_cascade_against_one_solve(spark, wide, block_rows):
+    """64 dimensions: decision values of the cascade against those of a solve of all rows, and the optimum of its last group."""
+    df, x, y, ids = wide
+    kernel = rbf(x, x, 0.5)
+    alpha, gradient = solve(kernel, y, 1.0, EPS)
+    alone = kernel @ (y * alpha) - offset(alpha, y, gradient, 1.0)
+    result = cascade_train(df, [CELL], n_subsets=2, block_rows=block_rows)
+    predictions, acc = cascade_predict(result, df)
+    found = np.array([r["decision"][0] for r in predictions.orderBy("row_id").collect()])
+    assert np.corrcoef(found, alone)[0, 1] > 0.99
+    assert ((found > 0) == (alone > 0)).mean() >= 0.97
+    assert acc.first()["accuracy"] == pytest.approx(100.0 * ((found > 0) == (y > 0)).mean())
+    # What survives each layer meets the optimality conditions of its group, and what the last layer dropped had no weight.
+    place = {r: i for i, r in enumerate(ids)}
+    layers = {n: {place[r["row_id"]]: r["alpha"] for r in result.layers().where(F.col("layer") == n).collect()} for n in (1, 2)}
+    group = sorted(layers[1])
+    final = np.array([layers[2].get(i, 0.0) for i in group])
+    assert set(layers[2]) <= set(group)
+    assert kkt_gap(kernel[np.ix_(group, group)], y[group], final, 1.0) < EPS + 1e-6
+    objective = lambda a: 0.5 * (a * y) @ kernel @ (a * y) - a.sum()
+    whole = np.zeros(len(ids))
+    whole[group] = final
+    assert objective(whole) >= objective(alpha) - 1e-6
+    assert objective(whole) == pytest.approx(objective(alpha), rel=0.02)
+
+
 def test_fixture_labels(spark):
     assert fx.training_samples(spark, SF).where("label_text not in ('+1', '-1')").isEmpty()
 
