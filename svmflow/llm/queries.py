@@ -157,7 +157,7 @@ links AS (
                                    'href="[a-z]+://([^"#]*)', 1), '/+$', '') AS b
   FROM judged WHERE html LIKE '%rel="canonical"%'),
 reach(node, other) AS (
-  SELECT node, node FROM judged WHERE own = 'block'
+  SELECT node, node FROM judged WHERE own = 'block' AND node IN (SELECT a FROM links UNION ALL SELECT b FROM links)
   UNION
   SELECT r.node, CASE WHEN l.a = r.other THEN l.b ELSE l.a END FROM reach r JOIN links l ON l.a = r.other OR l.b = r.other)
 SELECT page_id, host, path, rule,

@@ -163,10 +163,16 @@ def _host_rules(hosts: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame
     )
 
 
+#: Hosts with rules that are sent to all tasks at most, so that pages stay where they are; beyond, pages meet them in a shuffle.
+BROADCAST_HOSTS = 20_000
+
+
 def _judge(urls: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """``urls`` with host, path, rule and rule_verdict (null where no rule fits)."""
     split = urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    of_host = _host_rules(split.select("host").distinct(), rules)
+    of_host = save(_host_rules(split.select("host").distinct(), rules), "url-hosts")
+    if of_host.count() <= BROADCAST_HOSTS:
+        of_host = F.broadcast(of_host)
     fitting = F.filter("candidates", lambda r: F.col("path").startswith(r["rule_path"]))
     return (
         split.join(of_host, "host", "left")
@@ -183,9 +189,10 @@ def url_verdicts(
     ``rules`` are (verdict, "host/path") pairs; a rule fits its host and all
     subdomains if the path starts with the rule's, and the longest wins, an
     allow before a block of the same text. ``links`` (from_url, to_url) are redirect and
-    canonical-link edges; by default those that the pages state. Without a
-    rule of its own a URL is blocked if a block rule fits any URL in its
-    component of resources, and allowed otherwise; an explicit allow always
+    canonical-link edges; by default those that the pages state. An edge names resources: scheme,
+    fragment and closing slash of its URLs do not count. Without a
+    rule of its own a URL that edges name is blocked if a block rule fits any URL in its
+    component, and allowed otherwise, as is one that no edge names; an explicit allow always
     stands. A null url or one without ``://`` has empty host and path, fits no
     rule, has no aliases and is allowed. Repeated rows are all judged.
     """
@@ -205,8 +212,8 @@ def url_verdicts(
         .union(targets.where(F.col("rule_verdict") == BLOCK).select("url"))
         .select(resource_key(F.col("url")).alias("node"))
         .distinct()
-        .join(of, "node", "left")
-        .select(F.coalesce("component", "node").alias("group"))
+        .join(of, "node")
+        .select(F.col("component").alias("group"))
         .distinct()
         .withColumn("alias_block", F.lit(True))
     )
@@ -214,8 +221,8 @@ def url_verdicts(
         judged.where("rule_verdict is null")
         .select(resource_key(F.col("url")).alias("node"))
         .distinct()
-        .join(of, "node", "left")
-        .select("node", F.coalesce("component", "node").alias("group"))
+        .join(of, "node")
+        .select("node", F.col("component").alias("group"))
         .join(blocked, "group")
         .select("node", "alias_block")
     )

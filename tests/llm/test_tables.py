@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from svmflow.llm import sharding
+from svmflow.llm import sharding, url_redirects
 from svmflow.llm.mixing import mix, mixed_documents
 from svmflow.llm.queries import ORACLES, QUERIES, URL_RULES
 from svmflow.llm.sharding import difference, shard
@@ -48,6 +48,55 @@ def test_blocks_reach_aliases_and_allow_stands(spark):
     assert url_verdicts(spark.createDataFrame([], PAGES), URL_RULES).count() == 0
 
 
+def test_only_stated_edges_make_aliases(spark):
+    rows = [
+        (1, "http://b.com/de/", None, "x"), (2, "https://b.com/de", None, "x"), (3, "http://b.com/de/#a", None, "x"),
+        (4, "http://m.net/", canonical("http://c.com/de/x/"), "x"), (5, "https://c.com/de/x", None, "x"), (6, "http://M.net", None, "x"),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in url_verdicts(spark.createDataFrame(rows, PAGES), URL_RULES).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "block"}
+
+
+def brute_verdicts(urls, rules, links):
+    """Longest fitting rule, else a block anywhere in the URL's component of the stated links, by breadth first search."""
+
+    def own(url):
+        host, slash, path = url.split("://")[1].partition("/")
+        fitting = [(len(r), v == "allow", v, r) for v, r in rules for rh, rp in [r.split("/", 1)]
+                   if (host == rh or host.endswith("." + rh)) and (slash + path).startswith("/" + rp)]
+        return max(fitting)[2:] if fitting else (None, None)
+
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = {}
+    for url in urls:
+        seen, todo = {url}, [url]
+        while todo:
+            for other in near.get(todo.pop(), set()) - seen:
+                seen.add(other)
+                todo.append(other)
+        verdict, rule = own(url)
+        out[url] = (rule, verdict or ("block" if any(own(u)[0] == "block" for u in seen) else "allow"))
+    return out
+
+
+@pytest.mark.parametrize("hosts", [20_000, 0])
+def test_verdicts_match_brute_force_on_random_links(spark, monkeypatch, hosts):
+    monkeypatch.setattr(url_redirects, "BROADCAST_HOSTS", hosts)
+    draw = np.random.default_rng(6)
+    names = ["a.org", "b.a.org", "c.net", "d.c.net", "e.com", "f.e.com", "g.info"]
+    urls = sorted({f"http://{draw.choice(names)}/{draw.choice(list('pqrst'))}/{draw.integers(6)}" for _ in range(120)})
+    rules = [("block", "a.org/p/"), ("allow", "b.a.org/p/"), ("block", "c.net/q/1"), ("block", "e.com/r/"), ("allow", "e.com/"), ("block", "c.net/q/1"), ("allow", "c.net/q/1")]
+    links = [(str(draw.choice(urls)), str(draw.choice(urls))) for _ in range(70)]
+    pages = spark.createDataFrame([(i, u, None, "x") for i, u in enumerate(urls)], PAGES)
+    edges = spark.createDataFrame([(a, b.replace("http:", "https:") + "#x") for a, b in links], "from_url string, to_url string")
+    got = {urls[r["page_id"]]: (r["rule"], r["verdict"]) for r in url_verdicts(pages, rules, edges).collect()}
+    assert got == brute_verdicts(urls, rules, links)
+    assert {v for _, v in got.values()} == {"allow", "block"} and any(r is None and v == "block" for r, v in got.values())
+
+
 def test_links_as_pages_write_them(spark):
     url = "http://h.net/a/b?k"
     html = (
