@@ -467,3 +467,20 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = rows.where("row_id % 4 <> 3"), rows.where("row_id % 4 = 3")
     found = cascade.grid_search(train, test, points, rows_per_subset=ROWS_PER_SUBSET)
     return found.select("c", "g", (F.col("acc") >= 90.0).alias("accurate"))
+
+
+@query("""
+    SELECT c, g, (SELECT count(*) FROM embeddings) AS total, true AS accurate, true AS counted,
+           (SELECT count(*) FROM embeddings) > 0 AS one_best
+    FROM (VALUES (0.5::DOUBLE), (1.5::DOUBLE)) a(c), (VALUES (0.25::DOUBLE), (0.75::DOUBLE)) b(g)
+""")
+def grid_cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row held out once: accuracy per (C, gamma) over all of them, 90 % at least, and the best point."""
+    points = grids.param_grid(spark, c_step=1.0, g_step=0.5, c_init=0.5, g_init=0.25, c_max=1.5, g_max=0.75)
+    found = cascade.cross_validate(fx.training_samples(spark, sf_dir), points, rows_per_subset=ROWS_PER_SUBSET)
+    best = found.agg(F.count_if("best").alias("n_best"), F.max_by("best", F.struct("acc", -F.col("c"), -F.col("g"))).alias("on_top"))
+    return found.crossJoin(best).select(
+        "c", "g", "total", (F.col("acc") >= 90.0).alias("accurate"),
+        (F.abs(F.col("acc") - 100.0 * F.col("correct") / F.col("total")) < 1e-9).alias("counted"),
+        ((F.col("n_best") == 1) & F.col("on_top")).alias("one_best"),
+    )
