@@ -116,28 +116,26 @@ def _fold(counts: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _index_rows(levels):
+    """Set key, size and prefix of every text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of = levels.value
         for batch in slices(batches):
-            one, two, point, prefix, lengths = [], [], [], [], []
+            keys, sizes, prefix = [], [], []
             for hashes in shingle_sets(batch["text"], WIDTH):
-                k1, k2 = _set_key(hashes)
-                one.append(k1)
-                two.append(k2)
-                point.append(_point_bytes(group_counts(hashes)))
+                keys.append(_set_key(hashes))
+                sizes.append(len(hashes))
                 level = level_of[hashes & _MEMBER]
                 first = hashes if not level.any() else hashes[np.argsort(level, kind="stable")]
-                first = first[: prefix_length(len(hashes))] if len(hashes) else first
-                prefix.append(first.view(np.int64))
-                lengths.append(len(first))
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                prefix.append((first[: prefix_length(len(hashes))] if len(hashes) else first).view(np.int64))
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             values = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             yield pa.record_batch(
                 {
                     "id": batch["id"].cast(pa.int64()),
-                    "k1": pa.array(one, pa.int64()),
-                    "k2": pa.array(two, pa.int64()),
-                    "point": pa.array(point, pa.binary()),
+                    "k1": pa.array([k[0] for k in keys], pa.int64()),
+                    "k2": pa.array([k[1] for k in keys], pa.int64()),
+                    "n": pa.array(sizes, pa.int32()),
                     "prefix": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                 }
             )
@@ -145,6 +143,23 @@ def _index_rows(levels):
     return run
 
 
+def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Set key and group counts of every text."""
+    for batch in slices(batches):
+        keys, point = [], []
+        for hashes in shingle_sets(batch["text"], WIDTH):
+            keys.append(_set_key(hashes))
+            point.append(_point_bytes(group_counts(hashes)))
+        yield pa.record_batch(
+            {
+                "id": batch["id"].cast(pa.int64()),
+                "k1": pa.array([k[0] for k in keys], pa.int64()),
+                "k2": pa.array([k[1] for k in keys], pa.int64()),
+                "point": pa.array(point, pa.binary()),
+            }
+        )
+
+
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         sets = list(shingle_sets(batch["text"], WIDTH))
@@ -290,7 +305,12 @@ def _forest(key: tuple, table: pa.Table) -> pa.Table:
     _, group = np.unique(column("component"), return_inverse=True)
     root = np.arange(group.max(initial=-1) + 1)
     found_a, found_b = [], []
-    for a, b in tree_pairs(size, point, group, column("cell"), column("side")):
+    # A row comes once with all of its cells that are in the task.
+    cells = table["cells"].combine_chunks()
+    at = np.repeat(np.arange(len(size)), cells.value_lengths().to_numpy(zero_copy_only=False))
+    cell = cells.flatten().to_numpy(zero_copy_only=False)
+    for a, b in tree_pairs(size[at], point[at], group[at], cell, column("side")[at]):
+        a, b = at[a], at[b]
         open_ = root[group[a]] != root[group[b]]
         a, b = a[open_], b[open_]
         by = np.argsort(a, kind="stable")
@@ -304,8 +324,8 @@ def _forest(key: tuple, table: pa.Table) -> pa.Table:
             marked[own] = True
             lengths = size[others]
             starts = np.cumsum(lengths) - lengths
-            at = np.repeat(ends[others] - lengths - starts, lengths) + np.arange(lengths.sum())
-            both = np.add.reduceat(marked[local[at]].astype(np.int64), starts)
+            theirs = np.repeat(ends[others] - lengths - starts, lengths) + np.arange(lengths.sum())
+            both = np.add.reduceat(marked[local[theirs]].astype(np.int64), starts)
             marked[own] = False
             for other in others[100 * both >= LEAST * (size[one] + lengths - both)].tolist():
                 low, high = sorted((int(root[group[one]]), int(root[group[other]])))
@@ -322,20 +342,39 @@ def _finer_bound(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(_fold(a, groups), _fold(b, groups)).sum())
 
 
-def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(uid, members) of the wanted (uid, id, k1, k2), made again from the texts of the rows that hold them."""
+def _holding(docs: DataFrame, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
+    """(id, text) of the rows of ``docs`` that may have a wanted id, told by a table of hashed ids of fixed size."""
     marked = fresh("bit")
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
     # At most ID_BITS values, whatever the data.
     bits = wanted.select(bit("id").alias(marked)).distinct()
-    sets = (
-        docs.join(F.broadcast(bits), bit("id") == F.col(marked), "left_semi")
-        .select("id", "text")
-        .mapInArrow(_whole_sets, "id long, k1 long, k2 long, members array<long>")
-    )
+    return docs.join(F.broadcast(bits), bit("id") == F.col(marked), how).select("id", "text")
+
+
+def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(uid, members) of the wanted (uid, id, k1, k2), made again from the texts of the rows that hold them."""
+    sets = _holding(docs, wanted).mapInArrow(_whole_sets, "id long, k1 long, k2 long, members array<long>")
     return sets.join(wanted, ["id", "k1", "k2"])
 
 
+def _entries(docs: DataFrame, summary: DataFrame, reps: DataFrame, levels, scratch: Scratch) -> DataFrame:
+    """(uid, n, prefix) of every set, from the row that stands for it.
+
+    A row whose id is in no other row and whose set no smaller id holds stands for its set under its own id,
+    and need not be looked up; the others are few, unless most texts are copies.
+    """
+    of_set = summary.where("n > 0 and id is not null").join(reps.select("k1", "k2", "rep_id"), ["k1", "k2"])
+    odd = of_set.groupBy("id").agg(F.max(F.col("id") != F.col("rep_id")).alias("other"), F.count("*").alias("rows"))
+    odd = scratch.write(odd.where("other or rows > 1").select("id"))
+    schema = "id long, k1 long, k2 long, n int, prefix array<long>"
+    index = lambda rows: rows.mapInArrow(_index_rows(levels), schema).where("n > 0")
+    held = docs.where("id is not null and text is not null")
+    sure = index(_holding(held, odd, "left_anti")).select(F.col("id").alias("uid"), "n", "prefix")
+    named = reps.select("uid", F.col("rep_id").alias("id"), "k1", "k2")
+    looked_up = index(_holding(held, odd)).join(named, ["id", "k1", "k2"]).select("uid", "n", "prefix")
+    return sure.union(looked_up)
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """The distinct ``(a, b)`` whose whole sets are similar enough; every ``a`` is in one pair.
 
@@ -378,24 +417,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with Scratch(spark, "jaccard") as scratch:
         told = scratch.write(source.mapInArrow(_summarise, "is_bin boolean, id long, n long, k1 long, k2 long"))
         summary = told.where("not is_bin").drop("is_bin")
-        reps = scratch.write(
-            summary.where("n > 0 and id is not null")
-            .groupBy("k1", "k2")
-            .agg(F.min("id").alias("rep_id"), F.first("n").alias("n"))
-            .withColumn("uid", F.monotonically_increasing_id())
-        )
+        reps = summary.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep_id"), F.first("n").alias("n"))
+        # An id names its set, unless rows of one id hold several sets of which it is the least id.
+        several = reps.groupBy("rep_id").agg(F.count("*").alias("sets")).where("sets > 1")
+        uid = F.when(F.col("sets").isNull(), F.col("rep_id")).otherwise(F.xxhash64("k1", "k2"))
+        reps = scratch.write(reps.join(several, "rep_id", "left").withColumn("uid", uid).drop("sets"))
         # At most BINS rows: the common bins with the power of two of their count.
         bins = told.where("is_bin").groupBy("k1").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level")).toPandas()
         level_of = np.zeros(BINS, np.uint8)
         level_of[bins["k1"].to_numpy()] = bins["level"].to_numpy()
         levels = spark.sparkContext.broadcast(level_of)
-        rows = source.where("id is not null and text is not null").mapInArrow(
-            _index_rows(levels), "id long, k1 long, k2 long, point binary, prefix array<long>"
-        )
-        entries = rows.join(reps.withColumnRenamed("rep_id", "id"), ["id", "k1", "k2"])
+        entries = _entries(source, summary, reps, levels, scratch)
         in_cell = Window.partitionBy("cell").orderBy("n", "uid")
         met = (
-            entries.select(F.explode("prefix").alias("cell"), "uid", F.col("n").cast("int").alias("n"))
+            entries.select(F.explode("prefix").alias("cell"), "uid", "n")
             .withColumn("previous", F.lag("uid").over(in_cell))
             .withColumn("next", F.lead("uid").over(in_cell))
             .where("previous is not null or next is not null")
@@ -418,7 +453,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         first = components(links, scratch)
         near = _neighbourhoods(spokes, first, scratch)
         if near.head(1):
-            links = links.union(_linked_inside(near, first, rows, reps, source, scratch))
+            links = links.union(_linked_inside(near, first, reps, source, scratch))
         final = components(links, scratch)
         named = reps.join(final.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
             "component", F.coalesce("component", "uid")
@@ -504,10 +539,14 @@ def _neighbourhoods(spokes: DataFrame, first: DataFrame, scratch: Scratch) -> Da
     return scratch.write(members.union(leaders).withColumn("n", F.col("n").cast("long")))
 
 
-def _dealt(near: DataFrame, weight: Column, chunk: int, task: int) -> DataFrame | None:
-    """Rows of neighbourhoods with the tasks that they go to: small ones share a task, large ones are dealt to pairs of chunks."""
-    sizes = near.groupBy("cell").agg(F.sum(weight).alias("weight"))
-    total = sizes.agg(F.sum("weight")).first()[0]
+def _dealt(near: DataFrame, leads: DataFrame, weight: Column, chunk: int, task: int) -> DataFrame | None:
+    """Rows of neighbourhoods with the tasks that they go to: large ones are dealt to pairs of chunks, small ones share a task.
+
+    Neighbourhoods whose leaders are connected hold much the same entries, so they share a task as far as it has room.
+    """
+    sizes = near.groupBy("cell").agg(F.sum(weight).alias("weight")).join(leads, "cell")
+    per_lead = sizes.groupBy("lead").agg(F.sum("weight").alias("lead_weight"))
+    total = per_lead.agg(F.sum("lead_weight")).first()[0]
     if total is None:
         return None
     chunks = F.ceil(F.col("weight") / chunk).cast("int")
@@ -517,25 +556,28 @@ def _dealt(near: DataFrame, weight: Column, chunk: int, task: int) -> DataFrame
         F.sequence(F.lit(0), chunks - 1),
         lambda j: place(F.col("cell"), F.least(mine, j), F.greatest(mine, j), F.when(j < mine, 1).otherwise(0)),
     )
-    shared = F.pmod(F.xxhash64("cell"), F.lit(-(-total // task)))
+    part = F.pmod(F.xxhash64("cell"), F.ceil(F.col("lead_weight") / task))
+    shared = F.pmod(F.xxhash64("lead", part), F.lit(-(-total // task)))
     single = F.array(place(shared, F.lit(-1), F.lit(-1), F.lit(0)))
-    dealt = near.join(sizes, "cell").withColumn("at", F.explode(F.when(chunks > 1, several).otherwise(single)))
+    dealt = near.join(sizes.join(per_lead, "lead"), "cell").withColumn("at", F.explode(F.when(chunks > 1, several).otherwise(single)))
     return dealt.select("at.*", "cell", "uid", "n", "component")
 
 
-def _linked_inside(
-    near: DataFrame, first: DataFrame, rows: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch
-) -> DataFrame:
+def _linked_inside(near: DataFrame, first: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Links that connect what is linked inside the neighbourhoods and not connected yet."""
     wanted = reps.select("uid", F.col("rep_id").alias("id"), "k1", "k2").join(near.select("uid").distinct(), "uid", "left_semi")
-    points = rows.select("id", "k1", "k2", "point").join(wanted, ["id", "k1", "k2"]).dropDuplicates(["uid"])
-    dealt = _dealt(near, F.lit(1), CHUNK_ROWS, TASK_ROWS)
+    points = _holding(docs, wanted).mapInArrow(_points, "id long, k1 long, k2 long, point binary")
+    points = points.join(wanted, ["id", "k1", "k2"]).dropDuplicates(["uid"])
+    # A leader is among its own entries.
+    leads = near.where("uid = cell").select("cell", F.col("component").alias("lead"))
+    dealt = _dealt(near, leads, F.lit(1), CHUNK_ROWS, TASK_ROWS)
     told = dealt.join(points.select("uid", "point"), "uid").groupBy("task", "i", "j").applyInArrow(_candidates, "cell long, uid long")
     told = scratch.write(told.distinct())
     left = scratch.write(near.join(told, ["cell", "uid"], "left_semi"))
-    dealt = _dealt(left, F.col("n") * 8, CHUNK_BYTES, TASK_BYTES)
+    dealt = _dealt(left, leads, F.col("n") * 8, CHUNK_BYTES, TASK_BYTES)
     if dealt is None:
         return first.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    once = dealt.groupBy("task", "i", "j", "side", "uid").agg(F.collect_list("cell").alias("cells"), F.first("component").alias("component"))
     sets = _sets(wanted.join(left.select("uid").distinct(), "uid", "left_semi"), docs).dropDuplicates(["uid"])
-    both = dealt.join(scratch.write(sets.select("uid", "members")), "uid")
+    both = once.join(scratch.write(sets.select("uid", "members")), "uid")
     return scratch.write(both.groupBy("task", "i", "j").applyInArrow(_forest, "a long, b long"))

@@ -161,6 +161,18 @@ def test_one_group_of_near_copies_grows_in_proportion(spark, monkeypatch):
         assert made["links"] <= 3 * copies
 
 
+def test_ids_that_hold_several_sets(spark):
+    """Rows of one id with different texts are entries of their own, also where the id is the least of several sets."""
+    rows = corpus(5, 6, 4) + [(2, "other words of row two that nobody else has written down"), (2, "yet another text of that very id, unlike the rest")]
+    rows += [(900, "other words of row two that nobody else has written down"), (901, "yet another text of that very id, unlike the rest of it")]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    by_set = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in got}
+    assert by_set[900, len(shingles(rows[-2][1]))] == 2 and by_set[901, len(shingles(rows[-1][1]))] == 2
+    _, want = brute_components(corpus(5, 6, 4))
+    assert all(by_set[i, len(shingles(t))] == want[i] for i, t in corpus(5, 6, 4))
+
+
 def test_jaccard_edges(spark):
     long_text = " ".join(f"x{i}" for i in range(30_000))
     rows = [
