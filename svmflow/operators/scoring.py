@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -285,7 +285,7 @@ class Scorer:
                     able = m.svm_type in REGRESSORS and len(m.prob_a) == 1
                 if not able:
                     raise ValueError(f"model {m.model_id} does not support probability estimates")
-        spark = models.sparkSession
+        self._spark = spark = models.sparkSession
         self._paths: list[str] = []
         wanted = support_vectors.where(F.col("model_id").isin([m.model_id for m in self.models])).select(
             "model_id", "sv_id", "label", "coef", "features"
@@ -322,7 +322,7 @@ class Scorer:
         if self._shared is not None:
             self._shared.destroy()
         while self._paths:
-            discard(SparkSession.getActiveSession(), self._paths.pop())
+            discard(self._spark, self._paths.pop())
 
     def score(self, samples: DataFrame) -> DataFrame:
         """Add ``model_id``, ``decision``, ``prediction``, ``probability`` in place of ``features``.

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from helpers import SF, rbf, to_matrix, training_rows
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from svmflow.functions import solver
 from svmflow.functions.solver import RbfKernel, offset, solve
 from svmflow.functions.sparse import SparseRows
+from svmflow.operators import cascade
 from svmflow.operators.cascade import (
     _model_table,
     cascade_predict,
@@ -28,6 +31,7 @@ from svmflow.operators.subset_train import (
     trained_schema,
 )
 from svmflow.plans import fixtures as fx
+from svmflow.session import shared_dir
 
 CELL = Cell("m", 1.0, 0.5)
 EPS = 1e-3
@@ -221,6 +225,20 @@ def test_subsets_of_one_class_keep_their_rows(spark):
         cascade_train(df.where("label < 0"), [CELL])
 
 
+def test_only_results_stay(spark, data, monkeypatch):
+    """Rounds, splits and counts are removed at the end of a run, and when it fails."""
+    df, *_ = data
+    root = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(root.iterdir())
+    result = cascade_train(df, [CELL], n_subsets=2, block_rows=200)
+    (left,) = set(root.iterdir()) - before
+    assert str(left) == result.layers_path.removeprefix("file:")
+    monkeypatch.setattr(cascade, "merge_pairs", lambda df: df.no_such_column)
+    with pytest.raises(Exception, match="no_such_column"):
+        cascade_train(df, [CELL], n_subsets=2, block_rows=200)
+    assert all(p.name.startswith("cascade-") and "run" not in p.name for p in set(root.iterdir()) - before)
+
+
 def test_gamma_scopes(spark, data):
     df, *_ = data
     assert feature_dim(df).first()["max_index"] == 2
