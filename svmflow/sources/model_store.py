@@ -102,18 +102,8 @@ def support_vector_text(label: str = "label") -> Column:
 
 def export_support_vectors(support_vectors: DataFrame, models: DataFrame, *, run_ts: str | None = None) -> DataFrame:
     """Support vectors as training lines, with the C and gamma they were found with and the run stamp."""
-    # One small row per model, attached as a literal map: a join would put a whole model into one task.
-    scalars = models.select("model_id", "c", "gamma").collect()
-
-    def of_model(field: str) -> Column:
-        pairs = [F.lit(v) for row in scalars for v in (row["model_id"], row[field])]
-        return F.create_map(*pairs)[F.col("model_id")].cast("double")
-
-    return support_vectors.where(F.col("model_id").isin([row["model_id"] for row in scalars])).select(
-        "model_id",
-        "sv_id",
-        support_vector_text().alias("line"),
-        of_model("c").alias("c"),
-        of_model("gamma").alias("g"),
-        F.lit(run_ts or run_stamp()).alias("run_ts"),
+    # One small row per model, sent to where the vectors are: a shuffle would put a whole model into one task.
+    scalars = F.broadcast(models.select("model_id", F.col("c").cast("double"), F.col("gamma").cast("double").alias("g")))
+    return support_vectors.join(scalars, "model_id").select(
+        "model_id", "sv_id", support_vector_text().alias("line"), "c", "g", F.lit(run_ts or run_stamp()).alias("run_ts")
     )
