@@ -198,7 +198,7 @@ def test_large_group_equals_one_solve(spark, data, noise, tmp_path):
 def test_groups_over_the_limit_are_still_solved(spark, data, single):
     """A limit below the merged sizes sends them through the distributed solver."""
     df, x, y, ids = data
-    result = cascade_train(df, [CELL, Cell("n", 1.0, 1.0)], n_subsets=2, block_rows=100)
+    result = cascade_train(df, [CELL, Cell("n", 1.0, 1.0)], n_subsets=2, block_rows=200)
     place = {r: i for i, r in enumerate(ids)}
     vectors = result.support_vectors.where("model_id = 'm'").collect()
     at = [place[v["row_id"]] for v in vectors]
@@ -219,7 +219,7 @@ def test_subsets_of_one_class_keep_their_rows(spark):
     lone = {r["subset_id"]: r["n"] for r in first.collect() if r["top"] < 0}
     assert set(lone.values()) <= {9, 10} and len(lone) == 2
     assert result.models.first()["n_sv"][0] == 2
-    limited = cascade_train(df, [Cell("m", 1.0, 0.1)], n_subsets=4, block_rows=12)
+    limited = cascade_train(df, [Cell("m", 1.0, 0.1)], n_subsets=4, block_rows=18)
     assert limited.models.first()["n_sv"][0] == 2
     with pytest.raises(ValueError, match="both classes"):
         cascade_train(df.where("label < 0"), [CELL])
@@ -310,7 +310,7 @@ def wide(spark):
     df.unpersist()
 
 
-@pytest.mark.parametrize("block_rows", [4000, 120])
+@pytest.mark.parametrize("block_rows", [4000, 240])
 def test_wide_cascade_against_one_solve(spark, wide, block_rows):
     """64 dimensions: decision values of the cascade against those of a solve of all rows, and the optimum of its last group."""
     df, x, y, ids = wide
