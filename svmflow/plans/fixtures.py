@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from svmflow.functions.parsing import compute_once
-from svmflow.session import scratch_path
+from svmflow.session import discard
 from svmflow.sources.model_store import model_row
 from svmflow.sources.samples import feature_text, samples_from_arrays
 
@@ -70,19 +70,39 @@ def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), line.alias("value"))
 
 
-def rewrite_files(spark: SparkSession, folder: str, lines: DataFrame | None) -> None:
-    """Replace the text files of a folder, under their names: by the given lines in the first, or by nothing."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files = [f.getPath() for f in fs.listStatus(path(folder)) if f.getPath().getName().startswith("part-")]
+def _folder(spark: SparkSession, folder: str) -> tuple:
+    """A folder's file system, its path, and the paths in it; none if it is not there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, path, [f.getPath() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def make_folder(spark: SparkSession, folder: str) -> None:
+    """Create a folder that may be there already."""
+    fs, path, _ = _folder(spark, folder)
+    fs.mkdirs(path)
+
+
+def rewrite_files(spark: SparkSession, folder: str, drafts: str | None) -> None:
+    """Replace the text files of a folder, under their names: by those of the same names in ``drafts``, or by nothing."""
+    fs, path, files = _folder(spark, folder)
     for file in files:
-        fs.create(file, True).close()
-    if lines is not None:
-        fresh = scratch_path(spark, "rewritten")
-        lines.coalesce(1).write.text(fresh)
-        (made,) = [f.getPath() for f in fs.listStatus(path(fresh)) if f.getPath().getName().startswith("part-")]
-        fs.delete(files[0], False)
-        fs.rename(made, files[0])
+        if file.getName().startswith("part-"):
+            if drafts is None:
+                fs.create(file, True).close()
+            else:
+                fs.delete(file, False)
+    if drafts is not None:
+        for draft in _folder(spark, drafts)[2]:
+            fs.rename(draft, path)
+        discard(spark, drafts)
+
+
+def move_folders(spark: SparkSession, source: str, target: str) -> None:
+    """Move what is in one folder into another."""
+    fs, _, found = _folder(spark, source)
+    for folder in found:
+        fs.rename(folder, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target))
 
 
 def point_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,7 +87,8 @@ class Landing:
         schema = f"value string, {SOURCE_FILE} string, landing int"
         stored = self.spark.read.schema(schema).parquet(self.lines_path)
         held = self.manifest().where((F.col("status") != REMOVED) & (F.col("size") > 0)).select(SOURCE_FILE, "landing")
-        return stored.join(held, [SOURCE_FILE, "landing"], "left_semi").select("value", SOURCE_FILE)
+        # As many rows as the driver lists to read a folder; a shuffle would send all lines of a file to one task.
+        return stored.join(F.broadcast(held), [SOURCE_FILE, "landing"], "left_semi").select("value", SOURCE_FILE)
 
     def land(self, source: str) -> DataFrame:
         """Bring the table to what is under ``source`` and return the manifest; files of other folders are left alone.

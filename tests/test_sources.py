@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from svmflow.functions.parsing import accepted, rejected
 from svmflow.operators.log_rollup import log_rollup
+from svmflow.plans import ingest_queries
 from svmflow.sources.access_log import parse_log, sample_lines
 from svmflow.sources.points import parse_points
 from svmflow.sources.ratings import parse_ratings
@@ -179,3 +180,29 @@ def test_landings_mirror_their_folder(spark, tmp_path):
     Landing(spark, str(tmp_path / "table")).land(str(folder))
     assert sorted(r["value"] for r in landing.lines().collect()) == sorted([*wanted, "back"])
     assert status()["gone.txt"] == "new" and "removed" not in status().values()
+
+
+def test_every_task_writes_the_files_of_a_landed_folder(spark, tmp_path, monkeypatch):
+    """The files are not brought together in one task, and a part without rows has none."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_orderkey % 5 <> 0")
+    rows.repartition(4).write.parquet(f"{tmp_path}/sf/lineitem.parquet")
+    monkeypatch.setattr(ingest_queries, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    found = {r["part"]: r for r in ingest_queries.dir_manifest(spark, f"{tmp_path}/sf").collect()}
+    n = {part: rows.where(f"l_orderkey % 5 = {part}").count() for part in range(5)}
+    assert {part: (r["status"], r["n_lines"]) for part, r in found.items()} == {
+        1: ("changed", n[1]), 2: ("emptied", 0), 3: ("removed", 0), 4: ("new", n[4])
+    }
+    assert len(list(tmp_path.glob("rating-files/**/part=1/part-*.txt"))) == 4
+
+
+def test_lines_of_a_landing_are_not_dealt_by_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("1\n2\n")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        landed = land_directory(spark, str(tmp_path / "in"), str(tmp_path / "table"))
+        assert sorted(r["value"] for r in landed.collect()) == ["1", "2"]
+        assert "SortMergeJoin" not in landed._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
