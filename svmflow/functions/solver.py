@@ -13,15 +13,14 @@ from collections import OrderedDict
 
 import numpy as np
 
-from svmflow.functions.sparse import STRIP_COLUMNS, SparseRows, square_distances
+from svmflow.functions.sparse import KERNEL_CELLS, STRIP_COLUMNS, SparseRows, rbf, rbf_in_place
 
 _TAU = 1e-12
-# Fixed value: bytes of kernel rows that a solve keeps.
-CACHE_BYTES = 100 << 20
+# Fixed value: bytes of kernel rows that a solve keeps. The tasks of an executor each hold as much, and a second matrix
+# of that size where cells share distances.
+CACHE_BYTES = 32 << 20
 # Steps between two looks for rows that can be set aside.
 SHRINK_EVERY = 1000
-# Cells of one kernel matrix when gradients are brought up to date.
-_KERNEL_CELLS = 4 << 20
 
 
 class RbfKernel:
@@ -38,8 +37,7 @@ class RbfKernel:
         self.diagonal = np.ones(len(rows))
         self.matrix = None
         if distances is not None or 8 * len(rows) ** 2 <= cache_bytes:
-            distances = square_distances(rows, rows) if distances is None else distances
-            self.matrix = np.exp(-gamma * distances)
+            self.matrix = rbf(rows, rows, gamma) if distances is None else rbf_in_place(distances.copy(), gamma)
         self.columns = np.unique(rows.idx)
         self.dense = rows.dense(self.columns) if self.matrix is None and len(self.columns) <= STRIP_COLUMNS else None
         self.activate(np.arange(len(rows)))
@@ -77,14 +75,14 @@ class RbfKernel:
     def pulls(self, targets: np.ndarray, sources: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Weighted sums of the kernel of each target with the sources, in blocks."""
         out = np.zeros(len(targets))
-        step = max(1, _KERNEL_CELLS // max(1, len(sources)))
+        step = max(1, KERNEL_CELLS // max(1, len(sources)))
         taken = self.rows.take(sources)
         for lo in range(0, len(targets), step):
             block = targets[lo : lo + step]
             if self.matrix is not None:
                 kernel = self.matrix[np.ix_(block, sources)]
             else:
-                kernel = np.exp(-self.gamma * square_distances(self.rows.take(block), taken))
+                kernel = rbf(self.rows.take(block), taken, self.gamma)
             out[lo : lo + step] = kernel @ weights
         return out
 

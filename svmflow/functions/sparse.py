@@ -11,6 +11,9 @@ import pyarrow as pa
 # Columns of a dense working matrix; wider data is multiplied in strips.
 STRIP_COLUMNS = 4096
 
+# Cells of one block of a kernel matrix inside a task: what rows meet is added up block by block.
+KERNEL_CELLS = 1 << 20
+
 # The feature column in Arrow, every part nullable.
 FEATURES_ARROW = pa.list_(pa.field("element", pa.struct([("idx", pa.int32()), ("val", pa.float64())])))
 
@@ -88,3 +91,13 @@ def square_distances(a: SparseRows, b: SparseRows) -> np.ndarray:
     out += a.square_norms()[:, None]
     out += b.square_norms()[None, :]
     return np.maximum(out, 0.0, out=out)
+
+
+def rbf(a: SparseRows, b: SparseRows, gamma: float) -> np.ndarray:
+    """exp(-gamma |x - z|^2) of every row of ``a`` with every row of ``b``, without a second matrix."""
+    return rbf_in_place(square_distances(a, b), gamma)
+
+
+def rbf_in_place(distances: np.ndarray, gamma: float) -> np.ndarray:
+    distances *= -gamma
+    return np.exp(distances, out=distances)

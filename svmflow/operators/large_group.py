@@ -20,13 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from svmflow.functions.solver import RbfKernel, movable, solve
-from svmflow.functions.sparse import FEATURES_ARROW, SparseRows, from_arrow, square_distances
+from svmflow.functions.sparse import FEATURES_ARROW, KERNEL_CELLS, SparseRows, from_arrow, rbf
 from svmflow.session import Scratch
 
 #: Rows of a working set, and of a chunk.
 WORKING_ROWS = 2000
 CHUNK_ROWS = 2000
-_KERNEL_CELLS = 4 << 20
 
 GROUP = ["model_id", "subset_id"]
 CHUNK = [*GROUP, "chunk"]
@@ -176,10 +175,10 @@ def _packer(schema: T.StructType) -> Callable:
 def _pulled(part: Packed, source: Packed, weights: np.ndarray, gamma: float) -> np.ndarray:
     """Change of the gradients of ``part`` by weighted rows."""
     out = np.zeros(len(part))
-    step = max(1, _KERNEL_CELLS // max(1, len(source)))
+    step = max(1, KERNEL_CELLS // max(1, len(source)))
     for lo in range(0, len(part) if len(source) else 0, step):
         hi = min(lo + step, len(part))
-        out[lo:hi] = np.exp(-gamma * square_distances(part.rows.rows(lo, hi), source.rows)) @ weights
+        out[lo:hi] = rbf(part.rows.rows(lo, hi), source.rows, gamma) @ weights
     return part.label * out
 
 

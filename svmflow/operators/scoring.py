@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from svmflow.functions.probability import couple_pairs, pair_probability
-from svmflow.functions.sparse import SparseRows, cross_dots, from_arrow, square_distances
+from svmflow.functions.sparse import KERNEL_CELLS, SparseRows, cross_dots, from_arrow, rbf
 from svmflow.session import discard, materialise, scratch_path
 
 CLASSIFIERS = ("c_svc", "nu_svc")
@@ -33,8 +33,6 @@ BLOCK_BYTES = 64 << 20
 CHUNK_ROWS = 4096
 SUM_BYTES = 64 << 20
 CHUNKS_PER_BLOCK_COPY = 16
-# Cells of one kernel matrix inside a task.
-_KERNEL_CELLS = 4 << 20
 
 # Names of the columns that packed rows, blocks and sums travel in.
 _ROW, _CHUNK, _BLOCK, _BODY, _COPY = "_row", "_chunk", "_block", "_body", "_copy"
@@ -70,7 +68,7 @@ class Model:
         if self.kernel_type == "polynomial":
             return (self.gamma * cross_dots(x, sv) + self.coef0) ** self.degree
         if self.kernel_type == "rbf":
-            return np.exp(-self.gamma * square_distances(x, sv))
+            return rbf(x, sv, self.gamma)
         if self.kernel_type == "sigmoid":
             return np.tanh(self.gamma * cross_dots(x, sv) + self.coef0)
         if self.kernel_type == "precomputed":
@@ -183,7 +181,7 @@ def _add_block(sums: np.ndarray, x: SparseRows, models: list[Model], blocks: dic
         stop = start + len(model.pairs)
         block = blocks.get(model.model_id)
         if block is not None:
-            chunk = max(1, _KERNEL_CELLS // len(block.vectors))
+            chunk = max(1, KERNEL_CELLS // len(block.vectors))
             for lo in range(0, len(x), chunk):
                 hi = min(lo + chunk, len(x))
                 block.add_sums(model, x.rows(lo, hi), sums[lo:hi, start:stop])

@@ -127,6 +127,7 @@ def _trainer(cells: Sequence[Cell], eps: float, keep_all: bool) -> Callable[[pa.
                     gradient += y * kernel.pulls(np.arange(len(y)), pulling, (y * started)[pulling])
                 alpha, gradient = solve(kernel, y, cell.c, eps, started, gradient)
                 rho = offset(alpha, y, gradient, cell.c)
+                del kernel  # before the next cell makes its own
                 if not np.isfinite(alpha).all() or not np.isfinite(rho):
                     raise ValueError(f"model {cell.model_id}: training rows hold values that are not finite")
                 keep = np.ones(len(y), dtype=bool) if keep_all else alpha > 0

@@ -1,3 +1,4 @@
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -89,6 +90,20 @@ def test_solver_with_a_small_cache_and_rows_set_aside(monkeypatch, wide, cache_r
     assert (again == alpha).all(), "an optimum is left as it is"
 
 
+def test_a_block_of_any_size_keeps_to_its_kernel_cache():
+    """Matrices and what they are made with: a task's memory does not rise with the rows of its group."""
+    draw = np.random.default_rng(3)
+    rows = SparseRows(np.arange(0, 2 * 3500 + 1, 2), np.tile([1, 2], 3500), draw.normal(size=7000))
+    for n in (1900, 3500):
+        tracemalloc.start()
+        kernel = RbfKernel(rows.rows(0, n), 0.5)
+        every = np.arange(n)
+        kernel.pulls(every, every[: n // 2], np.ones(n // 2))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64 << 20
+
+
 @pytest.fixture(scope="module")
 def data(spark):
     df = training_rows(spark).cache()
