@@ -13,7 +13,7 @@ from collections import OrderedDict
 
 import numpy as np
 
-from svmflow.functions.sparse import KERNEL_CELLS, STRIP_COLUMNS, SparseRows, rbf, rbf_in_place
+from svmflow.functions.sparse import KERNEL_CELLS, STRIP_COLUMNS, Against, SparseRows, rbf, rbf_in_place
 
 _TAU = 1e-12
 # Fixed value: bytes of kernel rows that a solve keeps. The tasks of an executor each hold as much, and a second matrix
@@ -76,7 +76,7 @@ class RbfKernel:
         """Weighted sums of the kernel of each target with the sources, in blocks."""
         out = np.zeros(len(targets))
         step = max(1, KERNEL_CELLS // max(1, len(sources)))
-        taken = self.rows.take(sources)
+        taken = Against(self.rows.take(sources)) if self.matrix is None else None
         for lo in range(0, len(targets), step):
             block = targets[lo : lo + step]
             if self.matrix is not None:

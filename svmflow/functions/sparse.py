@@ -76,24 +76,39 @@ def column_strips(rows: SparseRows) -> Iterator[np.ndarray]:
         yield columns[start : start + STRIP_COLUMNS]
 
 
-def cross_dots(a: SparseRows, b: SparseRows) -> np.ndarray:
+class Against:
+    """Rows that many blocks of others meet: their columns, norms and, within one strip, dense values are found once."""
+
+    def __init__(self, rows: SparseRows):
+        self.rows = rows
+        self.norms = rows.square_norms()
+        self.strips = list(column_strips(rows))
+        self.held = rows.dense(self.strips[0]).T if len(self.strips) == 1 else None
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+
+def cross_dots(a: SparseRows, b: SparseRows | Against) -> np.ndarray:
     """Dot product of every row of ``a`` with every row of ``b``."""
+    b = b if isinstance(b, Against) else Against(b)
     out = None
-    for strip in column_strips(b):
-        part = a.dense(strip) @ b.dense(strip).T
+    for strip in b.strips:
+        part = a.dense(strip) @ (b.rows.dense(strip).T if b.held is None else b.held)
         out = part if out is None else np.add(out, part, out=out)
     return np.zeros((len(a), len(b))) if out is None else out
 
 
-def square_distances(a: SparseRows, b: SparseRows) -> np.ndarray:
+def square_distances(a: SparseRows, b: SparseRows | Against) -> np.ndarray:
+    b = b if isinstance(b, Against) else Against(b)
     out = cross_dots(a, b)
     out *= -2.0
     out += a.square_norms()[:, None]
-    out += b.square_norms()[None, :]
+    out += b.norms[None, :]
     return np.maximum(out, 0.0, out=out)
 
 
-def rbf(a: SparseRows, b: SparseRows, gamma: float) -> np.ndarray:
+def rbf(a: SparseRows, b: SparseRows | Against, gamma: float) -> np.ndarray:
     """exp(-gamma |x - z|^2) of every row of ``a`` with every row of ``b``, without a second matrix."""
     return rbf_in_place(square_distances(a, b), gamma)
 

@@ -29,7 +29,7 @@ from svmflow.session import Scratch, materialise, scratch_path
 
 ROWS_PER_SUBSET = 2500
 # Rows of a group that one task solves at once. Its kernel cache has a fixed size, so this bounds time, not memory;
-# the blocks that larger groups are solved in are half as large.
+# larger groups are solved in working sets of as many, and kept in chunks half as large.
 BLOCK_ROWS = 4000
 
 
@@ -66,9 +66,9 @@ def _train_layer(
     if not all(c.gamma for c in cells):
         tuned = tuned.join(feature_dim(groups, ["model_id", "subset_id"]), ["model_id", "subset_id"])
         tuned = tuned.withColumn("gamma", F.coalesce("gamma", 1.0 / F.greatest(F.lit(1), "max_index")))
-    half = max(2, block_rows // 2)
+    # Every round passes over the group, so a working set is as large as a task may solve: rounds are as few as can be.
     trained = train_large_groups(
-        tuned, schema, path, largest=group_bound, eps=eps, working_rows=half, chunk_rows=half
+        tuned, schema, path, largest=group_bound, eps=eps, working_rows=block_rows, chunk_rows=max(2, block_rows // 2)
     )
     return trained, group_bound
 
@@ -188,11 +188,18 @@ def support_vector_rows(samples: DataFrame, result: CascadeResult, model_id: str
 
 
 def cascade_predict(result: CascadeResult, test: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Predictions and accuracy per model of freshly trained models on ``test``."""
-    predictions = Scorer(result.models, result.support_vectors).score(test.withColumnRenamed("label", "target"))
+    """Predictions and accuracy per model of freshly trained models on ``test``.
+
+    Scoring takes the rows times the support vectors, so the predictions are written once, for all that is asked of them.
+    """
+    predictions = materialise(_predictions(result, test), scratch_path(test.sparkSession, "predictions"))
     return predictions, accuracy(predictions, by=["model_id"])
 
 
+def _predictions(result: CascadeResult, test: DataFrame) -> DataFrame:
+    return Scorer(result.models, result.support_vectors).score(test.withColumnRenamed("label", "target"))
+
+
 def grid_search(train: DataFrame, test: DataFrame, grid: DataFrame, **options) -> DataFrame:
     """Accuracy (c, g, acc) of a cascade model per grid point, best first.
 
@@ -200,7 +207,7 @@ def grid_search(train: DataFrame, test: DataFrame, grid: DataFrame, **options) -
     once, trained for all points together and scored in a single pass.
     """
     cells = _grid_cells(grid)
-    _, acc = cascade_predict(cascade_train(train, cells, **options), test)
+    acc = accuracy(_predictions(cascade_train(train, cells, **options), test), by=["model_id"])
     return _by_point(acc, cells).orderBy(F.desc("acc"), "c", "g")
 
 
@@ -215,7 +222,8 @@ def cross_validate(samples: DataFrame, grid: DataFrame, *, folds: int = 3, seed:
     fold = F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(folds))
     parts = []
     for i in range(folds):
-        _, acc = cascade_predict(cascade_train(samples.where(fold != i), cells, **options), samples.where(fold == i))
+        trained = cascade_train(samples.where(fold != i), cells, **options)
+        acc = accuracy(_predictions(trained, samples.where(fold == i)), by=["model_id"])
         parts.append(acc.select("model_id", "total", "correct"))
     sums = reduce(DataFrame.unionByName, parts).groupBy("model_id").agg(F.sum("total").alias("total"), F.sum("correct").alias("correct"))
     found = _by_point(sums.withColumn("accuracy", F.try_divide("correct", "total") * 100.0), cells, "total", "correct")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from svmflow.functions.solver import RbfKernel, movable, solve
-from svmflow.functions.sparse import FEATURES_ARROW, KERNEL_CELLS, SparseRows, from_arrow, rbf
+from svmflow.functions.sparse import FEATURES_ARROW, KERNEL_CELLS, Against, SparseRows, from_arrow, rbf
 from svmflow.session import Scratch
 
 #: Rows of a working set, and of a chunk.
@@ -176,9 +176,10 @@ def _pulled(part: Packed, source: Packed, weights: np.ndarray, gamma: float) ->
     """Change of the gradients of ``part`` by weighted rows."""
     out = np.zeros(len(part))
     step = max(1, KERNEL_CELLS // max(1, len(source)))
+    against = Against(source.rows)
     for lo in range(0, len(part) if len(source) else 0, step):
         hi = min(lo + step, len(part))
-        out[lo:hi] = rbf(part.rows.rows(lo, hi), source.rows, gamma) @ weights
+        out[lo:hi] = rbf(part.rows.rows(lo, hi), against, gamma) @ weights
     return part.label * out
 
 
@@ -331,7 +332,7 @@ def train_large_groups(
     chunk: Column = F.pmod(F.xxhash64("row_id"), F.lit(n_chunks)).cast("int")
     with Scratch(spark, "large-groups") as scratch:
         rows = groups.select(*GROUP, chunk.alias("chunk"), "row_id", "label", alpha.alias("alpha"), "c", "gamma", "features")
-        packed = scratch.write(rows.groupBy(*CHUNK).applyInArrow(_packer(state_schema), state_schema))
+        packed = scratch.write(rows.groupBy(*CHUNK).applyInArrow(_packer(state_schema), state_schema), by=["kind"])
         fresh = lambda df: df.toDF(*df.columns)  # noqa: E731  (columns of its own, where a table meets itself)
         chunks = packed.where(F.col("kind") == _STATE)
         pulls = fresh(packed.where(F.col("kind") == _PULL)).withColumnRenamed("chunk", "other")
@@ -342,7 +343,8 @@ def train_large_groups(
         change_schema = T.StructType([*_group_fields(), T.StructField("chunk", T.IntegerType()), T.StructField("change", T.BinaryType())])
         changes = met.groupBy(*pair).cogroup(fresh(asked).groupBy(*pair)).applyInArrow(_first_pull, change_schema)
         state = scratch.write(
-            chunks.groupBy(*CHUNK).cogroup(changes.groupBy(*CHUNK)).applyInArrow(_starter(state_schema, quota), state_schema)
+            chunks.groupBy(*CHUNK).cogroup(changes.groupBy(*CHUNK)).applyInArrow(_starter(state_schema, quota), state_schema),
+            by=["kind"],
         )
         spark.createDataFrame([], trained_schema).write.mode("overwrite").parquet(path)
         round_no = 0
@@ -361,5 +363,5 @@ def train_large_groups(
             moved = chunks.cogroup(to_chunks(steps.where("not done"))).applyInArrow(
                 _mover(state_schema, quota, round_no), state_schema
             )
-            state = scratch.write(moved, keep=4)
+            state = scratch.write(moved, keep=4, by=["kind"])
     return spark.read.schema(trained_schema).parquet(path)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from svmflow.functions.probability import couple_pairs, pair_probability
-from svmflow.functions.sparse import KERNEL_CELLS, SparseRows, cross_dots, from_arrow, rbf
+from svmflow.functions.sparse import KERNEL_CELLS, Against, SparseRows, cross_dots, from_arrow, rbf
 from svmflow.session import discard, materialise, scratch_path
 
 CLASSIFIERS = ("c_svc", "nu_svc")
@@ -62,7 +62,7 @@ class Model:
         """Class pairs in model order; one pseudo pair for non-classifiers."""
         return list(combinations(range(self.n_classes), 2))
 
-    def kernel(self, x: SparseRows, sv: SparseRows) -> np.ndarray:
+    def kernel(self, x: SparseRows, sv: Against) -> np.ndarray:
         if self.kernel_type == "linear":
             return cross_dots(x, sv)
         if self.kernel_type == "polynomial":
@@ -74,7 +74,7 @@ class Model:
         if self.kernel_type == "precomputed":
             # A row holds its kernel values by serial number; a support vector
             # is its serial number, stored at index 0.
-            serials = sv.dense(np.array([0]))[:, 0].astype(np.int64)
+            serials = sv.rows.dense(np.array([0]))[:, 0].astype(np.int64)
             columns, place = np.unique(serials, return_inverse=True)
             return x.dense(columns)[:, place]
         raise ValueError(f"unknown kernel_type {self.kernel_type!r}")
@@ -88,9 +88,12 @@ class SupportBlock:
     coef: np.ndarray
     class_at: np.ndarray
 
-    def add_sums(self, model: Model, x: SparseRows, sums: np.ndarray) -> None:
+    def add_sums(self, model: Model, x: SparseRows, sums: np.ndarray, against: Against) -> None:
         """Add this block's kernel sums to the (row, pair) matrix ``sums``."""
-        kernel = model.kernel(x, self.vectors)
+        kernel = model.kernel(x, against)
+        if len(model.pairs) == 1:
+            sums[:, 0] += kernel @ self.coef[:, 0]
+            return
         pair_at = {pair: i for i, pair in enumerate(model.pairs)}
         for cls in np.unique(self.class_at):
             mine = self.class_at == cls
@@ -182,9 +185,10 @@ def _add_block(sums: np.ndarray, x: SparseRows, models: list[Model], blocks: dic
         block = blocks.get(model.model_id)
         if block is not None:
             chunk = max(1, KERNEL_CELLS // len(block.vectors))
+            against = Against(block.vectors)
             for lo in range(0, len(x), chunk):
                 hi = min(lo + chunk, len(x))
-                block.add_sums(model, x.rows(lo, hi), sums[lo:hi, start:stop])
+                block.add_sums(model, x.rows(lo, hi), sums[lo:hi, start:stop], against)
         start = stop
 
 

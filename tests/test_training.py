@@ -2,16 +2,17 @@ import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import SF, rbf, to_matrix, training_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from svmflow.functions import solver
+from svmflow.functions import solver, sparse
 from svmflow.functions.solver import RbfKernel, offset, solve
 from svmflow.functions.sparse import SparseRows
-from svmflow.operators import cascade
+from svmflow.operators import cascade, large_group
 from svmflow.operators.cascade import (
     _model_table,
     cascade_predict,
@@ -286,6 +287,28 @@ def test_cascade_predict_and_grid_search(spark, data):
     assert [r["acc"] for r in found] == sorted((r["acc"] for r in found), reverse=True)
 
 
+def test_predictions_are_scored_once(spark, data):
+    """They are the rows times the support vectors: what is asked of them reads the written predictions."""
+    df, *_ = data
+    result = cascade_train(df, [Cell("m", gamma=0.5)], n_subsets=2)
+    predictions, acc = cascade_predict(result, df)
+    for asked in (predictions, acc):
+        assert "MapInArrow" not in asked._jdf.queryExecution().toString()
+    assert predictions.count() == acc.first()["total"] == df.count()
+
+
+def test_columns_of_pulling_rows_are_found_once(monkeypatch):
+    """Not again for every block of the rows that they pull on."""
+    found, real = [], sparse.column_strips
+    monkeypatch.setattr(sparse, "column_strips", lambda rows: found.append(1) or real(rows))
+    monkeypatch.setattr(large_group, "KERNEL_CELLS", 40)
+    x = np.random.default_rng(2).normal(size=(20, 2))
+    rows = SparseRows(np.arange(0, 41, 2), np.tile([1, 2], 20), x.ravel())
+    part = large_group.Packed(pa.array(range(20)), np.ones((3, 20)), rows)
+    assert np.allclose(large_group._pulled(part, part, np.ones(20), 0.5), rbf(x, x, 0.5).sum(axis=1))
+    assert len(found) == 1
+
+
 def test_cross_validation_holds_every_row_out_once(spark, data):
     df, x, y, ids = data
     grid = param_grid(spark, 1.0, 1.0, 0.5, 0.5, 1.5, 1.5)
