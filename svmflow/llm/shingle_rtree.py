@@ -44,6 +44,13 @@ LEADERS = {"lead_a": 0.0, "lead_b": 0.5}
 #: A leader is verified at once if it leads an entry in one cell for so many shingles; most linked pairs share more.
 LED_PART = 16
 
+#: The first shingles of linked sets share one, and one more for so many shingles of the smaller set.
+SHARED_PART = 20
+#: Entries of like size behind an entry of a cell that it is paired with; with more it goes by leaders.
+CROWD = 4
+#: Cells, at most, that two entries must be paired in to be told.
+PAIRED_CELLS = 4
+
 _MEMBER = np.uint64(BINS - 1)
 
 
@@ -88,8 +95,8 @@ def _summary(is_bin, ids, n, k1, k2) -> pa.RecordBatch:
 
 
 def prefix_length(n: int) -> int:
-    """Least number of first shingles, in any common order, that two linked sets share one of."""
-    return n - (LEAST * n + 99) // 100 + 1
+    """Number of first shingles, in any common order, of which two linked sets share ``1 + m // SHARED_PART``, m the smaller size."""
+    return n - (LEAST * n + 99) // 100 + 1 + n // SHARED_PART
 
 
 def group_counts(hashes: np.ndarray) -> np.ndarray:
@@ -404,9 +411,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table gives no rows.
 
     Equal sets are one entry. Entries meet in cells: those of the shingles that
-    any two linked sets must share one of, in an order that puts common
-    shingles last, so a passage that many documents share makes no cell. In
-    each cell entries have a leader; each entry is verified against the leader of most of its cells,
+    any two linked sets must share some of, in an order that puts common
+    shingles last, so a passage that many documents share makes no cell. Entries that meet in too few cells to link are
+    left out. In a full cell entries have a leader, in others one of two leads the other; each entry is verified against the leader of most of its cells,
     which links groups of copies by one pair an entry. The entries of one leader are
     its neighbourhood; those that are then not all connected are joined by a count-vector R-tree, which
     tells the entries with a possible partner, and once more with their sets, which are compared
@@ -428,20 +435,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         level_of[bins["k1"].to_numpy()] = bins["level"].to_numpy()
         levels = spark.sparkContext.broadcast(level_of)
         entries = _entries(source, summary, reps, levels, scratch)
-        in_cell = Window.partitionBy("cell").orderBy("n", "uid")
-        met = (
-            entries.select(F.explode("prefix").alias("cell"), "uid", "n")
-            .withColumn("previous", F.lag("uid").over(in_cell))
-            .withColumn("next", F.lead("uid").over(in_cell))
-            .where("previous is not null or next is not null")
-            .select("cell", "uid", "n", *(_leader(shift).alias(name) for name, shift in LEADERS.items()))
-        )
-        spokes = scratch.write(
-            met.select("uid", "n", F.explode(F.array(*LEADERS)).alias("lead"))
-            .where("lead.uid <> uid")
-            .groupBy("uid", F.col("lead.uid").alias("lead_uid"))
-            .agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("lead.n").alias("lead_n"))
-        )
+        spokes = _spokes(entries, scratch)
         # The leader of most cells of an entry; of equals the least hash, so that a group agrees on one.
         best = F.max(F.struct("times", F.xxhash64("lead_uid"), "lead_uid"))["lead_uid"]
         # Pairs that share few cells or differ too much in size are left to the tree, which rules out most by their counts.
@@ -502,6 +496,62 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return sure.union(unsure)
 
 
+def _like(less: Column, more: Column) -> Column:
+    """Whether sets of these sizes may link."""
+    return more.cast("long") * LEAST <= less.cast("long") * 100
+
+
+def _paired_cells(n: Column) -> Column:
+    """Of the cells that linked sets share, ``n`` the smaller size: two that are paired in fewer than these are led in others."""
+    return F.least(F.lit(PAIRED_CELLS), F.floor((2 + F.floor(n / SHARED_PART)) / 2))
+
+
+def _led_cells(n: Column) -> Column:
+    """Least number of cells in which an entry of ``n`` shingles is led together with a linked one that it is not paired with often enough."""
+    smaller = F.ceil(n.cast("long") * LEAST / 100)
+    return 2 + F.floor(smaller / SHARED_PART) - _paired_cells(smaller)
+
+
+def _spokes(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """(uid, lead_uid, times, n, lead_n): any two entries that may link have a leader in common, or one leads the other.
+
+    In a cell an entry is paired with the entries of like size behind it, unless these are many: then it and they go by
+    leaders. Two linked entries share ``1 + m // SHARED_PART`` cells, m the smaller size. So they are paired in
+    some of them, or each is led in the rest, and what meets in fewer cells, as texts of one language do by chance, is left out.
+    """
+    in_cell = Window.partitionBy("cell").orderBy("n", "uid")
+    met = (
+        entries.select(F.explode("prefix").alias("cell"), "uid", "n")
+        .withColumn("previous", F.lag("n").over(in_cell))
+        .withColumn("next", F.lead("n").over(in_cell))
+        .where(_like(F.col("previous"), F.col("n")) | _like(F.col("n"), F.col("next")))
+        .withColumns({f"{c}_{k}": F.lead(c, k).over(in_cell) for c in ("uid", "n") for k in range(1, CROWD + 1)})
+        .withColumn("crowded", F.coalesce(_like(F.col("n"), F.lead("n", CROWD + 1).over(in_cell)), F.lit(False)))
+        # A row behind a crowded one of like size goes by leaders too.
+        .withColumn("behind_crowd", _like(F.max(F.when(F.col("crowded"), F.col("n"))).over(in_cell), F.col("n")))
+        .withColumns({name: _leader(shift) for name, shift in LEADERS.items()})
+    )
+    spoke = lambda uid, n, lead, lead_n, led: F.struct(
+        uid.alias("uid"), lead.alias("lead_uid"), n.alias("n"), lead_n.alias("lead_n"), F.lit(led).alias("led")
+    )
+    uid, n = F.col("uid"), F.col("n")
+    spokes = [F.when(F.col("behind_crowd"), spoke(uid, n, F.col(lead)["uid"], F.col(lead)["n"], True)) for lead in LEADERS]
+    for k in range(1, CROWD + 1):
+        other, other_n = F.col(f"uid_{k}"), F.col(f"n_{k}")
+        fits = ~F.col("crowded") & _like(n, other_n)
+        spokes.append(F.when(fits & (uid < other), spoke(other, other_n, uid, n, False)).when(fits & (uid > other), spoke(uid, n, other, other_n, False)))
+    times_in = met.select(F.explode(F.array(*spokes)).alias("spoke")).where("spoke is not null").groupBy("spoke.uid", "spoke.lead_uid", "spoke.led")
+    told = times_in.agg(F.count("*").alias("times"), F.first("spoke.n").alias("n"), F.first("spoke.lead_n").alias("lead_n"))
+    told = scratch.write(told.where(F.col("led") | (F.col("times") >= _paired_cells(F.least("n", "lead_n")))))
+    paired = told.where("not led")
+    # An entry has its two leaders in every cell where it is led, itself maybe.
+    led = told.where("led")
+    enough = led.groupBy("uid").agg(F.sum("times").alias("rows"), F.first("n").alias("n")).where(F.col("rows") >= 2 * _led_cells(F.col("n")))
+    led = led.where("lead_uid <> uid").join(enough.select("uid"), "uid", "left_semi").select(paired.columns)
+    kept = paired.withColumn("times", F.col("times") * len(LEADERS)).union(led)
+    return scratch.write(kept.groupBy("uid", "lead_uid").agg(F.sum("times").alias("times"), F.first("n").alias("n"), F.first("lead_n").alias("lead_n")))
+
+
 def _leader(shift: float) -> Column:
     """One entry of the row's cell and size class, drawn by hash, so that most cells of a group draw the same one.
 

@@ -161,6 +161,47 @@ def test_one_group_of_near_copies_grows_in_proportion(spark, monkeypatch):
         assert made["links"] <= 3 * copies
 
 
+def test_texts_that_meet_by_chance_are_left_out(spark, monkeypatch):
+    """Unlike texts of few words share shingles; hardly any of them may reach the neighbourhoods, whose number would grow with the square."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randint(90, 110)))) for i in range(80)]
+    rows += [(100 + i, t + " and one more") for i, t in rows[:10]]
+    real, met = shingle_rtree._neighbourhoods, []
+
+    def counted(spokes, *args):
+        met.append(spokes.count())
+        return real(spokes, *args)
+
+    monkeypatch.setattr(shingle_rtree, "_neighbourhoods", counted)
+    sets, want = brute_components(rows)
+    assert sum(bool(sets[a] & sets[b]) for a in range(80) for b in range(a)) > 1_000
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert met[0] <= 60
+
+
+@pytest.mark.parametrize("crowd,seed", [(1, 6), (2, 7)])
+def test_full_and_small_cells_together(spark, monkeypatch, crowd, seed):
+    """Entries paired in some of the cells that they share and led in others, sizes on both sides of the steps of the shared count."""
+    monkeypatch.setattr(shingle_rtree, "CROWD", crowd)
+    rows = corpus(seed, 12, 5, words=110) + [(500 + i, t) for i, t in corpus(seed + 50, 3, 25, words=90)]
+    _, want = brute_components(rows)
+    assert len(set(want.values())) < len(rows) - 10
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_prefixes_share_as_many_shingles_as_stated():
+    """Linked sets of any sizes, in the worst order: what they do not share comes first."""
+    for large in range(1, 400):
+        for small in range(-(-3 * large // 4), large + 1):
+            both = int(shingle_rtree._needed(np.array(small), np.array(large)))
+            if both > small:
+                continue
+            shared = [shingle_rtree.prefix_length(n) - (n - both) for n in (small, large)]
+            assert min(shared) >= 1 + small // shingle_rtree.SHARED_PART and shingle_rtree.prefix_length(large) <= large
+
+
 def test_ids_that_hold_several_sets(spark):
     """Rows of one id with different texts are entries of their own, also where the id is the least of several sets."""
     rows = corpus(5, 6, 4) + [(2, "other words of row two that nobody else has written down"), (2, "yet another text of that very id, unlike the rest")]
