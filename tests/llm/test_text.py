@@ -13,6 +13,7 @@ from svmflow.llm.language_zstd import identify_language
 from svmflow.llm.quality_resampling import kth_largest, quality_documents, quality_sample
 from svmflow.llm.shingling import plain_words
 from svmflow.llm.toxicity_fm import FactorizationMachine, toxicity
+from svmflow.llm import wrapper_html
 from svmflow.llm.wrapper_html import expression, extract_text, fold, infer, infer_constants, main_text, matches, parse, region_of
 
 SF = "/root/testdata/sf0.01"
@@ -288,6 +289,29 @@ def test_wrappers_hold_repeats_and_options():
     assert expression(["a", ("?", ("b",))]) == "a ( b )?"
 
 
+def test_wrappers_are_inferred_from_all_pages(spark, monkeypatch):
+    """What only few of many pages of a host tell: a slot of the template on three, a text that differs on one, shapes merged in parts."""
+    monkeypatch.setattr(wrapper_html, "PART_SHAPES", 3)
+    rng = random.Random(2)
+    pages = []
+    for i in range(150):
+        parts = [f"<h1>Title {i}</h1>", "<p class=hint>Read all of it in print</p>" if i != 77 else "<p class=hint>Only here another hint</p>"]
+        parts += ["<div class=offer>Order the yearbook by mail</div>"] * (i in (20, 70, 140))
+        body = [f"<{t}>{t} number {i} {k} has words of its own</{t}>" for k, t in enumerate(rng.choices(["p", "h2", "pre", "blockquote"], k=6))]
+        pages.append(f"<html><body><article>{''.join(parts + body)}</article></body></html>")
+    rows = [(i, f"http://h.org/{i}", page) for i, page in enumerate(pages)] + [(500, "http://h.org/again", pages[20]), (600, "http://few.org/", pages[20])]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    host = {r["host"]: r for r in wrapper_html.infer_wrappers(docs).collect()}
+    _, region, constants = infer_constants(pages)
+    assert (host["h.org"]["region"], host["h.org"]["constants"], host["h.org"]["pages"]) == (region, constants, 150)
+    assert host["few.org"]["constants"] is None and host["few.org"]["pages"] == 1
+    streams = [wrapper_html.stream(wrapper_html._judged(wrapper_html._events(page)), frozenset(constants)) for page in pages]
+    assert all(matches(host["h.org"]["wrapper"], fold(s)) for s in streams)
+    text = {r["page_id"]: r["text"] for r in extract_text(docs).collect()}
+    assert "yearbook" not in text[20] + text[70] + text[140] + text[500] and "yearbook" in text[600]
+    assert "another hint" in text[77] and all("all of it in print" in text[i] for i in range(150) if i != 77)
+
+
 def test_extract_edges(spark):
     rows = [
         (1, "http://h.org/1", PAGE, 1), (2, "http://h.org/2", None, 1), (3, None, PAGE, 1), (4, "http://h.org/4", "", 1),
